@@ -69,7 +69,7 @@ def validate_text(df: DataFrame, id_col: str = "athlete_id", text_cols=("sport",
     out = out.withColumn("text_ok", text_ok)
     if date_col:
         s = F.trim(F.col(date_col).cast("string"))
-        out = out.withColumn("date_ok", F.try_to_date(s, F.lit(fixed.DATE_FORMAT)).isNotNull()
+        out = out.withColumn("date_ok", F.try_to_date(s, fixed.DATE_FORMAT).isNotNull()
                              & s.rlike(r"^\d{4}-\d{2}-\d{2}$"))
     return out
 
