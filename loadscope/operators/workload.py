@@ -166,8 +166,9 @@ def weekly_buckets(sessions: DataFrame, as_of, weeks: int = 4, key: str = "athle
     b = int_div(F.datediff(F.lit(a), F.col("d")), F.lit(7)).alias("week_back")
     g = s.groupBy(key, b).agg(F.sum("load").cast("bigint").alias("load"),
                               F.count(F.lit(1)).alias("n_sessions"))
-    spine = g.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(weeks - 1)))
-                                            .cast("bigint").alias("week_back"))
+    spine = (g.select(key).distinct()
+             .select(key, F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("_w"))
+             .select(key, F.col("_w").cast("bigint").alias("week_back")))
     return spine.join(g, [key, "week_back"], "left").select(
         key, "week_back", F.coalesce("load", F.lit(0).cast("bigint")).alias("load"),
         F.coalesce("n_sessions", F.lit(0).cast("bigint")).alias("n_sessions"))
