@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loadscope.plans import q_quality, q_workload  # noqa: F401
+from loadscope.plans import q_features, q_quality, q_workload  # noqa: F401
 from loadscope.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -82,6 +82,27 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                4.0::DOUBLE + CAST(event_id % 61 AS DOUBLE) / 10.0 AS sleep_hours,
                CAST((event_id * 11) % 101 AS DOUBLE) / 10.0 AS soreness_score
         FROM events"""),
+    "v_measures": (["v_sessions", "v_discomfort"], """
+        WITH g AS (SELECT athlete_id, d, count(*) AS n_sessions, sum(duration) / 10.0 AS total_km,
+                          sum(CASE WHEN rpe >= 7 THEN duration ELSE 0 END) / 10.0 AS z5_km,
+                          sum(CASE WHEN rpe = 8 THEN duration ELSE 0 END) / 20.0 AS sprint_km,
+                          avg(CAST(rpe AS DOUBLE)) AS exertion,
+                          avg(CAST(1 + session_id % 9 AS DOUBLE)) AS recovery
+                   FROM v_sessions GROUP BY athlete_id, d),
+        b AS (SELECT athlete_id, min(d) AS lo, max(d) AS hi FROM g GROUP BY athlete_id),
+        sp AS (SELECT athlete_id, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP),
+                      INTERVAL 1 DAY)) AS DATE) AS d FROM b),
+        inj AS (SELECT DISTINCT athlete_id, d FROM v_discomfort WHERE severity = 3)
+        SELECT sp.athlete_id, sp.d, coalesce(g.n_sessions, 0) AS n_sessions,
+               coalesce(g.total_km, 0.0) AS total_km, coalesce(g.z5_km, 0.0) AS z5_km,
+               coalesce(g.sprint_km, 0.0) AS sprint_km, g.exertion, g.recovery,
+               CAST(CASE WHEN inj.athlete_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS injury
+        FROM sp LEFT JOIN g ON sp.athlete_id = g.athlete_id AND sp.d = g.d
+        LEFT JOIN inj ON sp.athlete_id = inj.athlete_id AND sp.d = inj.d"""),
+    "v_players": (["v_record"], """
+        SELECT record_id, age AS Player_Age, weight_kg AS Player_Weight, height_cm AS Player_Height,
+               prior_injuries AS Previous_Injuries, weekly_intensity_score / 10.0 AS Training_Intensity,
+               rest_days AS Recovery_Time, injured AS Likelihood_of_Injury FROM v_record"""),
     "v_chunks": ([], """
         SELECT conv_id AS id, turn AS seq, role, text AS content FROM conversations"""),
 }

@@ -152,3 +152,43 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return c.select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), "role",
                     F.col("text").alias("content"))
+
+
+def daily_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap-filled day grain per athlete (first to last active day) with the wide-table
+    measures: total_km, z5_km (rpe >= 7), sprint_km (rpe = 8), exertion (mean rpe) and
+    recovery (mean of 1 + session_id % 9); injury = a severe discomfort report that day.
+    Inactive days: 0 km, NULL exertion/recovery."""
+    s = sessions(spark, sf_dir)
+    g = s.groupBy("athlete_id", "d").agg(
+        F.count(F.lit(1)).alias("n_sessions"),
+        (F.sum("duration") / F.lit(10.0)).alias("total_km"),
+        (F.sum(F.when(F.col("rpe") >= 7, F.col("duration")).otherwise(0)) / F.lit(10.0)).alias("z5_km"),
+        (F.sum(F.when(F.col("rpe") == 8, F.col("duration")).otherwise(0)) / F.lit(20.0)).alias("sprint_km"),
+        F.avg(F.col("rpe").cast("double")).alias("exertion"),
+        F.avg((F.lit(1) + F.col("session_id") % 9).cast("double")).alias("recovery"))
+    b = g.groupBy("athlete_id").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    spine = b.select("athlete_id", F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias("d"))
+    inj = (discomfort(spark, sf_dir).filter(F.col("severity") == 3)
+           .select("athlete_id", "d").distinct().withColumn("_inj", F.lit(1)))
+    return (spine.join(g, ["athlete_id", "d"], "left").join(inj, ["athlete_id", "d"], "left")
+            .select("athlete_id", "d",
+                    F.coalesce("n_sessions", F.lit(0).cast("bigint")).alias("n_sessions"),
+                    F.coalesce("total_km", F.lit(0.0)).alias("total_km"),
+                    F.coalesce("z5_km", F.lit(0.0)).alias("z5_km"),
+                    F.coalesce("sprint_km", F.lit(0.0)).alias("sprint_km"),
+                    "exertion", "recovery",
+                    F.coalesce("_inj", F.lit(0)).cast("int").alias("injury")))
+
+
+def players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-sectional player table (one row per record) for E4 / forest training."""
+    r = records(spark, sf_dir)
+    return r.select(
+        "record_id",
+        F.col("age").alias("Player_Age"), F.col("weight_kg").alias("Player_Weight"),
+        F.col("height_cm").alias("Player_Height"),
+        F.col("prior_injuries").alias("Previous_Injuries"),
+        (F.col("weekly_intensity_score") / F.lit(10.0)).alias("Training_Intensity"),
+        F.col("rest_days").alias("Recovery_Time"),
+        F.col("injured").alias("Likelihood_of_Injury"))
