@@ -138,10 +138,10 @@ def dedup(df: DataFrame) -> DataFrame:
 
 def dedup_report(df: DataFrame) -> DataFrame:
     """A1 report: rows before, after and removed (two aggregations, one scan each)."""
+    after = df.dropDuplicates().agg(F.count(F.lit(1))).scalar()  # scalar subquery
     before = df.agg(F.count(F.lit(1)).alias("rows_before"))
-    after = df.dropDuplicates().agg(F.count(F.lit(1)).alias("rows_after"))
-    return before.crossJoin(after).select(
-        "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("removed"))
+    return before.select("rows_before", after.alias("rows_after"),
+                         (F.col("rows_before") - after).alias("removed"))
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -103,6 +103,14 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT record_id, age AS Player_Age, weight_kg AS Player_Weight, height_cm AS Player_Height,
                prior_injuries AS Previous_Injuries, weekly_intensity_score / 10.0 AS Training_Intensity,
                rest_days AS Recovery_Time, injured AS Likelihood_of_Injury FROM v_record"""),
+    "v_users": ([], f"""
+        SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username,
+               CASE WHEN c_custkey % 10 = 0 THEN 'Coach' WHEN c_custkey % 10 = 1 THEN 'Medical Staff'
+                    WHEN c_custkey % 10 = 2 THEN 'Admin' ELSE 'Athlete' END AS role,
+               CASE WHEN c_custkey % 10 > 2 THEN 'ATH-' || CAST(c_custkey AS VARCHAR) END AS athlete_id,
+               CASE WHEN c_custkey % 10 = 0 THEN {_case('c_mktsegment', fixed.SEGMENT_SPORT, 'Fitness Training')} END
+                 AS sport
+        FROM customer"""),
     "v_chunks": ([], """
         SELECT conv_id AS id, turn AS seq, role, text AS content FROM conversations"""),
 }

@@ -192,3 +192,16 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("weekly_intensity_score") / F.lit(10.0)).alias("Training_Intensity"),
         F.col("rest_days").alias("Recovery_Time"),
         F.col("injured").alias("Likelihood_of_Injury"))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access-policy users: every customer is a user; custkey % 10 = 0 -> Coach of the
+    customer's segment sport, 1 -> Medical Staff, 2 -> Admin, else Athlete with own id."""
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    role = (F.when(k % 10 == 0, "Coach").when(k % 10 == 1, "Medical Staff").when(k % 10 == 2, "Admin")
+            .otherwise("Athlete"))
+    return c.select(F.concat(F.lit("user"), k.cast("string")).alias("username"), role.alias("role"),
+                    F.when(role == "Athlete", F.concat(F.lit("ATH-"), k.cast("string"))).alias("athlete_id"),
+                    F.when(role == "Coach", _case(F.col("c_mktsegment"), fixed.SEGMENT_SPORT, "Fitness Training"))
+                    .alias("sport"))
