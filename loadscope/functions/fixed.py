@@ -187,3 +187,7 @@ SEGMENT_SPORT = [("MACHINERY", "Rugby"), ("BUILDING", "Football"), ("AUTOMOBILE"
 PRIORITY_POSITION = [("1-URGENT", "Forward (Prop/Hooker/Lock)"), ("2-HIGH", "Midfielder"),
                      ("3-MEDIUM", "Forward"), ("4-NOT SPECIFIED", "Spin Bowler"),
                      ("5-LOW", "Singles")]
+
+# --- fixed values: safety status by recall (>= .90, >= .75, else) and delta arrows ------
+SAFETY_STATUS = ["EXCELLENT", "GOOD", "HIGH RISK"]
+DELTA_ARROWS = ["▲", "▼", "─"]
