@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loadscope.plans import q_eval, q_features, q_quality, q_scoring, q_workload  # noqa: F401
+from loadscope.plans import q_eval, q_features, q_models, q_quality, q_scoring, q_workload  # noqa: F401
 from loadscope.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
