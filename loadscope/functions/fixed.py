@@ -191,3 +191,80 @@ PRIORITY_POSITION = [("1-URGENT", "Forward (Prop/Hooker/Lock)"), ("2-HIGH", "Mid
 # --- fixed values: safety status by recall (>= .90, >= .75, else) and delta arrows ------
 SAFETY_STATUS = ["EXCELLENT", "GOOD", "HIGH RISK"]
 DELTA_ARROWS = ["▲", "▼", "─"]
+
+# --- fixed values: rule-based prescription text (G1/G2), %s placeholders in order --------
+CARD_KEYS = ["SLEEP", "WORKLOAD", "THERAPY", "NUTRITION"]
+RPE_CAP = [("HIGH", 4.0), ("MEDIUM", 5.5)]
+RPE_CAP_DEFAULT = 7.0
+THERAPY_MIN = [("HIGH", 25), ("MEDIUM", 20)]
+THERAPY_MIN_DEFAULT = 15
+WATER_ML = [("HIGH", 800)]
+WATER_ML_PROMPT = [("HIGH", 750)]
+WATER_ML_DEFAULT = 600
+PRESCRIPTION_TEMPLATE = (
+    "SLEEP_HEADLINE: Sleep deficit detected → extend by +%sh tonight\n"
+    "SLEEP_TARGET: %s\n"
+    "SLEEP_DETAIL: HRV at %sms suggests incomplete recovery. Aim for %sh uninterrupted. "
+    "Avoid screens 45min before bed.\n\n"
+    "WORKLOAD_HEADLINE: Cap training RPE at %s/10 for next 48 hours\n"
+    "WORKLOAD_TARGET: %s\n"
+    "WORKLOAD_DETAIL: Weekly volume at %sh is %s with soreness %s/10. "
+    "No high-intensity sessions until HRV recovers above baseline.\n\n"
+    "THERAPY_HEADLINE: %s-min cryotherapy + lower limb mobility protocol\n"
+    "THERAPY_TARGET: %s\n"
+    "THERAPY_DETAIL: Foam roll hamstrings, calves and hip flexors for 12 minutes. "
+    "Follow with 10-min cold water immersion at 10–12°C to reduce inflammation markers.\n\n"
+    "NUTRITION_HEADLINE: %sg protein + %sml water within 30min post-session\n"
+    "NUTRITION_TARGET: %sg protein + %sml\n"
+    "NUTRITION_DETAIL: At %skg bodyweight target %sg fast-digesting protein immediately post-session. "
+    "Add sodium electrolytes to first %sml of post-session fluid.\n"
+)
+VOLUME_WORDS = ("elevated", "moderate")  # weekly volume > 15 h, else
+
+# --- fixed values: fallback tips text (G3) ---------------------------------------------
+TIPS_SLEEP_LOW = "You only got %s hours — try to hit at least 8 tonight."
+TIPS_SLEEP_OK = "Sleep was decent at %s hours. Keep that going."
+TIPS_SORENESS = [(7.0, "High soreness"), (4.0, "Moderate soreness")]
+TIPS_SORENESS_LOW = "Low soreness"
+TIPS_LOAD = [("HIGH", "Pull back on intensity for the next 2 days."),
+             ("MEDIUM", "Keep sessions controlled this week.")]
+TIPS_LOAD_DEFAULT = "You're managing load well."
+TIPS_LAST = [("HIGH", "Skip today's session — your body needs a full rest day.")]
+TIPS_LAST_DEFAULT = "Stick to zone 1-2 cardio today if you must train — nothing above RPE 5."
+TIPS_TEMPLATE = (
+    "1. %s\n"
+    "2. %s at %s/10 — spend 15 minutes foam rolling before your next session.\n"
+    "3. Your HRV is at %s ms. %s\n"
+    "4. Drink at least 500ml of water in the next hour and include electrolytes post-training.\n"
+    "5. %s"
+)
+
+# --- fixed values: markdown plan (G4); placeholders: sport, position, hrv + 5 ------------
+PLAN_TEMPLATE = (
+    "\n### 🏃‍♂️ Dynamic Warm-Up & Movement Activation\n"
+    "- **World's Greatest Stretch**: 2 sets × 6 reps per side (activates hip flexors, hamstrings, and thoracic spine).\n"
+    "- **Glute & Core Prep**: 2 sets × 12 reps of Banded Monster Walks and Single-Leg Glute Bridges for joint stabilization.\n"
+    "- **Sport-Specific Movement**: 5 minutes of progressive linear acceleration & low-intensity directional footwork for %s %s.\n"
+    "\n### 🧘‍♂️ Active Recovery & Mobility Exercises\n"
+    "- **90/90 Hip Mobility**: 3 minutes per side to open hip capsule and relieve groin tightness.\n"
+    "- **Hamstring & Calf PNF Stretch**: Hold 10s contract / 20s relax for 3 cycles targeting posterior chain.\n"
+    "- **Thoracic Extension & Foam Rolling**: 8 minutes targeting upper back and IT band tissue release.\n"
+    "\n### 🥗 Whole-Food Performance Diet & Meals\n"
+    "- **Recovery Lunch**: Grilled salmon or chicken breast with quinoa, steamed broccoli, and avocado slices for healthy fats.\n"
+    "- **Anti-Inflammatory Snack**: 250ml tart cherry juice mixed with blueberries and walnuts to accelerate muscle recovery.\n"
+    "- **Evening Dinner**: Lean turkey or tofu stir-fry with sweet potato and leafy spinach.\n"
+    "\n### 🛡️ Biometric Re-Entry & Safety Thresholds\n"
+    "- **HRV Baseline Check**: Morning HRV must recover above %sms before resuming RPE > 7 sessions.\n"
+    "- **Soreness Threshold**: Soreness score must drop below 4/10 before high-speed sprints.\n"
+    "- **Pain Warning**: Discontinue drill immediately if localized sharp joint or tendon discomfort occurs.\n"
+)
+DETAIL_MARKER = "---DETAIL---"
+
+# --- fixed values: full-prescription prompt, user part (G5) ------------------------------
+PROMPT_TEMPLATE = (
+    "Athlete: %s %s, age %s, %skg, %scm\n"
+    "Injury Risk: %s (%s%%) | Key drivers: %s\n"
+    "Sleep: %sh | HRV: %sms | Soreness: %s/10\n"
+    "Weekly load: %sh @ RPE %s/10 | Rest days: %s\n"
+    "Injury history: %s prior injuries (last: %s days ago)"
+)
