@@ -228,3 +228,20 @@ FROM j"""
 @register("j4_f15_build_records", _J4, views=("v_record", "v_sessions", "v_log_writes"), extra=[_LOGS_SQL])
 def j4_f15_build_records(spark, sf):
     return workload.build_records(_profiles(spark, sf), _daily_logs(spark, sf), views.sessions(spark, sf))
+
+
+@register("e10_e12_e13_label_matrix", "WITH" + _SPINE.rstrip() + f""",
+rd AS (SELECT l.athlete_id, l.d, {_R3} AS readiness, {_R4} AS readiness_preview, coalesce(r.ratio_pct, 0) AS ratio_pct
+       FROM logs l LEFT JOIN r ON l.athlete_id = r.athlete_id AND l.d = r.d)
+SELECT {sql_zone('ratio_pct')} AS zone,
+  CASE WHEN readiness IS NULL THEN 'No Data' WHEN readiness >= 80 THEN 'Peak Ready' WHEN readiness >= 65 THEN 'Good'
+       WHEN readiness >= 45 THEN 'Moderate' ELSE 'Low' END AS readiness_label,
+  count(*) AS n_days, round(avg(readiness_preview), 6) AS avg_preview
+FROM rd GROUP BY 1, 2""", views=("v_daily", "v_log_writes"), extra=[_LOGS_SQL])
+def e10_e12_e13_label_matrix(spark, sf):
+    t = workload.readiness_table(_daily_logs(spark, sf))
+    a = _acwr(spark, sf).select("athlete_id", "d", "ratio_pct")
+    j = t.join(a, ["athlete_id", "d"], "left").withColumn("ratio_pct", F.coalesce("ratio_pct", F.lit(0).cast("bigint")))
+    z = workload.with_acwr_zone(j)
+    return z.groupBy("zone", "readiness_label").agg(F.count(F.lit(1)).alias("n_days"),
+                                                     F.round(F.avg("readiness_preview"), 6).alias("avg_preview"))
