@@ -107,26 +107,30 @@ def prompt_table(df: DataFrame, label: str = "injury_risk_label", p: str = "inju
 
 
 def extract_field(text: Column, name: str) -> Column:
-    """G6 field value: after ``NAME:`` up to the next ``\\nKEY:`` line, the detail marker or
-    the end; trimmed; '' when absent."""
-    pat = f"(?s){name}:{_WS}*(.+?)(?=\\n[A-Z_]+:|\\n{fixed.DETAIL_MARKER}|\\z)"
+    """G6 field value: after ``NAME:`` up to the next line that starts with ``KEY:`` (or the
+    end); trimmed; '' when absent. Written line-wise with possessive quantifiers — the same
+    match as a lazy ``(?s).+?`` with a lookahead, without per-character backtracking."""
+    pat = f"{name}:{_WS}*+([^\\n]*+(?:\\n(?![A-Z_]+:)[^\\n]*+)*+)"
     return js_trim(F.regexp_extract(text, pat, 1))
 
 
 def extract_cards(df: DataFrame, text: str = "text") -> DataFrame:
     """Cards (headline, target, detail, leading number of target) for the 4 keys, plus
-    the detail tail after the marker."""
+    the detail tail after the marker. The text is cut at the marker once per row."""
     t = F.col(text)
-    before = F.split(t, fixed.DETAIL_MARKER, 2)[0]
+    idx = F.instr(t, fixed.DETAIL_MARKER)
+    cut = df.select("*", F.when(idx > 0, F.substring(t, 1, idx - 1)).otherwise(t).alias("_before"),
+                    F.when(idx > 0, F.substring(t, idx + len(fixed.DETAIL_MARKER), 1 << 30)).alias("_after"))
+    before = F.col("_before")
     cols = []
     for k in fixed.CARD_KEYS:
         kl = k.lower()
         h, tg, d = (extract_field(before, f"{k}_{x}") for x in ("HEADLINE", "TARGET", "DETAIL"))
-        cols += [h.alias(f"{kl}_headline"), tg.alias(f"{kl}_target"), d.alias(f"{kl}_detail"),
-                 F.nullif(F.regexp_extract(tg, "^[0-9.]+", 0), F.lit("")).alias(f"{kl}_number")]
-    idx = F.instr(t, fixed.DETAIL_MARKER)
-    detail = F.when(idx > 0, js_trim(F.substring(t, idx + len(fixed.DETAIL_MARKER), 1 << 30))).otherwise(F.lit(""))
-    return df.select("*", *cols, detail.alias("detail_text"))
+        cols += [h.alias(f"{kl}_headline"), tg.alias(f"{kl}_target"), d.alias(f"{kl}_detail")]
+    out = cut.select("*", *cols, F.coalesce(js_trim(F.col("_after")), F.lit("")).alias("detail_text"))
+    nums = [F.nullif(F.regexp_extract(f"{k.lower()}_target", "^[0-9.]+", 0), F.lit("")).alias(f"{k.lower()}_number")
+            for k in fixed.CARD_KEYS]
+    return out.select("*", *nums).drop("_before", "_after")
 
 
 def section_blocks(df: DataFrame, text: str, key: str) -> DataFrame:
