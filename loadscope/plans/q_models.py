@@ -192,3 +192,30 @@ def x2_permutation_importance(spark, sf):
     _, te = model_data(spark, sf)
     m = fitted(spark, sf, "logistic", "balanced")
     return explain.permutation_importance(te, m, FEATURES[:4], "y", "id")
+
+
+@register("l13_s10_train_job")
+def l13_s10_train_job(spark, sf):
+    """End-to-end training job — athlete split, train-side impute/scale params (S10),
+    class-weighted forest, model saved, test metrics appended to a run-metrics table."""
+    from loadscope.session import scratch_path
+    from loadscope.sources import io
+    root = scratch_path(spark, "l13-run")
+    wide = features.load_features(features.to_wide_lags(views.daily_measures(spark, sf), MEASURES, 7))
+    d = wide.select(F.concat_ws("|", "athlete_id", F.col("d").cast("string")).alias("id"), "athlete_id",
+                    F.col("injury").alias("y"), *FEATURES)
+    s = split.group_split(d, "athlete_id", 0.2, SEED)
+    train = s.filter(F.col("split") == "train").drop("split")
+    test = s.filter(F.col("split") == "test").drop("split")
+    imp = prep.fit_impute(train, FEATURES)
+    params = imp.unionByName(prep.fit_scaler(prep.apply_impute(train, imp), FEATURES))
+    io.save_params(params, f"{root}/params")
+    params = io.load_params(spark, f"{root}/params")
+    tr = prep.apply_scaler(prep.apply_impute(train, params), params)
+    te = prep.apply_scaler(prep.apply_impute(test, params), params)
+    m = models.fit_model(models.weighted(tr, "y", "balanced", "w"), FEATURES, "y", "forest_tuned", "w", SEED)
+    m.write().overwrite().save(f"{root}/model")
+    scored = models.score_model(te, m, "p", ["id", "y"])
+    rows = metrics.report_rows(scored, "forest_tuned", [t for _, t in fixed.OPERATING_MODES])
+    io.append_audit(rows.withColumn("run_path", F.lit(root)), f"{root}/run_metrics")
+    return spark.read.parquet(f"{root}/run_metrics")
