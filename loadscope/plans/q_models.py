@@ -103,7 +103,8 @@ def fitted(spark, sf, preset: str, wkind: str):
     from loadscope.session import shared_dir
     tag = hashlib.md5(f"{sf}|{preset}|{wkind}".encode()).hexdigest()[:12]
     path = f"{shared_dir(spark)}/models/{spark.sparkContext.applicationId}/{preset}-{tag}"
-    if "://" not in path and os.path.exists(path):
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" not in local and os.path.exists(local):
         return PipelineModel.load(path)
     tr, _ = model_data(spark, sf)
     m = models.fit_model(models.weighted(tr, "y", wkind, "w"), FEATURES, "y", preset, "w", SEED)
@@ -158,7 +159,7 @@ def l9_l10_cross_validation(spark, sf):
     tr, _ = model_data(spark, sf)
     f = split.assign_folds(models.weighted(tr, "y", "balanced", "w"), "y", "id", 5, SEED)
     return models.cross_validate(f, FEATURES, "y", "forest_tuned", "fold",
-                                 {"maxDepth": [5, 10], "numTrees": [50, 100]}, "w")
+                                 {"maxDepth": [5, 10], "numTrees": [50, 100]}, "w", k=5)
 
 
 @register("x1_w8_t2_importances")
