@@ -66,9 +66,21 @@ def acwr_daily(daily: DataFrame, key: str = "athlete_id", day: str = "d", load:
     if start is not None and end is not None:
         lo = _date(start) - dt.timedelta(days=27)
         sums = sums.filter((F.col(day) >= F.lit(lo)) & (F.col(day) <= F.lit(_date(end))))
-    spine = day_spine(sums, key, day, start, end)
-    filled = (spine.join(sums, [key, day], "left")
-              .select(key, day, F.coalesce("_load", F.lit(0).cast("bigint")).alias("_load")))
+    if start is None or end is None:
+        # Gap filling without a spine join: each active day emits itself and the inactive
+        # days up to the next active day (``lead``). The window partitioning by athlete is
+        # the one the range windows below need, so no further exchange is planned.
+        wl = Window.partitionBy(key).orderBy(day_number(F.col(day)))
+        nxt = sums.withColumn("_next", F.lead(day).over(wl))
+        gen = nxt.select(key, F.col(day).alias("_active"), "_load",
+                         F.explode(F.sequence(F.col(day), F.coalesce(F.date_sub("_next", 1), F.col(day)),
+                                              F.expr("INTERVAL 1 DAY"))).alias(day))
+        filled = gen.select(key, day, F.when(F.col(day) == F.col("_active"), F.col("_load"))
+                            .otherwise(F.lit(0).cast("bigint")).alias("_load"))
+    else:
+        spine = day_spine(sums, key, day, start, end)
+        filled = (spine.join(sums, [key, day], "left")
+                  .select(key, day, F.coalesce("_load", F.lit(0).cast("bigint")).alias("_load")))
     if start is not None and end is not None:
         # Days before `start` only feed the windows; keep them in the frame, drop later.
         hist = sums.filter(F.col(day) < F.lit(_date(start)))
