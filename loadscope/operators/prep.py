@@ -115,13 +115,19 @@ def apply_scaler(df: DataFrame, params: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
+def materialize(params: DataFrame) -> DataFrame:
+    """Compute a parameter table once (it is one row per column or category) so later
+    transforms do not re-run the fitting aggregations."""
+    return params.sparkSession.createDataFrame(params.collect(), PARAMS_SCHEMA)
+
+
 def fit_prep(df: DataFrame, numeric: list[str], categorical: list[str], target: str) -> DataFrame:
     """C5 fit: dedup -> medians/modes -> (after impute) one-hot categories -> scaler over the
     numeric features (target and ids excluded). Returns one params table."""
     d = quality.dedup(quality.drop_null_target(df, target))
-    p_imp = fit_impute(d, numeric).unionByName(fit_modes(d, categorical))
+    p_imp = materialize(fit_impute(d, numeric).unionByName(fit_modes(d, categorical)))
     imputed = apply_impute(d, p_imp)
-    return p_imp.unionByName(fit_one_hot(imputed, categorical)).unionByName(fit_scaler(imputed, numeric))
+    return materialize(p_imp.unionByName(fit_one_hot(imputed, categorical)).unionByName(fit_scaler(imputed, numeric)))
 
 
 def transform_prep(df: DataFrame, params: DataFrame, target: str | None = None) -> DataFrame:
