@@ -257,7 +257,26 @@ def r9_pos_weight(spark, sf):
                   / F.greatest(F.sum(F.when(F.col("injured") == 1, 1).otherwise(0)), F.lit(1))).alias("scale_pos_weight"))
 
 
-@register("r7_three_way_split")
+def _q2_sql(src: str, target: str, test_size: float) -> str:
+    return (_quota_sql(src, target, test_size).replace("cc AS", "cc2 AS").replace("FROM cc,", "FROM cc2,")
+            .replace("FROM cc)", "FROM cc2)").replace("tot AS", "tot2 AS").replace(", tot)", ", tot2)")
+            .replace("q0 AS", "q02 AS").replace("FROM q0)", "FROM q02)").replace("q AS (", "qv AS ("))
+
+
+_R7 = f"""WITH {_quota_sql('v_record', 'injured', 0.2)},
+rk AS (SELECT record_id, injured, row_number() OVER (PARTITION BY injured ORDER BY md5('{SEED}|' || CAST(record_id AS VARCHAR)),
+              record_id) AS rn FROM v_record),
+s1 AS (SELECT record_id, injured, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM rk JOIN q ON rk.injured = q.cls),
+rest AS (SELECT record_id, injured FROM s1 WHERE split = 'train'),
+{_q2_sql('rest', 'injured', 0.25)},
+rk2 AS (SELECT record_id, injured, row_number() OVER (PARTITION BY injured
+               ORDER BY md5('{SEED + 1}|' || CAST(record_id AS VARCHAR)), record_id) AS rn FROM rest)
+SELECT record_id, injured, split FROM s1 WHERE split = 'test'
+UNION ALL
+SELECT record_id, injured, CASE WHEN rn <= quota THEN 'val' ELSE 'train' END FROM rk2 JOIN qv ON rk2.injured = qv.cls"""
+
+
+@register("r7_three_way_split", _R7, views=("v_record",))
 def r7_three_way_split(spark, sf):
     t = views.train(spark, sf).select("record_id", "injured")
     return split.three_way_split(t, "injured", "record_id", 0.2, 0.2, SEED)
