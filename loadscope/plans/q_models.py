@@ -58,7 +58,23 @@ _NUM = ["age", "weight_kg", "height_cm", "weekly_volume_hrs", "weekly_intensity_
         "soreness_score", "rest_days", "prior_injuries", "days_since_last_injury"]
 
 
-@register("c5_c6_prep_summary")
+def _c5_sql() -> str:
+    from loadscope.plans.q_eval import _quota_sql
+    return f"""WITH d AS (SELECT * FROM v_dirty WHERE injured IS NOT NULL),
+{_quota_sql('d', 'injured', 0.2)},
+rk AS (SELECT d.*, row_number() OVER (PARTITION BY injured ORDER BY md5('{SEED}|' || CAST(record_id AS VARCHAR)),
+              record_id) AS rn FROM d),
+s AS (SELECT rk.*, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM rk JOIN q ON rk.injured = q.cls),
+tr AS (SELECT DISTINCT * EXCLUDE (rn, split) FROM s WHERE split = 'train')
+SELECT count(*) AS rows,
+       CAST({len(_NUM)} + (SELECT count(DISTINCT sport) - 1 + count(DISTINCT position) - 1 FROM tr) AS INTEGER) AS features,
+       CAST(0 AS BIGINT) AS remaining_nulls,
+       CAST(sum(CASE WHEN injured = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives,
+       CAST(sum(CASE WHEN injured = 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives
+FROM s WHERE split = 'test'"""
+
+
+@register("c5_c6_prep_summary", _c5_sql(), views=("v_dirty",))
 def c5_c6_prep_summary(spark, sf):
     d = views.dirty(spark, sf).drop("rhr")
     s = split.stratified_split(d.dropna(subset=["injured"]), "injured", "record_id", 0.2, SEED)
