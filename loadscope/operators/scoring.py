@@ -93,7 +93,10 @@ def score_formula(df: DataFrame, out: str = "injury_probability") -> DataFrame:
                       + F.greatest(F.lit(0.0), (F.lit(70.0) - hrv) / 70.0) * 0.35
                       + sore / 10.0 * 0.30))
     history = F.least(F.lit(1.0), (priors * 0.15) * (F.lit(0.4) + F.exp(-days / 90.0) * 0.6))
-    bio = sport_multiplier(sport) * position_multiplier(pos) - 1.0
+    # Precomputed multipliers (``attach_multipliers``) are reused when present.
+    sm = F.col("sport_mult") if "sport_mult" in df.columns else sport_multiplier(sport)
+    pm = F.col("position_mult") if "position_mult" in df.columns else position_multiplier(pos)
+    bio = sm * pm - 1.0
     z = workload * 2.2 + deficit * 2.0 + history * 1.5 + bio * 2.0 - 2.2
     # NULL inputs propagate (least/greatest would skip them): guard explicitly.
     inputs_ok = (vol.isNotNull() & inten.isNotNull() & sleep.isNotNull() & hrv.isNotNull() & sore.isNotNull()
@@ -167,8 +170,10 @@ def what_if(df: DataFrame, scenarios=None) -> DataFrame:
     for name, *vals in scenarios:
         structs.append(F.struct(F.lit(name).alias("scenario"),
                                 *[F.lit(float(v)).alias(c) for c, v in zip(_SCENARIO_COLS, vals)]))
-    x = df.withColumn("_sc", F.explode(F.array(*structs)))
-    sel = [F.col(c) for c in df.columns if c not in _SCENARIO_COLS]
+    # Lookups do not depend on the scenario: resolve them once per record, then explode.
+    base = attach_multipliers(df) if "sport_mult" not in df.columns else df
+    x = base.withColumn("_sc", F.explode(F.array(*structs)))
+    sel = [F.col(c) for c in base.columns if c not in _SCENARIO_COLS]
     sel.append(F.col("_sc.scenario").alias("scenario"))
     for c in _SCENARIO_COLS:
         base = F.col(c)
