@@ -7,7 +7,6 @@ Only a local-mode session (tests, bench) gets a private folder when none is set.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -72,10 +71,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     root = shared_dir(spark)
     sep = "" if root.endswith("/") else "/"
-    path = f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    # Spark writers create the folder themselves (on any file system); nothing is created here.
+    return f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
