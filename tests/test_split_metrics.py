@@ -101,3 +101,18 @@ def test_auc_ap_against_brute_force(spark):
 def test_all_equal_scores_auc_half(spark):
     df = spark.createDataFrame([(1, .5), (0, .5), (1, .5), (0, .5)], "y int, p double")
     assert metrics.ranking_metrics(df).first().roc_auc == 0.5
+
+
+def test_three_way_split_disjoint(balanced):
+    s = split.three_way_split(balanced, "target", "id", 0.2, 0.2, 42)
+    c = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
+    assert c == {"train": 600, "val": 200, "test": 200}
+    assert s.select("id").distinct().count() == 1000
+
+
+def test_group_split_keeps_groups_whole(spark):
+    df = spark.createDataFrame([(i, f"g{i % 37}") for i in range(2000)], "id long, g string")
+    s = split.group_split(df, "g", 0.2, 42)
+    per = s.groupBy("g").agg(F.countDistinct("split").alias("n")).filter(F.col("n") > 1).count()
+    assert per == 0
+    assert s.filter(F.col("split") == "test").select("g").distinct().count() == 8  # ceil(0.2 * 37)
