@@ -8,11 +8,9 @@ needs to names of its own first, so extra columns of the input, whatever their n
 from __future__ import annotations
 
 import gc
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loadscope.session import scratch_path
 
@@ -117,9 +115,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def schema_of(df: DataFrame, *columns: str) -> list[T.StructField]:
-    return [df.schema[c] for c in columns]
-
-
-def bits_for(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(2, n))))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import SPACES, dropped, saved
+from loadscope.llm.common import SPACES, dropped, fresh, saved
 
 PREFIX = 64
 
@@ -70,6 +70,7 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     def key(i: Column, h: Column) -> Column:
         return F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), h)
 
-    stay = decisions(docs, doc_id, text).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_kept_key"))
-    marked = docs.withColumn("_kept_key", key(F.col(doc_id), F.sha2(normalised(F.col(text)), 256)))
-    return marked.join(stay, "_kept_key", "left_semi").dropDuplicates(["_kept_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "_kept_key")
+    stay = decisions(docs, doc_id, text).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(name))
+    held = docs.withColumn(name, key(F.col(doc_id), F.sha2(normalised(F.col(text)), 256))).join(stay, name, "left_semi")
+    return held.dropDuplicates([name]).drop(name)

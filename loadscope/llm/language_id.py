@@ -132,8 +132,9 @@ class Languages:
             c = codes[start[:k] + step]
             went = self.table[state[:, :k] * self.width + c].astype(np.int64)
             stuck = went < 0
-            # The phrase ends; a letter that the language lacks is a phrase of its own.
-            count[:, :k] += np.where(stuck, 2 - self.known[:, c], 0)
+            # The phrase ends, if one was begun; a letter that the language lacks is a phrase of its own.
+            count[:, :k] += stuck & (state[:, :k] != self.roots[:, None])
+            count[:, :k] += stuck & ~self.known[:, c]
             state[:, :k] = np.where(stuck, self.first[:, c], went)
         count += state != self.roots[:, None]
         out = np.zeros((len(self.names), len(sizes)), np.int64)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import WORD, dropped, positions, saved
+from loadscope.llm.common import WORD, dropped, fresh, positions, saved
 
 #: The multiplier at which exp(lambda * size / mean) is over any cap for all sizes of one word and more.
 STEEPEST = 1e6
@@ -142,28 +142,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
             .join(goals.withColumnRenamed("source", "_s3"), F.expr("_s <=> _s3"))
             .select("_s", "_z", "n", "rate", "k", "first", "source_size", "target"))
     out = placed.join(plan, F.expr("source <=> _s and size = _z"))
-    at = F.col("pos") - F.col("first")
     # Whole numbers: the k copies of a cell fall evenly on its n documents, at most cap on each.
     copies = F.expr("CAST((CAST(pos - first + 1 AS DECIMAL(20,0)) * k) DIV n AS BIGINT) - CAST((CAST(pos - first AS DECIMAL(20,0)) * k) DIV n AS BIGINT)")
-    del at
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **law) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: left out, once, or repeated, with all their columns."""
     plan = mix(docs, doc_id=doc_id, text=text, source=source, **law)
-    key = lambda i, s, z: F.struct(F.coalesce(i.cast("string"), F.lit("")), i.isNull(), F.coalesce(s, F.lit("")), s.isNull(), z)
+    names = [fresh(docs, n) for n in ("_mix_key", "_mix_n", "_mix_top", "_mix_row", "_mix_copy")]
+    mix_key, total, top, row, copy = names
+
+    def key(i: Column, s: Column, z: Column) -> Column:
+        return F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), z.cast("string"), s.isNull().cast("string"), F.coalesce(s, F.lit("")))
+
     # Rows that repeat (doc_id, source, size) share one total, dealt by their order among each other.
-    plan = (plan.where("copies > 0").groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_mix_key"))
-            .agg(F.sum("copies").alias("_mix_n"), F.max("copies").alias("_mix_top")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_mix_key", key(F.col(doc_id), F.col(source).cast("string"), words(F.col(text))))
-    joined = keyed.join(plan, "_mix_key")
-    nth = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.col(doc_id))) - 1
-    joined = joined.withColumn("_mix_row", nth)
-    take = F.greatest(F.lit(0), F.least(F.col("_mix_top"), F.col("_mix_n") - F.col("_mix_row") * F.col("_mix_top"))).cast("int")
-    return (joined.withColumn("_mix_take", take).where("_mix_take > 0")
-            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_take")))).select(*columns))
+    plan = (plan.where("copies > 0").groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias(mix_key))
+            .agg(F.sum("copies").alias(total), F.max("copies").alias(top)))
+    joined = docs.withColumn(mix_key, key(F.col(doc_id), F.col(source).cast("string"), words(F.col(text)))).join(plan, mix_key)
+    joined = joined.withColumn(row, F.row_number().over(Window.partitionBy(mix_key).orderBy(mix_key)) - 1)
+    take = F.greatest(F.lit(0), F.least(F.col(top), F.col(total) - F.col(row) * F.col(top))).cast("int")
+    return (joined.withColumn(copy, take).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+            .drop(*names))
 
 
 def digest(docs: DataFrame) -> DataFrame:

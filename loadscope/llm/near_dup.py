@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import components, dropped, saved
+from loadscope.llm.common import components, dropped, fresh, saved
 
 MISS = 1e-5
 MOST_HASHES = 240
@@ -292,10 +292,10 @@ def kept_rows(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     def key(i: Column) -> Column:
         return F.coalesce(i.cast("string"), F.lit("null"))
 
-    stay = near_duplicates(docs, k, percent, doc_id, text).where("kept").select(key(F.col("doc_id")).alias("_kept_key")).distinct()
-    marked = docs.withColumn("_kept_key", key(F.col(doc_id))).withColumn("_kept_text", F.xxhash64(F.col(text)))
-    held = marked.join(stay, "_kept_key", "left_semi").dropDuplicates(["_kept_key", "_kept_text"])
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns])
+    name, body = fresh(docs, "_kept_key"), fresh(docs, "_kept_text")
+    stay = near_duplicates(docs, k, percent, doc_id, text).where("kept").select(key(F.col("doc_id")).alias(name)).distinct()
+    held = docs.withColumns({name: key(F.col(doc_id)), body: F.xxhash64(F.col(text))}).join(stay, name, "left_semi")
+    return held.dropDuplicates([name, body]).drop(name, body)
 
 
 def digest(docs: DataFrame) -> DataFrame:
