@@ -32,13 +32,17 @@ def importance_table(spark: SparkSession, model: PipelineModel, names: list[str]
 
 def linear_contributions(df: DataFrame, model: PipelineModel, names: list[str], means: dict[str, float],
                          key: str = "id") -> DataFrame:
-    """X2b input: per row ``contributions array<struct<feature, value>>`` (exact, linear)."""
+    """X2b input: per row ``contributions array<struct<feature, value>>`` (exact, linear), the base value
+    (log odds of a row at the means) and the probability that base and contributions add up to."""
     coef = model.stages[-1].coefficients.toArray().tolist()
     items = [F.struct(F.lit(n).alias("feature"),
                       ((F.coalesce(F.col(n).cast("double"), F.lit(means.get(n, 0.0))) - F.lit(means.get(n, 0.0)))
                        * F.lit(float(w))).alias("value"))
              for n, w in zip(names, coef)]
-    return df.select(key, F.array(*items).alias("contributions"))
+    out = df.select(key, F.array(*items).alias("contributions"),
+                    F.lit(float(model.stages[-1].intercept) + sum(w * means.get(n, 0.0) for n, w in zip(names, coef))).alias("base_value"))
+    odds = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["value"])
+    return out.withColumn("probability", 1 / (1 + F.exp(-odds)))
 
 
 def top_attributions(contrib: DataFrame, k: int = 10) -> DataFrame:

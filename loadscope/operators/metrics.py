@@ -87,12 +87,11 @@ def score_counts(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
         F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("bigint").alias("neg"))
 
 
-def cumulative_counts(scored: DataFrame, y: str = "y", p: str = "p", buckets: int | None = None) -> DataFrame:
+def cumulative_counts(scored: DataFrame, y: str = "y", p: str = "p", buckets: int = 256) -> DataFrame:
     """Distinct scores with inclusive running counts from the top score down:
     ``tp`` = positives with score >= s, ``fp`` = negatives with score >= s, plus totals."""
     sc = score_counts(scored, y, p)
-    spark = scored.sparkSession
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets
     if n > 1:
         qs = [i / n for i in range(1, n)]
         bounds = sc.agg(F.percentile_approx("score", qs, 10000).alias("b")).first()["b"] or []

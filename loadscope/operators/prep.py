@@ -17,16 +17,15 @@ from pyspark.sql import functions as F
 from loadscope.operators import quality
 
 PARAMS_SCHEMA = "step string, column_name string, category string, value double"
-ONE_HOT_CAP = 1000
 
 
 def _params(spark, rows) -> DataFrame:
     return spark.createDataFrame(rows, PARAMS_SCHEMA)
 
 
-def fit_impute(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def fit_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """C1 fit: median per numeric column."""
-    med = quality.medians(df, cols, exact)
+    med = quality.medians(df, cols)
     parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     return med.selectExpr(f"stack({len(cols)}, {parts}) as (column_name, value)").select(
         F.lit("median").alias("step"), "column_name", F.lit(None).cast("string").alias("category"), "value")
@@ -39,15 +38,11 @@ def fit_modes(df: DataFrame, cols: list[str]) -> DataFrame:
                     F.lit(None).cast("double").alias("value"))
 
 
-def fit_one_hot(df: DataFrame, cols: list[str], cap: int = ONE_HOT_CAP) -> DataFrame:
-    """C3 fit: sorted distinct categories per column, the first one dropped. Refuses more
-    than ``cap`` categories per column (use ``OneHotEncoder`` vectors above that)."""
+def fit_one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
+    """C3 fit: sorted distinct categories per column, the first one dropped. ``apply_one_hot`` gives a
+    column per category, ``one_hot_long`` a row per (id, category) where there are very many."""
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("category")) for c in cols])
     cats = df.select(F.explode(arr).alias("kv")).select("kv.*").filter(F.col("category").isNotNull()).distinct()
-    counts = cats.groupBy("column_name").count().collect()
-    too_many = [r["column_name"] for r in counts if r["count"] > cap]
-    if too_many:
-        raise ValueError(f"more than {cap} categories in {too_many}")
     first = cats.groupBy("column_name").agg(F.min("category").alias("_first"))
     kept = cats.join(first, "column_name").filter(F.col("category") != F.col("_first"))
     return kept.select(F.lit("onehot").alias("step"), "column_name", "category", F.lit(None).cast("double").alias("value"))
@@ -107,6 +102,15 @@ def apply_one_hot(df: DataFrame, params: DataFrame) -> DataFrame:
     return df.select(*keep, *new)
 
 
+def one_hot_long(df: DataFrame, params: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """C3 transform in long form: (key, feature) of every indicator that is 1; any number of categories,
+    by a join with the fitted table."""
+    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("category")) for c in cols])
+    rows = df.select(key, F.explode(arr).alias("kv")).select(key, "kv.*")
+    kept = params.filter(F.col("step") == "onehot").select("column_name", "category")
+    return rows.join(kept, ["column_name", "category"]).select(key, F.concat_ws("_", "column_name", "category").alias("feature"))
+
+
 def apply_scaler(df: DataFrame, params: DataFrame) -> DataFrame:
     """C4 transform: (x - mean) / std."""
     mean = {r["column_name"]: r["value"] for r in _collect(params, "mean")}

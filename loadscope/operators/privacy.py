@@ -4,8 +4,8 @@
   precomputed on the driver from the key parameter — a JVM expression, no Python UDF.
 * P2/P3 use Spark's ``aes_encrypt``/``try_aes_decrypt`` in GCM mode, whose output layout
   (12-byte nonce, ciphertext, 16-byte tag) matches the studied system's.
-* Keys are parameters; they end up as literals in the plan, so sessions should set
-  ``spark.sql.redaction.string.regex`` to hide them from logged plans.
+* Keys are parameters and end up as literals in the plan; ``session.get_spark`` sets
+  ``spark.sql.redaction.string.regex`` so that long hex literals are hidden from explained plans.
 """
 
 from __future__ import annotations
@@ -57,9 +57,9 @@ def derive_aes_key(key_text: str) -> bytes:
 
 
 def encrypt_struct(df: DataFrame, cols: list[str], key_text: str, out: str = "encrypted_biometrics") -> DataFrame:
-    """base64(nonce || AES-256-GCM(JSON of the columns) || tag)."""
+    """base64(nonce || AES-256-GCM(JSON of the columns, NULLs kept) || tag)."""
     key = F.lit(derive_aes_key(key_text))
-    payload = F.encode(F.to_json(F.struct(*[F.col(c) for c in cols])), "UTF-8")
+    payload = F.encode(F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}), "UTF-8")
     return df.withColumn(out, F.base64(F.aes_encrypt(payload, key, F.lit("GCM"))))
 
 
@@ -97,7 +97,10 @@ def visible_counts(records: DataFrame, users: DataFrame) -> DataFrame:
     per_ath = records.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("n_ath"))
     per_sport = records.groupBy("sport").agg(F.count(F.lit(1)).alias("n_sport"))
     total = records.agg(F.count(F.lit(1))).scalar()  # scalar subquery, one value
-    u = users.join(per_ath, "athlete_id", "left").join(per_sport, "sport", "left")
+    # Only athletes have an id: the others would all meet in the join's null partition.
+    athletes = users.where("athlete_id is not null").join(per_ath, "athlete_id", "left")
+    others = users.where("athlete_id is null").withColumn("n_ath", F.lit(None).cast("bigint"))
+    u = athletes.unionByName(others).join(per_sport, "sport", "left")
     n = (F.when(F.col("role") == "Athlete", F.coalesce("n_ath", F.lit(0)))
          .when(F.col("role") == "Coach", F.coalesce("n_sport", F.lit(0)))
          .otherwise(total))

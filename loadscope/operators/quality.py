@@ -7,9 +7,7 @@ Scale notes
 * Keyed "last write wins" (A2) is ``max_by(struct, order)`` in a ``groupBy``: partial
   aggregation collapses a hot key before the shuffle, unlike a ``row_number`` window that
   would send all of its rows to one task.
-* Exact medians/quantiles (A4, A9) keep a value->count map per column, so their memory is
-  bounded by the number of distinct values; ``exact=False`` switches to
-  ``percentile_approx`` for high-cardinality columns.
+* Medians and quartiles (A4, A9) are exact and distributed (``quantiles``).
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadscope.functions import fixed
+from loadscope.operators.quantiles import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -175,19 +174,17 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return one.selectExpr(f"stack({len(cols)}, {parts}) as (column_name, dtype, non_null)", "_n as n_rows")
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True,
-                     accuracy: int = 10000) -> DataFrame:
-    """A4: count, mean, sample std, min, 25/50/75 % (linear interpolation), max; 4 dp."""
+def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """A4: count, mean, sample std, min, 25/50/75 % (linear interpolation, exact), max; 4 dp."""
     cols = cols or numeric_columns(df)
+    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
         aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_a{i}"), F.stddev_samp(x).alias(f"_s{i}"),
-                 F.min(x).alias(f"_lo{i}"), q.alias(f"_q{i}"), F.max(x).alias(f"_hi{i}")]
-    one = df.agg(*aggs)
-    parts = ", ".join(f"'{c}', _n{i}, _a{i}, _s{i}, _lo{i}, _q{i}[0], _q{i}[1], _q{i}[2], _hi{i}"
+                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
+    one = df.agg(*aggs).withColumns({f"_q{i}{k}": F.lit(quartiles[c][k]).cast("double") for i, c in enumerate(cols) for k in range(3)})
+    parts = ", ".join(f"'{c}', _n{i}, _a{i}, _s{i}, _lo{i}, _q{i}0, _q{i}1, _q{i}2, _hi{i}"
                       for i, c in enumerate(cols))
     long = one.selectExpr(f"stack({len(cols)}, {parts}) as (column_name, n, mean, std, min, p25, p50, p75, max)")
     return long.select("column_name", "n", *[F.round(c, 4).alias(c) for c in
@@ -219,7 +216,7 @@ def class_distribution(df: DataFrame, col: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 5) -> DataFrame:
-    """Equal-width bins over [min, max]; the maximum falls in the last bin.
+    """Equal-width bins over [min, max], empty ones included; the maximum falls in the last bin.
 
     Two passes: a one-row min/max aggregate (read to the driver — one row), then the
     bucketed count; bucket = least(bins, floor((x - lo) * bins / (hi - lo)) + 1)."""
@@ -232,16 +229,18 @@ def histogram(df: DataFrame, col: str, bins: int = 5) -> DataFrame:
          F.least(F.lit(bins), F.floor((x - float(lo)) * bins / width) + 1)).cast("bigint")
     g = df.filter(x.isNotNull()).groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     step = width / bins
+    g = (df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bucket")).join(g, "bucket", "left")
+         .fillna(0, ["n"]))
     return g.select("bucket",
                     (F.lit(float(lo)) + (F.col("bucket") - 1) * step).alias("lo"),
                     (F.lit(float(lo)) + F.col("bucket") * step).alias("hi"),
                     "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1).alias("pct"))
 
 
-def medians(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """One row, one median per column."""
-    return df.agg(*[(F.median(F.col(c).cast("double")) if exact else
-                     F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy)).alias(c) for c in cols])
+def medians(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row, one exact median per column."""
+    found = exact_quantiles(df, cols, [0.5])
+    return df.sparkSession.range(1).select(*[F.lit(found[c][0]).cast("double").alias(c) for c in cols])
 
 
 def modes(df: DataFrame, cols: list[str]) -> DataFrame:

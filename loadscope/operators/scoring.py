@@ -2,9 +2,7 @@
 
 The multiplier dictionaries are fixed-size (11 sports, 31 positions), so the lookups are
 compiled into CASE expressions: no join, no shuffle, fused into the projection. The
-position fallback keeps the studied system's first-match order (D9). User-supplied
-dimension tables go through ``dimension_pairs``, which refuses tables above a size cap
-before collecting them.
+position fallback keeps the studied system's first-match order (D9).
 """
 
 from __future__ import annotations
@@ -14,18 +12,6 @@ from pyspark.sql import functions as F
 
 from loadscope.functions import fixed, scores
 
-DIM_CAP = 10_000
-
-
-def dimension_pairs(dim: DataFrame, key: str, value: str, order: str | None = None,
-                    cap: int = DIM_CAP) -> list[tuple[str, float]]:
-    """Collect a lookup dimension after proving it is small (``limit(cap+1)`` probe)."""
-    probe = dim.limit(cap + 1).count()
-    if probe > cap:
-        raise ValueError(f"lookup dimension has more than {cap} rows; join it instead")
-    rows = dim.orderBy(order) if order else dim
-    return [(r[key], float(r[value])) for r in rows.select(key, value, *( [order] if order else [])).collect()]
-
 
 def exact_lookup(c: Column, pairs, default: float = 1.0) -> Column:
     """Exact match, default when absent."""

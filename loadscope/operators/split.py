@@ -130,12 +130,12 @@ def assign_folds(df: DataFrame, target: str, key: str, k: int = 5, seed: int = 4
 
 
 def class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
-    """R8: 'balanced' weights n / (k * n_c) joined to the rows (the class table is tiny)."""
+    """R8: 'balanced' weights n / (k * n_c) joined to the rows (Spark broadcasts the class table by its size)."""
     c = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
     tot = c.agg(F.sum("_nc"), F.count(F.lit(1))).first()
     n, k = tot[0], tot[1]
     w = c.select(target, (F.lit(float(n)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), target, "left")
+    return df.join(w, target, "left")
 
 
 def pos_weight(df: DataFrame, target: str) -> float:

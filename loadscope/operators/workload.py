@@ -23,6 +23,10 @@ from loadscope.functions import scores
 from loadscope.functions.rounding import int_div, ratio_pct, round_js
 
 
+#: Mean exertion of a week without sessions.
+IDLE_RPE = 7.0
+
+
 def _date(d) -> dt.date:
     return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))
 
@@ -56,9 +60,13 @@ def day_spine(daily: DataFrame, key: str = "athlete_id", day: str = "d",
 
 
 def acwr_daily(daily: DataFrame, key: str = "athlete_id", day: str = "d", load: str = "load",
-               start=None, end=None) -> DataFrame:
+               start=None, end=None, through=None, athletes: DataFrame | None = None) -> DataFrame:
     """Calendar ACWR series per athlete, inactive days included.
 
+    Without ``start``/``end`` a series runs from the athlete's first session to the last one, or to
+    ``through`` if that is later, so that it decays after the last session. With both, every athlete
+    of ``athletes`` (default: of ``daily``) has one row for each day of [start, end], 0 where idle.
+
     acute = sum(load, [d-6, d]); chronic = sum(load, [d-27, d]) / 4 (JS-rounded for display);
     ratio = round_half_up(acute / chronic, 2), 0 when chronic is 0 (D2, D21).
     Input is day grain (``v_daily``)."""
@@ -72,13 +80,14 @@ def acwr_daily(daily: DataFrame, key: str = "athlete_id", day: str = "d", load:
         # the one the range windows below need, so no further exchange is planned.
         wl = Window.partitionBy(key).orderBy(day_number(F.col(day)))
         nxt = sums.withColumn("_next", F.lead(day).over(wl))
+        last = F.col(day) if through is None else F.greatest(F.col(day), F.lit(_date(through)))
         gen = nxt.select(key, F.col(day).alias("_active"), "_load",
-                         F.explode(F.sequence(F.col(day), F.coalesce(F.date_sub("_next", 1), F.col(day)),
+                         F.explode(F.sequence(F.col(day), F.coalesce(F.date_sub("_next", 1), last),
                                               F.expr("INTERVAL 1 DAY"))).alias(day))
         filled = gen.select(key, day, F.when(F.col(day) == F.col("_active"), F.col("_load"))
                             .otherwise(F.lit(0).cast("bigint")).alias("_load"))
     else:
-        spine = day_spine(sums, key, day, start, end)
+        spine = day_spine(daily if athletes is None else athletes, key, day, start, end)
         filled = (spine.join(sums, [key, day], "left")
                   .select(key, day, F.coalesce("_load", F.lit(0).cast("bigint")).alias("_load")))
     if start is not None and end is not None:
@@ -115,30 +124,40 @@ def zone_summary(acwr: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- W4
-def acwr_as_of(sessions: DataFrame, as_of, key: str = "athlete_id") -> DataFrame:
+def _athletes(sessions: DataFrame, athletes: DataFrame | None, key: str) -> DataFrame:
+    """The athletes that a report lists: the given ones, else all that ever had a session."""
+    return (sessions if athletes is None else athletes).select(key).distinct()
+
+
+def acwr_as_of(sessions: DataFrame, as_of, key: str = "athlete_id", athletes: DataFrame | None = None) -> DataFrame:
     """Point-in-time calendar ACWR: conditional sums over [as_of-27, as_of]; future
-    sessions excluded (D2). One map-side-combined aggregation."""
+    sessions excluded (D2). Athletes idle in the window have load and ratio 0."""
     a = _date(as_of)
     s = _ts_bounds(sessions, a - dt.timedelta(days=27), a)
     in7 = F.col("d") >= F.lit(a - dt.timedelta(days=6))
     g = s.groupBy(key).agg(
         F.sum(F.when(in7, F.col("load")).otherwise(0)).cast("bigint").alias("acute_load"),
         F.sum("load").cast("bigint").alias("load28"))
+    g = _athletes(sessions, athletes, key).join(g, key, "left").fillna(0, ["acute_load", "load28"])
     pct = F.coalesce(ratio_pct(F.lit(4) * F.col("acute_load"), F.col("load28")), F.lit(0).cast("bigint"))
     return g.select(key, "acute_load", int_div(F.col("load28") + 2, F.lit(4)).alias("chronic_load"),
                     (pct / F.lit(100.0)).alias("ratio"), pct.alias("ratio_pct"))
 
 
 # --------------------------------------------------------------------------- A11-A14
-def load_summary(sessions: DataFrame, as_of, days: int = 7, key: str = "athlete_id") -> DataFrame:
-    """Trailing-window session aggregates per athlete (athletes with sessions in it)."""
+def load_summary(sessions: DataFrame, as_of, days: int = 7, key: str = "athlete_id",
+                 athletes: DataFrame | None = None) -> DataFrame:
+    """Trailing-window session aggregates per athlete; without a session in the window the
+    sums are 0 and the mean exertion is the default."""
     a = _date(as_of)
     s = _ts_bounds(sessions, a - dt.timedelta(days=days - 1), a)
-    return s.groupBy(key).agg(
+    g = s.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_sessions"),
         F.sum("load").cast("bigint").alias("total_load"),
         (F.sum("duration") / F.lit(60.0)).alias("volume_hrs"),
         F.avg(F.coalesce(F.col("rpe"), F.lit(5))).alias("avg_rpe"))
+    return (_athletes(sessions, athletes, key).join(g, key, "left")
+            .fillna(0, ["n_sessions", "total_load", "volume_hrs"]).fillna(IDLE_RPE, ["avg_rpe"]))
 
 
 def lifetime_summary(sessions: DataFrame, logs: DataFrame, key: str = "athlete_id") -> DataFrame:
@@ -156,13 +175,14 @@ def lifetime_summary(sessions: DataFrame, logs: DataFrame, key: str = "athlete_i
                     F.coalesce("days_tracked", F.lit(0)).alias("days_tracked")))
 
 
-def daily_load(daily: DataFrame, as_of, days: int = 7, key: str = "athlete_id") -> DataFrame:
+def daily_load(daily: DataFrame, as_of, days: int = 7, key: str = "athlete_id",
+               athletes: DataFrame | None = None) -> DataFrame:
     """Per athlete, each of the last `days` days zero-filled, with bar percent of the
     window's max (max floored at 1)."""
     a = _date(as_of)
     lo = a - dt.timedelta(days=days - 1)
     w = daily.filter((F.col("d") >= F.lit(lo)) & (F.col("d") <= F.lit(a))).select(key, "d", "load")
-    spine = daily.select(key).distinct().select(
+    spine = _athletes(daily, athletes, key).select(
         key, F.explode(F.sequence(F.lit(lo), F.lit(a), F.expr("INTERVAL 1 DAY"))).alias("d"))
     filled = spine.join(w, [key, "d"], "left").select(
         key, "d", F.coalesce("load", F.lit(0).cast("bigint")).alias("load"))
@@ -170,15 +190,16 @@ def daily_load(daily: DataFrame, as_of, days: int = 7, key: str = "athlete_id")
     return filled.select(key, "d", "load", round_js(F.col("load") * 100.0 / mx).cast("bigint").alias("bar_pct"))
 
 
-def weekly_buckets(sessions: DataFrame, as_of, weeks: int = 4, key: str = "athlete_id") -> DataFrame:
-    """Consecutive 7-day buckets back from as_of (0 = most recent), zero-filled for
-    athletes active in the range."""
+def weekly_buckets(sessions: DataFrame, as_of, weeks: int = 4, key: str = "athlete_id",
+                   athletes: DataFrame | None = None) -> DataFrame:
+    """Consecutive 7-day buckets back from as_of (0 = most recent), zero-filled for every
+    athlete."""
     a = _date(as_of)
     s = _ts_bounds(sessions, a - dt.timedelta(days=7 * weeks - 1), a)
     b = int_div(F.datediff(F.lit(a), F.col("d")), F.lit(7)).alias("week_back")
     g = s.groupBy(key, b).agg(F.sum("load").cast("bigint").alias("load"),
                               F.count(F.lit(1)).alias("n_sessions"))
-    spine = (g.select(key).distinct()
+    spine = (_athletes(sessions, athletes, key)
              .select(key, F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("_w"))
              .select(key, F.col("_w").cast("bigint").alias("week_back")))
     return spine.join(g, [key, "week_back"], "left").select(
@@ -247,11 +268,15 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), c))
 
 
-def build_records(profiles: DataFrame, logs: DataFrame, sessions: DataFrame,
+def build_records(profiles: DataFrame, logs: DataFrame, sessions: DataFrame, as_of,
                   key: str = "athlete_id", legacy_zero_default: bool = False) -> DataFrame:
-    """J4 + F15: one AthleteRecord per daily log: profile (latest per athlete) joined with
-    that day's log and the trailing-7-day workout aggregates; values clamped into the legal
-    ranges with defaults on NULL (or on 0 as well with ``legacy_zero_default``, D22)."""
+    """J4 + F15: one AthleteRecord per daily log, and one dated ``as_of`` per profile without any
+    log: profile (latest per athlete) joined with that day's log and the trailing-7-day workout
+    aggregates; values clamped into the legal ranges with defaults on NULL (or on 0 as well with
+    ``legacy_zero_default``, D22). A log without a profile takes the default profile."""
+    unlogged = (profiles.select(key).join(logs.select(key).distinct(), key, "left_anti")
+                .withColumn("d", F.lit(_date(as_of))))
+    logs = logs.unionByName(unlogged, allowMissingColumns=True)
     day = (sessions.groupBy(key, "d")
            .agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("duration").alias("duration"),
                 F.sum(F.coalesce("rpe", F.lit(5))).alias("rpe_sum")))
@@ -261,7 +286,7 @@ def build_records(profiles: DataFrame, logs: DataFrame, sessions: DataFrame,
         .select(key, "d", F.lit(0).cast("bigint").alias("n_sessions"),
                 F.lit(0).cast("bigint").alias("duration"), F.lit(0).cast("bigint").alias("rpe_sum")))
     tw = trailing_week(day, key)
-    j = (logs.join(profiles, key, "inner").join(tw, [key, "d"], "left"))
+    j = logs.join(profiles, key, "left").join(tw, [key, "d"], "left")
 
     def dflt(c: Column, v) -> Column:
         if legacy_zero_default:
@@ -269,7 +294,7 @@ def build_records(profiles: DataFrame, logs: DataFrame, sessions: DataFrame,
         return F.coalesce(c, F.lit(v))
 
     vol = F.when(F.col("n7") > 0, F.round(F.col("minutes7") / 60.0, 1))
-    inten = F.when(F.col("n7") > 0, F.round(F.col("rpe7") / F.col("n7"), 1)).otherwise(F.lit(7.0))
+    inten = F.when(F.col("n7") > 0, F.round(F.col("rpe7") / F.col("n7"), 1)).otherwise(F.lit(IDLE_RPE))
     return j.select(
         key, F.col("d").alias("date"),
         F.trim(F.coalesce("sport", F.lit("Football"))).alias("sport"),

@@ -28,6 +28,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT athlete_id, d, CAST(count(*) AS BIGINT) AS n_sessions,
                CAST(sum(load) AS BIGINT) AS load, CAST(sum(duration) AS BIGINT) AS duration
         FROM v_sessions GROUP BY athlete_id, d"""),
+    "v_athletes": ([], """
+        SELECT 'ATH-' || CAST(c_custkey AS VARCHAR) AS athlete_id FROM customer
+        UNION SELECT 'ATH-' || CAST(user_id AS VARCHAR) FROM events"""),
     "v_record": ([], f"""
         SELECT o_orderkey AS record_id, 'ATH-' || CAST(o_custkey AS VARCHAR) AS athlete_id,
                CAST(o_orderdate AS DATE) AS date,

@@ -7,18 +7,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadscope.operators import metrics, prep, privacy, workload
+from loadscope.operators import metrics, prep, privacy, scoring, workload
 from loadscope.plans.q_eval import _CM, _m2_sql
 from loadscope.plans.q_scoring import AES_KEY, HMAC_KEY, _e5_sql, _label_sql
-from loadscope.plans.q_workload import _LOGS_SQL, _SPINE
+from loadscope.plans.q_workload import _LOGS_SQL, _SPINE, AS_OF
 from loadscope.plans.registry import register, sql_zone
 from loadscope.session import scratch_path
 from loadscope.sources import io, tables, views
 from loadscope.streaming import jobs
 
-_REC_COLS = ["record_id", "athlete_id", "date", "sport", "position", "weekly_volume_hrs", "sleep_hours", "rest_days"]
-_REC_SCHEMA = ("record_id bigint, athlete_id string, date date, sport string, position string, "
-               "weekly_volume_hrs double, sleep_hours double, rest_days int")
+_REC_COLS = ["record_id", "athlete_id", "date", "sport", "position", "age", "weight_kg", "height_cm", "weekly_volume_hrs",
+             "weekly_intensity_score", "sleep_hours", "hrv_ms", "soreness_score", "rest_days", "prior_injuries",
+             "days_since_last_injury", "rhr", "injured"]
+_REC_SCHEMA = ("record_id bigint, athlete_id string, date date, sport string, position string, age double, weight_kg double, "
+               "height_cm double, weekly_volume_hrs double, weekly_intensity_score double, sleep_hours double, hrv_ms double, "
+               "soreness_score double, rest_days int, prior_injuries int, days_since_last_injury double, rhr int, injured int")
 
 
 @register("s1_csv_roundtrip", f"SELECT {', '.join(_REC_COLS)}, CAST(NULL AS VARCHAR) AS _corrupt_record FROM v_record",
@@ -47,6 +50,15 @@ def s3_directory_scan(spark, sf):
     return d.groupBy("sport").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("load").cast("bigint").alias("total_load"))
 
 
+@register("s4_whole_sink", "SELECT athlete_id, d, n_sessions, load, duration, CAST(date_trunc('week', d) AS DATE) AS week FROM v_daily",
+          views=("v_daily",))
+def s4_whole_sink(spark, sf):
+    path = scratch_path(spark, "s4-whole")
+    daily = views.daily(spark, sf).withColumn("week", F.date_trunc("week", "d").cast("date"))
+    io.write_table(daily, path, partition_by=["week"], sort_by=["athlete_id", "d"])
+    return spark.read.parquet(path).select("athlete_id", "d", "n_sessions", "load", "duration", "week")
+
+
 @register("s4_partitioned_sink", """
 SELECT athlete_id, d, n_sessions, load FROM v_daily WHERE d >= DATE '2024-01-15' AND d < DATE '2024-01-22'""",
           views=("v_daily",))
@@ -60,31 +72,38 @@ def s4_partitioned_sink(spark, sf):
                     & (F.col("d") < F.lit("2024-01-22").cast("date"))).select("athlete_id", "d", "n_sessions", "load")
 
 
-@register("s5_s6_report_sinks", f"WITH cm AS ({_CM.format(t=0.5)}) " + _m2_sql("cm"), views=("v_scored",))
+@register("s5_s6_report_sinks", f"WITH cm AS ({_CM.format(t=0.5)}), m AS (" + _m2_sql("cm")
+          + ") SELECT *, 'json' AS sink FROM m UNION ALL SELECT *, 'csv' FROM m", views=("v_scored",))
 def s5_s6_report_sinks(spark, sf):
     s = views.scored(spark, sf).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
     m = metrics.binary_metrics(s, "y", "pred")
     csv_path, json_path = scratch_path(spark, "s5-csv"), scratch_path(spark, "s6-json")
     io.write_report(m, csv_path, "csv")
     io.write_report(m, json_path, "json")
-    back = spark.read.schema(m.schema).json(json_path)
-    return back.select(*m.columns)
+    json_back = spark.read.schema(m.schema).json(json_path).select(*m.columns)
+    csv_back = spark.read.schema(m.schema).option("header", True).csv(csv_path).select(*m.columns)
+    return json_back.withColumn("sink", F.lit("json")).unionByName(csv_back.withColumn("sink", F.lit("csv")))
 
 
 @register("s9_audit_append", """
-SELECT 2 * count(*) AS n_rows, count(DISTINCT athlete_id) AS n_pseudonyms FROM v_record""", views=("v_record",))
+SELECT count(*) AS n_rows, count(DISTINCT athlete_id) AS n_pseudonyms, """ + ", ".join(
+    f"round(sum({c})::DOUBLE, 2) AS {c}" for c in privacy.AUDIT_FIELDS if c not in ("sport", "position"))
+    + ", count(DISTINCT sport) AS n_sports, count(DISTINCT position) AS n_positions FROM v_record", views=("v_record",))
 def s9_audit_append(spark, sf):
     path = scratch_path(spark, "s9-audit")
-    scored = views.records(spark, sf).transform(lambda d: d)
-    from loadscope.operators import scoring
-    rows = privacy.audit_rows(scoring.score_formula(scored), AES_KEY, HMAC_KEY)
-    io.append_audit(rows, path)
-    io.append_audit(rows, path)
-    a = spark.read.parquet(path)
-    return a.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("athlete_pseudonym").alias("n_pseudonyms"))
+    scored = scoring.score_formula(views.records(spark, sf))
+    even = F.col("record_id") % 2 == 0
+    for batch in (scored.where(even), scored.where(~even)):  # two batches, one append each
+        io.append_audit(privacy.audit_rows(batch, AES_KEY, HMAC_KEY), path)
+    schema = ", ".join(f"{c} {'string' if c in ('sport', 'position') else 'double'}" for c in privacy.AUDIT_FIELDS)
+    a = privacy.decrypt_struct(spark.read.parquet(path), "encrypted_biometrics", schema, AES_KEY)
+    return a.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("athlete_pseudonym").alias("n_pseudonyms"),
+                 *[F.round(F.sum(f"decrypted.{c}"), 2).alias(c) for c in privacy.AUDIT_FIELDS if c not in ("sport", "position")],
+                 F.countDistinct("decrypted.sport").alias("n_sports"), F.countDistinct("decrypted.position").alias("n_positions"))
 
 
-_PCOLS = ["age", "sleep_hours", "hrv_ms"]
+_PCOLS = ["age", "weight_kg", "height_cm", "weekly_volume_hrs", "weekly_intensity_score", "sleep_hours", "hrv_ms",
+          "soreness_score", "rest_days", "prior_injuries", "days_since_last_injury"]
 
 
 @register("s10_params_roundtrip", " UNION ALL ".join(
@@ -92,10 +111,16 @@ _PCOLS = ["age", "sleep_hours", "hrv_ms"]
      f"round(quantile_cont({c}, 0.5), 6) AS value FROM v_dirty" for c in _PCOLS]
     + [f"SELECT 'mean', '{c}', NULL, round(avg({c}), 6) FROM v_dirty" for c in _PCOLS]
     + [f"SELECT 'std', '{c}', NULL, round(CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END, 6) FROM v_dirty"
-       for c in _PCOLS]), views=("v_dirty",))
+       for c in _PCOLS]
+    + [f"SELECT 'mode', '{c}', (SELECT {c} FROM v_dirty WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), NULL"
+       for c in ("sport", "position")]
+    + [f"SELECT DISTINCT 'onehot', '{c}', {c}, NULL FROM v_dirty WHERE {c} > (SELECT min({c}) FROM v_dirty)"
+       for c in ("sport", "position")]), views=("v_dirty",))
 def s10_params_roundtrip(spark, sf):
     d = views.dirty(spark, sf)
-    params = prep.fit_impute(d, _PCOLS).unionByName(prep.fit_scaler(d, _PCOLS))
+    names = ["sport", "position"]
+    params = (prep.fit_impute(d, _PCOLS).unionByName(prep.fit_scaler(d, _PCOLS)).unionByName(prep.fit_modes(d, names))
+              .unionByName(prep.fit_one_hot(d, names)))
     path = scratch_path(spark, "s10-params")
     io.save_params(params, path)
     back = io.load_params(spark, path)
@@ -116,7 +141,7 @@ SELECT {sql_zone('ratio_pct')} AS zone, count(*) AS athlete_days, CAST(sum(acute
 FROM r GROUP BY 1""", views=("v_daily",))
 def q2_stream_acwr_zones(spark, sf):
     daily = jobs.stream_daily_load(spark, sf)
-    return workload.zone_summary(workload.acwr_daily(daily))
+    return workload.zone_summary(workload.acwr_daily(daily, through=AS_OF))
 
 
 @register("q3_stream_weekly_load", """

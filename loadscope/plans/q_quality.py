@@ -8,6 +8,7 @@ from loadscope.functions import fixed
 from loadscope.operators import quality
 from loadscope.plans.registry import register
 from loadscope.sources import views
+from loadscope.sources.tables import table
 
 _RANGE_SQL = []
 for _c in fixed.REQUIRED_TEXT:
@@ -141,7 +142,8 @@ def a3_missing_profile(spark, sf):
     return quality.missing_profile(views.dirty(spark, sf))
 
 
-_DESC_COLS = ["age", "weekly_volume_hrs", "sleep_hours", "hrv_ms", "soreness_score", "rest_days"]
+_DESC_COLS = ["record_id", "age", "weight_kg", "height_cm", "weekly_volume_hrs", "weekly_intensity_score", "sleep_hours",
+              "hrv_ms", "soreness_score", "rest_days", "prior_injuries", "days_since_last_injury", "rhr", "injured"]
 _DESC = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, "
     f"round(stddev_samp({c}), 4) AS std, round(min({c}), 4)::DOUBLE AS min, "
@@ -152,19 +154,20 @@ _DESC = " UNION ALL ".join(
 
 @register("a4_describe_numeric", _DESC, views=("v_record",))
 def a4_describe_numeric(spark, sf):
-    return quality.describe_numeric(views.records(spark, sf), _DESC_COLS)
+    return quality.describe_numeric(views.records(spark, sf))
 
 
+_STRING_COLS = ["athlete_id", "sport", "position"]
 _CAT = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, sum(n) ::BIGINT AS count, count(*) AS unique,
         arg_min(value, (-n, value)) AS top, max(n) AS freq
         FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM v_dirty WHERE {c} IS NOT NULL GROUP BY 1)"""
-    for c in ["sport", "position"])
+    for c in _STRING_COLS)
 
 
 @register("a5_describe_categorical", _CAT, views=("v_dirty",))
 def a5_describe_categorical(spark, sf):
-    return quality.describe_categorical(views.dirty(spark, sf), ["sport", "position"])
+    return quality.describe_categorical(views.dirty(spark, sf), _STRING_COLS)
 
 
 @register("a6_class_distribution", """
@@ -190,15 +193,27 @@ def a7_schema_profile(spark, sf):
 WITH mm AS (SELECT min(weekly_volume_hrs) AS lo, max(weekly_volume_hrs) AS hi FROM v_record),
 b AS (SELECT CAST(least(5, floor((weekly_volume_hrs - lo) * 5 / (hi - lo)) + 1) AS BIGINT) AS bucket, lo, hi
       FROM v_record, mm WHERE weekly_volume_hrs IS NOT NULL)
-SELECT bucket, any_value(lo) + (bucket - 1) * ((any_value(hi) - any_value(lo)) / 5) AS lo,
-       any_value(lo) + bucket * ((any_value(hi) - any_value(lo)) / 5) AS hi, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct
-FROM b GROUP BY bucket""", views=("v_record",))
+SELECT k AS bucket, any_value(mm.lo) + (k - 1) * ((any_value(mm.hi) - any_value(mm.lo)) / 5) AS lo,
+       any_value(mm.lo) + k * ((any_value(mm.hi) - any_value(mm.lo)) / 5) AS hi, count(b.bucket) AS n,
+       round(count(b.bucket) * 100.0 / sum(count(b.bucket)) OVER (), 1) AS pct
+FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS k) s CROSS JOIN mm LEFT JOIN b ON b.bucket = k GROUP BY k""", views=("v_record",))
 def a8_histogram(spark, sf):
     return quality.histogram(views.records(spark, sf), "weekly_volume_hrs", 5)
 
 
-_MED_COLS = ["age", "sleep_hours", "hrv_ms", "rest_days"]
+@register("a8_histogram_empty_bins", """
+WITH x AS (SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 3 = 1 THEN 1 ELSE 10 END AS DOUBLE) AS v FROM orders),
+b AS (SELECT CAST(least(5, floor(v * 5 / 10) + 1) AS BIGINT) AS bucket FROM x)
+SELECT k AS bucket, (k - 1) * 2.0::DOUBLE AS lo, k * 2.0::DOUBLE AS hi, count(b.bucket) AS n,
+       round(count(b.bucket) * 100.0 / sum(count(b.bucket)) OVER (), 1) AS pct
+FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS k) s LEFT JOIN b ON b.bucket = k GROUP BY k""")
+def a8_histogram_empty_bins(spark, sf):
+    k = F.col("o_orderkey") % 3
+    v = F.when(k == 0, 0.0).when(k == 1, 1.0).otherwise(10.0)
+    return quality.histogram(table(spark, sf, "orders", "o_orderkey").select(v.alias("v")), "v", 5)
+
+
+_MED_COLS = _DESC_COLS
 
 
 @register("a9_medians", "SELECT " + ", ".join(
@@ -210,9 +225,9 @@ def a9_medians(spark, sf):
 _MODE = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, arg_min(value, (-n, value)) AS mode, max(n) AS freq
         FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM v_dirty WHERE {c} IS NOT NULL GROUP BY 1)"""
-    for c in ["sport", "position"])
+    for c in _STRING_COLS)
 
 
 @register("a10_modes", _MODE, views=("v_dirty",))
 def a10_modes(spark, sf):
-    return quality.modes(views.dirty(spark, sf), ["sport", "position"])
+    return quality.modes(views.dirty(spark, sf), _STRING_COLS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadscope.functions import fixed, scores
 from loadscope.operators import privacy, scoring, workload
@@ -171,23 +172,44 @@ def p1_pseudonymize(spark, sf):
     return privacy.pseudonymize(ids, "athlete_id", HMAC_KEY)
 
 
-@register("p2_p3_encrypt_roundtrip", """
-SELECT record_id, true AS roundtrip_ok, CAST(octet_length(from_base64(c)) AS BIGINT) AS plaintext_bytes
-FROM (SELECT record_id, to_base64(encode(CAST(json_object('weekly_volume_hrs', weekly_volume_hrs, 'hrv_ms', hrv_ms,
-        'sport', sport) AS VARCHAR))) AS c FROM v_record)""", views=("v_record",))
+def _p2_sql() -> str:
+    pairs = ", ".join(f"'{c}', {c}" for c in privacy.AUDIT_FIELDS)
+    return f"""
+SELECT record_id, true AS roundtrip_ok, CAST(octet_length(encode(CAST(json_object({pairs}) AS VARCHAR))) AS BIGINT) AS plaintext_bytes
+FROM v_dirty"""
+
+
+@register("p2_p3_encrypt_roundtrip", _p2_sql(), views=("v_dirty",))
 def p2_p3_encrypt_roundtrip(spark, sf):
-    cols = ["weekly_volume_hrs", "hrv_ms", "sport"]
-    r = views.records(spark, sf).select("record_id", *cols)
+    """All 13 audit fields of rows that also hold NULLs; every field comes back as it went in."""
+    cols = privacy.AUDIT_FIELDS
+    r = views.dirty(spark, sf).select("record_id", *cols)
     e = privacy.encrypt_struct(r, cols, AES_KEY)
-    d = privacy.decrypt_struct(e, "encrypted_biometrics", "weekly_volume_hrs double, hrv_ms double, sport string",
-                               AES_KEY)
-    ok = F.coalesce((F.col("decrypted.weekly_volume_hrs") == F.col("weekly_volume_hrs"))
-                    & (F.col("decrypted.hrv_ms") == F.col("hrv_ms")) & (F.col("decrypted.sport") == F.col("sport")),
-                    F.lit(False))
+    d = privacy.decrypt_struct(e, "encrypted_biometrics", T.StructType([r.schema[c] for c in cols]), AES_KEY)
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.col(f"decrypted.{c}").eqNullSafe(F.col(c))
     return d.select("record_id", ok.alias("roundtrip_ok"),
                     (F.length(F.unbase64("encrypted_biometrics")) - 28).cast("bigint").alias("plaintext_bytes"))
 
 
+_POLICY = [("Athlete", "ATH-7", None), ("Coach", None, "Football"), ("Medical Staff", None, None)]
+
+
+@register("x3_row_policy", " UNION ALL ".join(
+    f"SELECT '{role}' AS role, record_id, athlete_id, sport FROM v_record" + (
+        f" WHERE athlete_id = '{a}'" if role == "Athlete" else f" WHERE sport = '{s}'" if role == "Coach" else "")
+    for role, a, s in _POLICY), views=("v_record",))
+def x3_row_policy(spark, sf):
+    """The rows that one athlete, one coach and one member of the medical staff may see."""
+    r = views.records(spark, sf).select("record_id", "athlete_id", "sport")
+    out = None
+    for role, athlete, sport in _POLICY:
+        seen = privacy.row_policy(r, role, athlete, sport).withColumn("role", F.lit(role))
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
 @register("x3_visible_counts", """
 WITH pa AS (SELECT athlete_id, count(*) AS n FROM v_record GROUP BY 1),
 ps AS (SELECT sport, count(*) AS n FROM v_record GROUP BY 1)

@@ -11,8 +11,8 @@ from loadscope.sources import views
 # The driver's events cover 2024-01-01 .. 2024-01-30; "as of" is a parameter.
 AS_OF = "2024-01-30"
 
-_SPINE = """
-  bounds AS (SELECT athlete_id, min(d) AS lo, max(d) AS hi FROM v_daily GROUP BY athlete_id),
+_SPINE = f"""
+  bounds AS (SELECT athlete_id, min(d) AS lo, greatest(max(d), DATE '{AS_OF}') AS hi FROM v_daily GROUP BY athlete_id),
   spine AS (SELECT athlete_id, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP),
                    INTERVAL 1 DAY)) AS DATE) AS d FROM bounds),
   filled AS (SELECT s.athlete_id, s.d, coalesce(v.load, 0) AS load
@@ -28,7 +28,7 @@ _SPINE = """
 
 
 def _acwr(spark, sf):
-    return workload.acwr_daily(views.daily(spark, sf))
+    return workload.acwr_daily(views.daily(spark, sf), through=AS_OF)
 
 
 @register("w5_acwr_zone_daily", "WITH" + _SPINE.rstrip() + f"""
@@ -60,21 +60,41 @@ _LOGS_SQL = ("logs", """
 SELECT athlete_id, acute_load, CAST((load28 + 2) // 4 AS BIGINT) AS chronic_load,
        coalesce({sql_ratio_pct('4 * acute_load', 'load28')}, 0) / 100.0 AS ratio,
        CAST(coalesce({sql_ratio_pct('4 * acute_load', 'load28')}, 0) AS BIGINT) AS ratio_pct
-FROM (SELECT athlete_id, CAST(sum(CASE WHEN d >= DATE '2024-01-24' THEN load ELSE 0 END) AS BIGINT) AS acute_load,
-             CAST(sum(load) AS BIGINT) AS load28
-      FROM v_sessions WHERE d BETWEEN DATE '2024-01-03' AND DATE '{AS_OF}' GROUP BY athlete_id)""",
-          views=("v_sessions",))
+FROM (SELECT a.athlete_id,
+             CAST(sum(CASE WHEN d BETWEEN DATE '2024-01-24' AND DATE '{AS_OF}' THEN load ELSE 0 END) AS BIGINT) AS acute_load,
+             CAST(sum(CASE WHEN d BETWEEN DATE '2024-01-03' AND DATE '{AS_OF}' THEN load ELSE 0 END) AS BIGINT) AS load28
+      FROM v_athletes a LEFT JOIN v_sessions s ON a.athlete_id = s.athlete_id GROUP BY a.athlete_id)""",
+          views=("v_athletes", "v_sessions"))
 def w4_acwr_as_of(spark, sf):
-    return workload.acwr_as_of(views.sessions(spark, sf), AS_OF)
+    return workload.acwr_as_of(views.sessions(spark, sf), AS_OF, athletes=views.athletes(spark, sf))
+
+
+@register("w5_acwr_last28", f"""
+WITH grid AS (SELECT athlete_id, CAST(unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '{AS_OF}',
+                     INTERVAL 1 DAY)) AS DATE) AS d FROM v_athletes),
+s AS (SELECT g.athlete_id, g.d, coalesce(max(CASE WHEN v.d = g.d THEN v.load END), 0) AS load,
+             coalesce(sum(CASE WHEN v.d >= g.d - 6 THEN v.load END), 0) AS acute, coalesce(sum(v.load), 0) AS chronic28
+      FROM grid g LEFT JOIN v_daily v ON v.athlete_id = g.athlete_id AND v.d BETWEEN g.d - 27 AND g.d
+      GROUP BY g.athlete_id, g.d)
+SELECT athlete_id, d, CAST(load AS BIGINT) AS load, CAST(acute AS BIGINT) AS acute,
+       CAST((chronic28 + 2) // 4 AS BIGINT) AS chronic,
+       coalesce({sql_ratio_pct('4 * acute', 'chronic28')}, 0) / 100.0 AS ratio,
+       CAST(coalesce({sql_ratio_pct('4 * acute', 'chronic28')}, 0) AS BIGINT) AS ratio_pct FROM s""",
+          views=("v_athletes", "v_daily"))
+def w5_acwr_last28(spark, sf):
+    return workload.acwr_daily(views.daily(spark, sf), start="2024-01-03", end=AS_OF,
+                               athletes=views.athletes(spark, sf))
 
 
 @register("a11_load_summary", f"""
-SELECT athlete_id, count(*) AS n_sessions, CAST(sum(load) AS BIGINT) AS total_load,
-       round(sum(duration) / 60.0, 4) AS volume_hrs, round(avg(coalesce(rpe, 5)), 4) AS avg_rpe
-FROM v_sessions WHERE d BETWEEN DATE '2024-01-24' AND DATE '{AS_OF}' GROUP BY athlete_id""",
-          views=("v_sessions",))
+WITH w AS (SELECT * FROM v_sessions WHERE d BETWEEN DATE '2024-01-24' AND DATE '{AS_OF}')
+SELECT a.athlete_id, count(session_id) AS n_sessions, CAST(coalesce(sum(load), 0) AS BIGINT) AS total_load,
+       round(coalesce(sum(duration), 0) / 60.0, 4) AS volume_hrs,
+       CASE WHEN count(session_id) = 0 THEN 7.0::DOUBLE ELSE round(avg(coalesce(rpe, 5)), 4) END AS avg_rpe
+FROM v_athletes a LEFT JOIN w ON a.athlete_id = w.athlete_id GROUP BY a.athlete_id""",
+          views=("v_athletes", "v_sessions"))
 def a11_load_summary(spark, sf):
-    s = workload.load_summary(views.sessions(spark, sf), AS_OF, 7)
+    s = workload.load_summary(views.sessions(spark, sf), AS_OF, 7, athletes=views.athletes(spark, sf))
     return s.select("athlete_id", "n_sessions", "total_load", F.round("volume_hrs", 4).alias("volume_hrs"),
                     F.round("avg_rpe", 4).alias("avg_rpe"))
 
@@ -94,26 +114,26 @@ def a12_lifetime_summary(spark, sf):
 
 @register("a13_daily_load", f"""
 WITH spine AS (SELECT athlete_id, CAST(unnest(generate_series(TIMESTAMP '2024-01-24', TIMESTAMP '{AS_OF}',
-                      INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT athlete_id FROM v_daily)),
+                      INTERVAL 1 DAY)) AS DATE) AS d FROM v_athletes),
 f AS (SELECT s.athlete_id, s.d, coalesce(v.load, 0) AS load FROM spine s
       LEFT JOIN v_daily v ON s.athlete_id = v.athlete_id AND s.d = v.d)
 SELECT athlete_id, d, CAST(load AS BIGINT) AS load,
        CAST(floor(load * 100.0 / greatest(max(load) OVER (PARTITION BY athlete_id), 1) + 0.5) AS BIGINT) AS bar_pct
-FROM f""", views=("v_daily",))
+FROM f""", views=("v_athletes", "v_daily"))
 def a13_daily_load(spark, sf):
-    return workload.daily_load(views.daily(spark, sf), AS_OF, 7)
+    return workload.daily_load(views.daily(spark, sf), AS_OF, 7, athletes=views.athletes(spark, sf))
 
 
 @register("a14_weekly_buckets", f"""
 WITH g AS (SELECT athlete_id, CAST(date_diff('day', d, DATE '{AS_OF}') // 7 AS BIGINT) AS week_back,
                   CAST(sum(load) AS BIGINT) AS load, count(*) AS n_sessions
            FROM v_sessions WHERE d BETWEEN DATE '2024-01-03' AND DATE '{AS_OF}' GROUP BY 1, 2),
-spine AS (SELECT athlete_id, CAST(unnest(range(0, 4)) AS BIGINT) AS week_back FROM (SELECT DISTINCT athlete_id FROM g))
+spine AS (SELECT athlete_id, CAST(unnest(range(0, 4)) AS BIGINT) AS week_back FROM v_athletes)
 SELECT s.athlete_id, s.week_back, coalesce(g.load, 0) AS load, coalesce(g.n_sessions, 0) AS n_sessions
 FROM spine s LEFT JOIN g ON s.athlete_id = g.athlete_id AND s.week_back = g.week_back""",
-          views=("v_sessions",))
+          views=("v_athletes", "v_sessions"))
 def a14_weekly_buckets(spark, sf):
-    return workload.weekly_buckets(views.sessions(spark, sf), AS_OF, 4)
+    return workload.weekly_buckets(views.sessions(spark, sf), AS_OF, 4, athletes=views.athletes(spark, sf))
 
 
 @register("a16_discomfort_daily", """
@@ -193,22 +213,25 @@ def _profiles(spark, sf):
     return quality.latest_by_key(r, ["athlete_id"], ["date", "record_id"]).drop("date", "record_id")
 
 
-_J4 = """
+_J4 = f"""
 WITH prof AS (SELECT athlete_id, sport, position, age, weight_kg, height_cm, rest_days, prior_injuries,
                      days_since_last_injury FROM (
         SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY date DESC, record_id DESC) AS rn FROM v_record)
       WHERE rn = 1),
+lg AS (SELECT athlete_id, d, hrv, sleep_hours, soreness_score FROM logs
+       UNION ALL SELECT athlete_id, DATE '{AS_OF}', NULL, NULL, NULL FROM prof
+       WHERE athlete_id NOT IN (SELECT athlete_id FROM logs)),
 day AS (SELECT athlete_id, d, count(*) AS n_sessions, sum(duration) AS duration, sum(coalesce(rpe, 5)) AS rpe_sum
         FROM v_sessions GROUP BY athlete_id, d
         UNION ALL
-        SELECT athlete_id, d, 0, 0, 0 FROM logs l
+        SELECT athlete_id, d, 0, 0, 0 FROM lg l
         WHERE NOT EXISTS (SELECT 1 FROM v_sessions s WHERE s.athlete_id = l.athlete_id AND s.d = l.d)),
 tw AS (SELECT athlete_id, d,
          sum(n_sessions) OVER w AS n7, sum(duration) OVER w AS minutes7, sum(rpe_sum) OVER w AS rpe7
        FROM day WINDOW w AS (PARTITION BY athlete_id ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)),
 j AS (SELECT l.athlete_id, l.d, l.hrv, l.sleep_hours, l.soreness_score, p.sport, p.position, p.age, p.weight_kg,
              p.height_cm, p.rest_days, p.prior_injuries, p.days_since_last_injury, tw.n7, tw.minutes7, tw.rpe7
-      FROM logs l JOIN prof p ON l.athlete_id = p.athlete_id
+      FROM lg l LEFT JOIN prof p ON l.athlete_id = p.athlete_id
       LEFT JOIN tw ON l.athlete_id = tw.athlete_id AND l.d = tw.d)
 SELECT athlete_id, d AS date, trim(coalesce(sport, 'Football')) AS sport, trim(coalesce(position, 'Midfielder')) AS position,
   least(50.0, greatest(15.0, coalesce(age, 24.0))) AS age,
@@ -227,7 +250,7 @@ FROM j"""
 
 @register("j4_f15_build_records", _J4, views=("v_record", "v_sessions", "v_log_writes"), extra=[_LOGS_SQL])
 def j4_f15_build_records(spark, sf):
-    return workload.build_records(_profiles(spark, sf), _daily_logs(spark, sf), views.sessions(spark, sf))
+    return workload.build_records(_profiles(spark, sf), _daily_logs(spark, sf), views.sessions(spark, sf), AS_OF)
 
 
 @register("e10_e12_e13_label_matrix", "WITH" + _SPINE.rstrip() + f""",

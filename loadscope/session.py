@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -28,8 +28,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # 64 MB of lookup data is the most any plan broadcasts without an explicit check.
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-        # Keep HMAC / AES keys out of logged plans.
+        # Keep HMAC / AES keys out of logged settings, and long hex literals out of explained plans.
         "spark.redaction.regex": "(?i)secret|password|token|key_hex",
+        "spark.sql.redaction.string.regex": "(?i)(X'|0x)?[0-9A-F]{32,}'?",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -61,10 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not _is_local(spark):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="loadscope-ckpt-")
-    sc.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="loadscope-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -73,9 +72,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     sep = "" if root.endswith("/") else "/"
     # Spark writers create the folder themselves (on any file system); nothing is created here.
     return f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)

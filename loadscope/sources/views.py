@@ -51,6 +51,13 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum("duration").alias("duration")))
 
 
+def athletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every athlete: all customers, and all users that have events."""
+    c = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("k"))
+    e = table(spark, sf_dir, "events", "user_id").select(F.col("user_id").alias("k"))
+    return c.union(e).distinct().select(F.concat(F.lit("ATH-"), F.col("k").cast("string")).alias("athlete_id"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Athlete records (AthleteRecord schema + rhr), one per order."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
