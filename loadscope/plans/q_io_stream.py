@@ -128,19 +128,46 @@ def s10_params_roundtrip(spark, sf):
 
 
 # --------------------------------------------------------------------------- streaming
+def _events(spark, sf, root):
+    """The events as files in order of arrival: up to a day late, so that batches overlap in event time."""
+    late = F.unix_timestamp(F.col("ts").cast("timestamp")) + (F.col("event_id") % 24) * 3600
+    return jobs.file_stream(spark, jobs.arrivals(tables.table(spark, sf, "events"), f"{root}/arrivals", late), max_files=1)
+
+
+def _orders(spark, sf, root):
+    path = jobs.arrivals(tables.table(spark, sf, "orders"), f"{root}/arrivals", F.col("o_orderkey"))
+    return jobs.file_stream(spark, path, max_files=1)
+
+
 @register("q1_score_stream", f"""
 SELECT record_id, p AS injury_probability, {_label_sql('p')} AS injury_risk_label
 FROM (SELECT record_id, {_e5_sql()} AS p FROM v_record)""", views=("v_record",))
 def q1_score_stream(spark, sf):
-    pred, _ = jobs.score_stream(spark, sf, HMAC_KEY, AES_KEY)
+    root = scratch_path(spark, "q1")
+    pred, _ = jobs.score_stream(spark, _orders(spark, sf, root), jobs.customers(spark, sf), root, HMAC_KEY, AES_KEY)
     return spark.read.parquet(pred).select("record_id", "injury_probability", "injury_risk_label")
 
 
+@register("q1_audit_stream", """
+SELECT athlete_id AS id, count(*) AS n, round(sum(sleep_hours), 2) AS sleep, round(sum(hrv_ms), 2) AS hrv FROM v_record GROUP BY 1""",
+          views=("v_record",))
+def q1_audit_stream(spark, sf):
+    """The audit rows of the stream, decrypted and compared with the records by pseudonym."""
+    root = scratch_path(spark, "q1-audit")
+    _, audit = jobs.score_stream(spark, _orders(spark, sf, root), jobs.customers(spark, sf), root, HMAC_KEY, AES_KEY)
+    a = privacy.decrypt_struct(spark.read.parquet(audit), "encrypted_biometrics", "sleep_hours double, hrv_ms double", AES_KEY)
+    ids = privacy.pseudonymize(views.records(spark, sf).select("athlete_id").distinct(), "athlete_id", HMAC_KEY)
+    return (a.join(ids, "athlete_pseudonym").groupBy(F.col("athlete_id").alias("id"))
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("decrypted.sleep_hours"), 2).alias("sleep"),
+                 F.round(F.sum("decrypted.hrv_ms"), 2).alias("hrv")))
+
+
 @register("q2_stream_acwr_zones", "WITH" + _SPINE.rstrip() + f"""
 SELECT {sql_zone('ratio_pct')} AS zone, count(*) AS athlete_days, CAST(sum(acute) AS BIGINT) AS sum_acute
 FROM r GROUP BY 1""", views=("v_daily",))
 def q2_stream_acwr_zones(spark, sf):
-    daily = jobs.stream_daily_load(spark, sf)
+    root = scratch_path(spark, "q2")
+    daily = jobs.stream_daily_load(spark, _events(spark, sf, root), root)
     return workload.zone_summary(workload.acwr_daily(daily, through=AS_OF))
 
 
@@ -149,7 +176,8 @@ SELECT athlete_id, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS
        count(*) AS n_sessions, CAST(sum(load) AS BIGINT) AS load FROM v_sessions GROUP BY 1, 2""",
           views=("v_sessions",))
 def q3_stream_weekly_load(spark, sf):
-    w = jobs.stream_weekly_load(spark, sf)
+    root = scratch_path(spark, "q3")
+    w = jobs.stream_weekly_load(spark, _events(spark, sf, root), root)
     return w.select("athlete_id", F.col("week_start").cast("timestamp_ntz").alias("week_start"), "n_sessions",
                     F.col("load").cast("bigint").alias("load"))
 
@@ -157,12 +185,15 @@ def q3_stream_weekly_load(spark, sf):
 @register("q4_stream_upsert_logs", "WITH " + _LOGS_SQL[0] + " AS (" + _LOGS_SQL[1] + ") SELECT * FROM logs",
           views=("v_log_writes",))
 def q4_stream_upsert_logs(spark, sf):
-    return jobs.stream_upsert_logs(spark, sf).select("athlete_id", "d", "write_id", "ts", "hrv", "rhr",
-                                                     "sleep_hours", "soreness_score")
+    root = scratch_path(spark, "q4")
+    jobs.stream_upsert_logs(spark, _events(spark, sf, root), root)
+    merged = spark.read.parquet(jobs.compact_logs(spark, root, f"{root}/merged"))
+    return merged.select("athlete_id", "d", "write_id", "ts", "hrv", "rhr", "sleep_hours", "soreness_score")
 
 
 @register("q5_admission_flags")
 def q5_admission_flags(spark, sf):
-    s = jobs.table_stream(spark, sf, "events")
-    path = jobs.admission_flags(s, "user_id", "ts", "event_id", limit=5, seconds=3600.0)
-    return spark.read.parquet(path)
+    root = scratch_path(spark, "q5")
+    by_time = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    path = jobs.arrivals(tables.table(spark, sf, "events"), f"{root}/arrivals", by_time)
+    return jobs.admission_flags(jobs.file_stream(spark, path, max_files=1), root, "user_id", "ts", "event_id", limit=5, seconds=3600.0)

@@ -25,7 +25,11 @@ def _case(col: Column, pairs, default=None) -> Column:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workout sessions: one per event (E16 load = duration x rpe, integers)."""
-    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    return sessions_of(table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"))
+
+
+def sessions_of(ev: DataFrame) -> DataFrame:
+    """Sessions of events, batch or stream."""
     k = F.col("event_id")
     duration = (F.lit(30) + k % 70)
     rpe = (F.lit(4) + k % 5)
@@ -62,7 +66,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Athlete records (AthleteRecord schema + rhr), one per order."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
               "o_orderpriority")
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    return records_of(o, table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"))
+
+
+def records_of(o: DataFrame, c: DataFrame) -> DataFrame:
+    """Records of orders (batch or stream) and customers."""
     k = F.col("o_orderkey")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     return j.select(
@@ -141,7 +149,11 @@ def discomfort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily-log writes (hrv, rhr, sleep, soreness): every event is also a log write for its
     athlete and day; the daily log is the last write per (athlete, day) (A2)."""
-    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
+    return log_writes_of(table(spark, sf_dir, "events", "event_id", "ts", "user_id"))
+
+
+def log_writes_of(ev: DataFrame) -> DataFrame:
+    """Daily-log writes of events, batch or stream."""
     k = F.col("event_id")
     return ev.select(
         k.alias("write_id"),

@@ -1,152 +1,140 @@
 """Structured Streaming versions of the continuous operators (Q1-Q5).
 
-* Sources are file streams over the driver's table folder (``pathGlobFilter`` picks one
-  table); any other streaming source with the same schema works unchanged.
-* Sinks are append-only parquet folders under the shared ``spark.checkpoint.dir`` (never
-  machine-local), each with its own checkpoint location, so a restarted job resumes
-  exactly-once after executor or driver loss.
-* Aggregating streams (Q2-Q4) run in ``update`` mode and write every micro-batch's updated
-  keys through ``foreachBatch`` with the batch id; the read side is an A2 "last write wins"
-  over (key, batch id). State is bounded by the watermark; no state is kept in complete mode.
-* Rolling 7/28-day load (Q2) keeps only day-grain state in the stream (one tumbling day
-  window per event, not 28 sliding copies); the calendar ratios are the batch W5 operator
-  over that day table — stream and batch agree on closed days.
+* Sources are file streams; any other streaming source with the same schema works unchanged.
+  ``arrivals`` writes a table as a sequence of files, in arrival order, for a job to read over
+  several micro-batches.
+* Every job takes a ``root`` folder under the shared file system and keeps its sink and its
+  checkpoint there, so a job started again with the same root goes on where it stopped.
+* Each micro-batch writes a folder of its own (``batch_id=N``, overwritten if the batch is
+  repeated), so a batch that was interrupted and run again is in the sink once.
+* Aggregating streams (Q2, Q3) run in ``update`` mode; the read side is an A2 "last write wins" over
+  (key, batch id). State is bounded by the watermark; no state is kept in complete mode.
+* Rolling 7/28-day load (Q2) keeps only day-grain state in the stream (one tumbling day window per
+  event, not 28 sliding copies); the calendar ratios are the batch W5 operator over that day table.
+* Q4 is a log of reduced writes, merged when it is read; ``compact_logs`` merges it for good.
 * Q5 (sliding-log admission) is sequential per key: ``applyInPandasWithState`` keeps at most
-  ``limit`` admitted timestamps per key; each micro-batch's rows of a key are ordered by
-  event time before the log is applied.
+  ``limit`` admitted timestamps per key and forgets a key once its window has passed the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loadscope.operators import quality, scoring
-from loadscope.session import scratch_path
-from loadscope.sources import tables
+from loadscope.operators import privacy, quality, scoring
+from loadscope.sources import tables, views
+
+FILES = 4
+
 
 # --------------------------------------------------------------------------- sources
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A driver table as a file stream (schema taken from the table)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
-
-
-def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions from the events stream (same derivation as ``views.sessions``); the event
-    time is cast to TIMESTAMP because watermarks refuse TIMESTAMP_NTZ."""
-    ev = table_stream(spark, sf_dir, "events")
-    k = F.col("event_id")
-    duration = F.lit(30) + k % 70
-    rpe = F.lit(4) + k % 5
-    from loadscope.sources.views import _case
-    from loadscope.functions import fixed
-    return ev.select(
-        k.alias("session_id"),
-        F.concat(F.lit("ATH-"), F.col("user_id").cast("string")).alias("athlete_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        _case(F.col("event_type"), fixed.EVENT_TYPE_SPORT, "Fitness Training").alias("sport"),
-        duration.alias("duration"), rpe.alias("rpe"), (duration * rpe).alias("load"))
-
-
-def _run(query_df: DataFrame, path: str, ckpt: str, mode: str = "append", batch_fn=None) -> None:
-    w = query_df.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
-    q = w.foreachBatch(batch_fn).start() if batch_fn else w.format("parquet").option("path", path).start()
+def arrivals(df: DataFrame, path: str, order: Column, files: int = FILES) -> str:
+    """Writes ``df`` as ``files`` appends of about equal size in ascending order of the number ``order``."""
+    keyed = df.withColumn("_at", order.cast("double"))
+    bounds = keyed.approxQuantile("_at", [i / files for i in range(1, files)], 0.001)
+    lo = None
+    for hi in [*bounds, None]:
+        part = keyed if lo is None else keyed.where(F.col("_at") >= lo)
+        (part if hi is None else part.where(F.col("_at") < hi)).drop("_at").write.mode("append").parquet(path)
+        lo = hi
+    return path
+
+
+def file_stream(spark: SparkSession, path: str, max_files: int = 8, glob: str | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream of at most ``max_files`` files a micro-batch."""
+    r = spark.readStream.schema(spark.read.parquet(path if glob is None else f"{path.rstrip('/')}/{glob}").schema)
+    r = r.option("maxFilesPerTrigger", max_files)
+    return (r if glob is None else r.option("pathGlobFilter", glob)).parquet(path)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream."""
+    return file_stream(spark, sf_dir, glob=f"{name}.parquet")
+
+
+def run(stream: DataFrame, root: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Everything available now, micro-batch by micro-batch; resumes from the checkpoint in ``root``."""
+    q = (stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True)
+         .foreachBatch(write).start())
     q.awaitTermination()
 
 
-def _upsert_writer(path: str):
-    """foreachBatch sink: append the batch's updated keys tagged with the batch id."""
+def sink(path: str, change: Callable[[DataFrame], DataFrame] = lambda b: b) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: one folder a batch, written over if the batch is repeated."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(path)
+        change(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of a sink, with their ``batch_id``."""
+    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
+
 # --------------------------------------------------------------------------- Q1
-def score_stream(spark: SparkSession, sf_dir: str, hmac_key: str, aes_key: str) -> tuple[str, str]:
-    """Q1: score each arriving record (stream-static join with the customer dimension),
-    append predictions and the audit rows (S9). Returns (prediction path, audit path)."""
-    from loadscope.operators import privacy
-    from loadscope.sources.views import _case
-    from loadscope.functions import fixed
-    o = table_stream(spark, sf_dir, "orders")
-    c = tables.table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
-    k = F.col("o_orderkey")
-    rec = o.join(c, o.o_custkey == c.c_custkey, "inner").select(
-        k.alias("record_id"), F.concat(F.lit("ATH-"), F.col("o_custkey").cast("string")).alias("athlete_id"),
-        F.to_date("o_orderdate").alias("date"),
-        _case(F.col("c_mktsegment"), fixed.SEGMENT_SPORT, "Fitness Training").alias("sport"),
-        _case(F.col("o_orderpriority"), fixed.PRIORITY_POSITION, "").alias("position"),
-        (F.lit(15) + k % 36).cast("double").alias("age"),
-        (F.lit(40) + k % 111).cast("double").alias("weight_kg"),
-        (F.lit(140) + k % 81).cast("double").alias("height_cm"),
-        ((k % 401).cast("double") / F.lit(10.0)).alias("weekly_volume_hrs"),
-        ((k % 101).cast("double") / F.lit(10.0)).alias("weekly_intensity_score"),
-        ((k % 121).cast("double") / F.lit(10.0)).alias("sleep_hours"),
-        ((k * 7) % 201).cast("double").alias("hrv_ms"),
-        (((k * 3) % 101).cast("double") / F.lit(10.0)).alias("soreness_score"),
-        (k % 8).cast("int").alias("rest_days"), (k % 21).cast("int").alias("prior_injuries"),
-        ((k * 13) % 400).cast("double").alias("days_since_last_injury"))
-    scored = scoring.top_factors(scoring.score_formula(rec))
-    pred_path, audit_path = scratch_path(spark, "q1-pred"), scratch_path(spark, "q1-audit")
-    preds = scored.select("record_id", "athlete_id", "injury_probability", "injury_risk_label",
-                          "top_contributing_factors")
-    _run(preds, pred_path, scratch_path(spark, "q1-pred-ckpt"))
-    audit = privacy.audit_rows(scored, aes_key, hmac_key)
-    _run(audit, audit_path, scratch_path(spark, "q1-audit-ckpt"))
-    return pred_path, audit_path
+def score_stream(spark: SparkSession, orders: DataFrame, customers: DataFrame, root: str, hmac_key: str, aes_key: str) -> tuple[str, str]:
+    """Q1: score each arriving record (stream-static join with the customer dimension) once, and write
+    its prediction and its audit row (S9). Returns (prediction path, audit path)."""
+    predictions, audit = f"{root}/predictions", f"{root}/audit"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scored = scoring.top_factors(scoring.score_formula(batch)).persist()
+        sink(predictions, lambda b: b.select("record_id", "athlete_id", "injury_probability", "injury_risk_label",
+                                             "top_contributing_factors"))(scored, batch_id)
+        sink(audit, lambda b: privacy.audit_rows(b, aes_key, hmac_key))(scored, batch_id)
+        scored.unpersist()
+
+    run(views.records_of(orders, customers), root, write)
+    return predictions, audit
 
 
 # --------------------------------------------------------------------------- Q2 / Q3
-def stream_daily_load(spark: SparkSession, sf_dir: str, watermark: str = "2 days") -> DataFrame:
-    """Q2 state: day-grain load per athlete from the session stream (tumbling 1-day
-    windows, watermark-bounded state). Returns the merged day table (batch DataFrame)."""
-    s = session_stream(spark, sf_dir).withWatermark("ts", watermark)
-    g = s.groupBy("athlete_id", F.window("ts", "1 day").alias("w")).agg(
+def _sessions(events: DataFrame, watermark: str) -> DataFrame:
+    """Watermarks refuse TIMESTAMP_NTZ: the event time is cast to TIMESTAMP."""
+    return views.sessions_of(events.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", watermark)
+
+
+def stream_daily_load(spark: SparkSession, events: DataFrame, root: str, watermark: str = "2 days") -> DataFrame:
+    """Q2 state: day-grain load per athlete (tumbling 1-day windows, watermark-bounded state). Returns
+    the merged day table (batch DataFrame). Events later than the watermark are dropped."""
+    g = _sessions(events, watermark).groupBy("athlete_id", F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("n_sessions"), F.sum("load").alias("load"), F.sum("duration").alias("duration"))
     g = g.select("athlete_id", F.to_date(F.col("w.start")).alias("d"), "n_sessions", "load", "duration")
-    path = scratch_path(spark, "q2-daily")
-    _run(g, path, scratch_path(spark, "q2-ckpt"), "update", _upsert_writer(path))
-    return quality.latest_by_key(spark.read.parquet(path), ["athlete_id", "d"], ["batch_id"]).drop("batch_id")
+    run(g, root, sink(f"{root}/days"), "update")
+    return quality.latest_by_key(written(spark, f"{root}/days"), ["athlete_id", "d"], ["batch_id"]).drop("batch_id")
 
 
-def stream_weekly_load(spark: SparkSession, sf_dir: str, watermark: str = "2 days") -> DataFrame:
+def stream_weekly_load(spark: SparkSession, events: DataFrame, root: str, watermark: str = "2 days") -> DataFrame:
     """Q3: tumbling 7-day windows (epoch-aligned) of session load per athlete."""
-    s = session_stream(spark, sf_dir).withWatermark("ts", watermark)
-    g = s.groupBy("athlete_id", F.window("ts", "7 days").alias("w")).agg(
+    g = _sessions(events, watermark).groupBy("athlete_id", F.window("ts", "7 days").alias("w")).agg(
         F.count(F.lit(1)).alias("n_sessions"), F.sum("load").alias("load"))
     g = g.select("athlete_id", F.col("w.start").alias("week_start"), "n_sessions", "load")
-    path = scratch_path(spark, "q3-weekly")
-    _run(g, path, scratch_path(spark, "q3-ckpt"), "update", _upsert_writer(path))
-    return quality.latest_by_key(spark.read.parquet(path), ["athlete_id", "week_start"], ["batch_id"]).drop("batch_id")
+    run(g, root, sink(f"{root}/weeks"), "update")
+    return quality.latest_by_key(written(spark, f"{root}/weeks"), ["athlete_id", "week_start"], ["batch_id"]).drop("batch_id")
 
 
 # --------------------------------------------------------------------------- Q4
-def stream_upsert_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q4: daily-log writes -> last write wins per (athlete, day). Each micro-batch is
-    reduced with A2 before it is appended; the read side applies A2 across batches."""
-    ev = table_stream(spark, sf_dir, "events")
-    k = F.col("event_id")
-    w = ev.select(
-        k.alias("write_id"), F.concat(F.lit("ATH-"), F.col("user_id").cast("string")).alias("athlete_id"),
-        F.col("ts"), F.to_date("ts").alias("d"),
-        (F.lit(20) + (k * 7) % 81).cast("int").alias("hrv"), (F.lit(40) + (k * 3) % 41).cast("int").alias("rhr"),
-        (F.lit(4.0) + (k % 61).cast("double") / F.lit(10.0)).alias("sleep_hours"),
-        (((k * 11) % 101).cast("double") / F.lit(10.0)).alias("soreness_score"))
-    path = scratch_path(spark, "q4-logs")
+_LOG_KEY, _LOG_ORDER = ["athlete_id", "d"], ["ts", "write_id"]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        quality.latest_by_key(batch, ["athlete_id", "d"], ["ts", "write_id"]).write.mode("append").parquet(path)
 
-    _run(w, path, scratch_path(spark, "q4-ckpt"), "append", write)
-    return quality.latest_by_key(spark.read.parquet(path), ["athlete_id", "d"], ["ts", "write_id"])
+def stream_upsert_logs(spark: SparkSession, events: DataFrame, root: str) -> DataFrame:
+    """Q4: daily-log writes, last write wins per (athlete, day). Each micro-batch is reduced with A2
+    before it is logged; the read side applies A2 across batches."""
+    run(views.log_writes_of(events), root, sink(f"{root}/logs", lambda b: quality.latest_by_key(b, _LOG_KEY, _LOG_ORDER)))
+    return quality.latest_by_key(written(spark, f"{root}/logs").drop("batch_id"), _LOG_KEY, _LOG_ORDER)
+
+
+def compact_logs(spark: SparkSession, root: str, target: str) -> str:
+    """Merges the log into one table, one row per (athlete, day), in folders by day."""
+    from loadscope.sources import io
+    merged = quality.latest_by_key(written(spark, f"{root}/logs").drop("batch_id"), _LOG_KEY, _LOG_ORDER)
+    io.write_table(merged, target, partition_by=["d"], sort_by=["athlete_id"])
+    return target
 
 
 # --------------------------------------------------------------------------- Q5
@@ -156,30 +144,41 @@ ADMISSION_STATE = "admitted array<double>"
 
 def _admission_fn(limit: int, seconds: float):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        log = deque(state.get[0]) if state.exists else deque()
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for eid, ts in zip(batch["event_id"].tolist(), batch["ts"].tolist()):
-            t = pd.Timestamp(ts).timestamp()
-            log = [x for x in log if x > t - seconds]
-            ok = len(log) < limit
-            if ok:
+        times = [pd.Timestamp(x).timestamp() for x in batch["ts"]]
+        allowed = []
+        for t in times:
+            while log and log[0] <= t - seconds:
+                log.popleft()
+            allowed.append(len(log) < limit)
+            if allowed[-1]:
                 log.append(t)
-            out.append((key[0], eid, ts, ok))
-        state.update((log,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "allowed"])
+        if log:
+            state.update((list(log),))
+            ends = int((log[-1] + seconds) * 1000) + 1
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield batch.assign(key=key[0], allowed=allowed)[["key", "event_id", "ts", "allowed"]]
     return fn
 
 
-def admission_flags(stream: DataFrame, key: str, ts: str, event_id: str, limit: int = 5, seconds: float = 60.0,
-                    path: str | None = None) -> str:
-    """Q5: flag each request: allowed if fewer than ``limit`` admitted requests of the same key
-    lie in the last ``seconds``; refused requests do not count. Returns the sink path."""
-    spark = stream.sparkSession
+def admission_flags(stream: DataFrame, root: str, key: str, ts: str, event_id: str, limit: int = 5, seconds: float = 60.0,
+                    watermark: str = "1 day") -> DataFrame:
+    """Q5: flag each request: allowed if fewer than ``limit`` admitted requests of the same key lie in
+    the last ``seconds``; refused requests do not count. Requests of a micro-batch are taken by event
+    time. Returns the flags."""
     s = stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"),
-                      F.col(ts).cast("timestamp").alias("ts"))
+                      F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
     g = s.groupBy("key").applyInPandasWithState(_admission_fn(limit, seconds), ADMISSION_SCHEMA, ADMISSION_STATE,
-                                                 "append", GroupStateTimeout.NoTimeout)
-    path = path or scratch_path(spark, "q5-flags")
-    _run(g, path, scratch_path(spark, "q5-ckpt"), "append")
-    return path
+                                                 "append", GroupStateTimeout.EventTimeTimeout)
+    run(g, root, sink(f"{root}/flags"))
+    return written(stream.sparkSession, f"{root}/flags").drop("batch_id")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")

@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loadscope.operators import privacy, text
+from loadscope.session import scratch_path
+from loadscope.sources import views
 from loadscope.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -63,10 +65,27 @@ def _brute(events: pd.DataFrame, limit: int, seconds: float) -> dict:
 
 
 def test_admission_flags_vs_brute_force(spark):
-    s = jobs.table_stream(spark, SF, "events")
-    path = jobs.admission_flags(s, "user_id", "ts", "event_id", limit=2, seconds=6 * 3600.0)
-    got = {r.event_id: r.allowed for r in spark.read.parquet(path).collect()}
-    ev = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "ts").toPandas()
+    """Four micro-batches in order of time: the log of a key lives from one to the next."""
+    root = scratch_path(spark, "t-q5")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    path = jobs.arrivals(events, f"{root}/arrivals", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    flags = jobs.admission_flags(jobs.file_stream(spark, path, max_files=1), root, "user_id", "ts", "event_id", limit=2, seconds=6 * 3600.0)
+    got = {r.event_id: r.allowed for r in flags.collect()}
+    ev = events.select("event_id", "user_id", "ts").toPandas()
     ev["ts"] = pd.to_datetime(ev["ts"]).dt.tz_localize("UTC")
     assert got == _brute(ev, 2, 6 * 3600.0)
     assert 0 < sum(not v for v in got.values()) < len(got)
+
+
+def test_stream_stops_and_resumes(spark):
+    """The second run reads only what is new and its days merge with those of the first."""
+    root = scratch_path(spark, "t-resume")
+    events = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts").limit(400).cache()
+    when = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    half = events.approxQuantile("event_id", [0.5], 0)[0]
+    for part in (events.where(F.col("event_id") < half), events.where(F.col("event_id") >= half)):
+        jobs.arrivals(part, f"{root}/arrivals", when, files=2)
+        days = jobs.stream_daily_load(spark, jobs.file_stream(spark, f"{root}/arrivals", max_files=1), root, watermark="60 days")
+    want = views.sessions_of(events).groupBy("athlete_id", "d").agg(F.sum("load").alias("load"))
+    assert sorted(map(tuple, days.select("athlete_id", "d", "load").collect())) == sorted(map(tuple, want.collect()))
+    assert jobs.written(spark, f"{root}/days").select("batch_id").distinct().count() == 4
