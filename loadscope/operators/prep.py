@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.operators import quality
+from loadscope.session import scratch_path
 
 PARAMS_SCHEMA = "step string, column_name string, category string, value double"
 
@@ -128,7 +129,10 @@ def materialize(params: DataFrame) -> DataFrame:
 def fit_prep(df: DataFrame, numeric: list[str], categorical: list[str], target: str) -> DataFrame:
     """C5 fit: dedup -> medians/modes -> (after impute) one-hot categories -> scaler over the
     numeric features (target and ids excluded). Returns one params table."""
-    d = quality.dedup(quality.drop_null_target(df, target))
+    # Every fitting pass reads the cleaned rows: they are computed once, into the shared folder.
+    path = scratch_path(df.sparkSession, "prep-fit")
+    quality.dedup(quality.drop_null_target(df, target)).write.parquet(path)
+    d = df.sparkSession.read.parquet(path)
     p_imp = materialize(fit_impute(d, numeric).unionByName(fit_modes(d, categorical)))
     imputed = apply_impute(d, p_imp)
     return materialize(p_imp.unionByName(fit_one_hot(imputed, categorical)).unionByName(fit_scaler(imputed, numeric)))

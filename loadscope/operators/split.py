@@ -15,6 +15,8 @@ rank in a full sort by hash, but no task ever holds a whole class.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,40 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, by: list[str] | None = No
     return j.withColumn(out, (F.col("_off") + F.row_number().over(wi)).cast("bigint")).drop("_h", "_bk", "_off")
 
 
+def bucket_digits(n: int) -> int:
+    """Hex digits of a bucket number such that a bucket holds about 100,000 rows, and a table of bucket
+    counts at most 16**5 rows a class."""
+    return min(5, max(2, math.ceil(math.log(max(1, n / 1e5), 16))))
+
+
+def hash_first(df: DataFrame, key: str, seed: int, quotas: dict, target: str, out: str = "first") -> DataFrame:
+    """Adds ``out``: whether the row is among the first ``quotas[class]`` of its class by hash.
+
+    Bucket counts tell which bucket the last of them falls into: all other rows are decided by a
+    projection, without a shuffle, and only the rows of that one bucket are ranked."""
+    digits = bucket_digits(sum(quotas.values()))
+    d = df.withColumn("_h", hash_key(F.col(key), seed)).withColumn("_bk", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
+    counts: dict = {}
+    for c, b, n in d.groupBy(target, "_bk").count().collect():
+        counts.setdefault(c, {})[b] = n
+    before, at_edge, place = F.lit(False), F.lit(False), F.lit(None).cast("long")
+    for c, q in quotas.items():
+        left, edge = q, 16 ** digits
+        for b in sorted(counts.get(c, {})):
+            if counts[c][b] > left:
+                edge = b
+                break
+            left -= counts[c][b]
+        mine = F.col(target) == F.lit(c)
+        before = before | (mine & (F.col("_bk") < edge))
+        at_edge = at_edge | (mine & (F.col("_bk") == edge))
+        place = F.when(mine, F.lit(left)).otherwise(place)
+    at_edge = F.coalesce(at_edge, F.lit(False))
+    w = Window.partitionBy(target).orderBy("_h", F.col(key))
+    edge_rows = d.where(at_edge).withColumn(out, F.row_number().over(w) <= place)
+    return d.where(~at_edge).withColumn(out, F.coalesce(before, F.lit(False))).unionByName(edge_rows).drop("_h", "_bk")
+
+
 def class_counts(df: DataFrame, target: str) -> dict:
     """Class -> count (a small aggregate collected to the driver). Errors as the studied
     system: missing target values, fewer than two classes."""
@@ -51,7 +87,6 @@ def class_counts(df: DataFrame, target: str) -> dict:
 
 def test_quotas(counts: dict, test_size: float) -> dict:
     """n_test = ceil(N * test_size); per-class floor share + largest remainders (ties by class)."""
-    import math
     n = sum(counts.values())
     n_test = math.ceil(n * test_size)
     base = {c: (n_test * k) // n for c, k in counts.items()}
@@ -62,27 +97,18 @@ def test_quotas(counts: dict, test_size: float) -> dict:
     return base
 
 
-def _quota_expr(target: str, quotas: dict) -> Column:
-    expr = None
-    for c, q in quotas.items():
-        expr = (F.when(F.col(target) == F.lit(c), F.lit(q)) if expr is None
-                else expr.when(F.col(target) == F.lit(c), F.lit(q)))
-    return expr
-
-
 def stratified_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, seed: int = 42,
                      out: str = "split") -> DataFrame:
     """Exact per-class test allocation; adds ``split`` in {'train', 'test'}."""
     quotas = test_quotas(class_counts(df, target), test_size)
-    r = hash_rank(df, key, seed, [target])
-    return r.withColumn(out, F.when(F.col("hash_rank") <= _quota_expr(target, quotas), "test")
-                        .otherwise("train")).drop("hash_rank")
+    r = hash_first(df, key, seed, quotas, target, "_first")
+    return r.withColumn(out, F.when(F.col("_first"), "test").otherwise("train")).drop("_first")
 
 
 def three_way_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, val_size: float = 0.2,
                     seed: int = 42) -> DataFrame:
     """Test first, then validation out of the rest (val share of the whole)."""
-    s1 = stratified_split(df, target, key, test_size, seed).cache()
+    s1 = stratified_split(df, target, key, test_size, seed)
     rest = s1.filter(F.col("split") == "train").drop("split")
     s2 = stratified_split(rest, target, key, val_size / (1.0 - test_size), seed + 1)
     s2 = s2.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
@@ -91,7 +117,6 @@ def three_way_split(df: DataFrame, target: str, key: str, test_size: float = 0.2
 
 def group_split(df: DataFrame, group: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """R2: whole groups to one side; ceil(test_size * G) groups in test, chosen by hash."""
-    import math
     groups = df.select(group).distinct()
     g = groups.count()
     n_test = math.ceil(test_size * g)
@@ -118,8 +143,7 @@ def undersample(df: DataFrame, target: str, key: str, ratio: float = 0.5, seed:
     counts = class_counts(df, target)
     n_pos = counts.get(1, 0)
     n_keep = int(n_pos / ratio)
-    r = hash_rank(df.filter(F.col(target) == 0), key, seed)
-    neg = r.filter(F.col("hash_rank") <= n_keep).drop("hash_rank")
+    neg = hash_first(df.filter(F.col(target) == 0), key, seed, {0: n_keep}, target, "_first").filter("_first").drop("_first")
     return df.filter(F.col(target) == 1).unionByName(neg)
 
 
