@@ -19,7 +19,7 @@ _WS = "[ \\t\\n\\f\\r]"
 
 def js_trim(c: Column) -> Column:
     """Whitespace trim including newlines (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{_WS}+", ""), f"{_WS}+$", "")
+    return F.btrim(c, F.lit(" \t\n\f\r"))
 
 
 def _by_label(label: Column, pairs, default) -> Column:
