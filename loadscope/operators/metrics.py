@@ -206,6 +206,13 @@ def report_rows(scored: DataFrame, name: str, thresholds, y: str = "y", p: str =
         F.round(_div0(tp + tn, tp + tn + fp + fn) * 100.0, 2).alias("accuracy_pct"), "tp", "fp")
 
 
+def ranked_report(rows: DataFrame, by: str = "f1") -> DataFrame:
+    """T4: report rows in order: thresholds upwards, best ``by`` first, models by name; ``place`` is the
+    position within the threshold. A report has a few rows for each threshold."""
+    w = Window.partitionBy("threshold").orderBy(F.col(by).desc(), "model")
+    return rows.withColumn("place", F.row_number().over(w)).orderBy("threshold", "place")
+
+
 def compare_metrics(base: DataFrame, new: DataFrame, tol: float = 0.001) -> DataFrame:
     """Full outer join on metric name; missing -> 0; delta and arrow (+/- tol)."""
     j = base.select("metric", F.col("value").alias("baseline")).join(

@@ -151,6 +151,13 @@ def m10_t6_report_rows(spark, sf):
     return out
 
 
+@register("t4_ranked_report", "WITH " + _cum_named("p") + ", " + _cum_named("p2") + ", rep AS (" + " UNION ALL ".join(
+    _report_sql(m, c, t) for m, c in _MODELS for _, t in fixed.OPERATING_MODES) + """)
+SELECT *, CAST(row_number() OVER (PARTITION BY threshold ORDER BY f1 DESC, model) AS INTEGER) AS place FROM rep""", views=("v_scored",))
+def t4_ranked_report(spark, sf):
+    return metrics.ranked_report(m10_t6_report_rows(spark, sf))
+
+
 @register("j8_compare_metrics", f"""
 WITH a AS ({_m2_sql('(' + _CM.format(t=0.5).replace('p <', 'p2 <').replace('p >=', 'p2 >=') + ')')}),
 b AS ({_m2_sql('(' + _CM.format(t=0.5) + ')')}),
