@@ -94,8 +94,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     stays split.
     """
     spark = links.sparkSession
+    def mark(e: DataFrame) -> tuple:
+        """Count and checksum: the rounds end when a round leaves the links as they are."""
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                   .where("u is not null and v is not null and u <> v").distinct(), "links")
+    state = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -106,15 +111,27 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         star = (large.join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .union(low.select("x", "m")).where("u <> v").distinct())
         star = saved(star, "star")
-        gone = star.exceptAll(edges).limit(1).count() == 0 and star.count() == edges.count()
+        before, state = state, mark(star)
         dropped(spark, edges, large)
         edges = star
-        if gone:
+        if state == before:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         edges.select(F.col("v"), F.col("v")).distinct())
 
 
+_HELD: list = [None, None]
+
+
+def held(key: tuple, make):
+    """What a Python worker keeps between tasks (a tokenizer, an automaton, a table): one thing at a
+    time. Workers are reused by later stages, so whatever another operator left there is let go."""
+    if _HELD[0] != key:
+        _HELD[:] = None, None
+        _HELD[:] = key, make()
+    return _HELD[1]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

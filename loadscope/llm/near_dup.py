@@ -5,12 +5,16 @@ whole sequence as one), each a 64-bit hash. Documents with equal sets form a cla
 128-bit digest of the set, and one member stands for it, so thousands of copies cost one class.
 
 Candidates: MinHash signatures in bands; bands and rows per band follow from the threshold so that
-a pair at the threshold shares no band with probability ``MISS`` at most. Classes that share a band
-are compared in rounds. In each round every bucket of a band picks a few pivots (1, 8, 64, ...),
-smallest components first, and pairs them with the bucket's members of other components; a pivot is
-then done with that bucket. Members that became connected are not paired again, so a bucket of
-thousands of near copies takes a few times its size in pairs; buckets go on until all members are
-connected or done, so none is capped.
+a pair at the threshold shares no band with probability ``MISS`` at most. Two classes that share a
+band (are in one of its buckets) are candidates, unless they are in one component already:
+
+* First each bucket pairs its members with one of them, that which shares most buckets with others
+  (of copies of one text, that is the text itself), which connects most large groups.
+* Then the members of buckets that still hold several components are compared in blocks: a bucket is
+  cut into blocks of ``BLOCK`` members, each two blocks meet in one task, which compares their
+  signatures. A task hands on the pairs of different components that survive: at first each member's
+  likeliest ``few``, then, once those are linked, all that are left. So a bucket of thousands makes
+  few pairs, none is capped, and no survivor between two components is left out.
 
 Verification: signatures (one byte per hash function) are compared ``STEP`` functions at a time; a
 pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
@@ -29,15 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import components, dropped, fresh, saved
+from loadscope.llm.common import components, dropped, fresh, held, saved
 
-MISS = 1e-5
-MOST_HASHES = 240
-STEP = 30
+#: A pair at the threshold shares no band; a pair is pruned although it reaches the threshold.
+MISS, PRUNE = 1e-5, 1e-4
+#: Hash functions: those of the bands at most, and all that verification compares.
+MOST_HASHES, FUNCTIONS = 240, 400
+STEP = 40
 ROWS = 500
+BLOCK = 512
+#: Survivors of a member that the rounds in blocks hand on; the last round: all.
+FEW = (2, 64, 1 << 30)
 SEED = 20240229
 
 _U = np.uint64
@@ -46,8 +55,8 @@ _RNG = np.random.default_rng(SEED)
 BYTE_KEYS = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 BASE = _U(0x9E3779B97F4A7C15)
 BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SHIFT_KEYS = (_RNG.integers(0, 1 << 32, MOST_HASHES, dtype=np.uint64) | _U(1)).astype(np.uint32)
-XOR_KEYS = _RNG.integers(0, 1 << 32, MOST_HASHES, dtype=np.uint64).astype(np.uint32)
+SHIFT_KEYS = (_RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint64) | _U(1)).astype(np.uint32)
+XOR_KEYS = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint64).astype(np.uint32)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BREAK = np.zeros(256, bool)
@@ -104,26 +113,26 @@ def shape(threshold: float) -> tuple[int, int]:
     return best
 
 
-def signature(hashes: np.ndarray, functions: int) -> np.ndarray:
+def signature(hashes: np.ndarray) -> np.ndarray:
     """Minimum of each of the hash functions over the set (32 bits)."""
     x = mixed(hashes * _U(0xD6E8FEB86659FD93))
     x = (x >> _U(32)).astype(np.uint32)
-    low = np.full(functions, 0xFFFFFFFF, np.uint32)
+    low = np.full(FUNCTIONS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 512):
-        part = (x[at:at + 512, None] ^ XOR_KEYS[None, :functions]) * SHIFT_KEYS[None, :functions]
+        part = (x[at:at + 512, None] ^ XOR_KEYS) * SHIFT_KEYS
         np.minimum(low, part.min(0), out=low)
     return low
 
 
-def least_matches(threshold: float, functions: int) -> list[tuple[int, int]]:
+def least_matches(threshold: float) -> list[tuple[int, int]]:
     """(functions compared, fewest matches at which the pair goes on) for every step. With a uniform
     prior and k matches of m, P(similarity >= t) = P(Binomial(m + 1, t) <= k). One-byte values match by
     chance once in 256, which raises t."""
     t = threshold + (1 - threshold) / 256
     out = []
-    for m in [*range(STEP, functions, STEP), functions]:
+    for m in range(STEP, FUNCTIONS + 1, STEP):
         below, k = 0.0, -1
-        while below < MISS and k < m:
+        while below < PRUNE and k < m:
             k += 1
             below += math.comb(m + 1, k) * t ** k * (1 - t) ** (m + 1 - k)
         out.append((m, k))
@@ -136,6 +145,7 @@ def profiles(docs: DataFrame, k: int, threshold: float, doc_id: str, text: str)
     weights = np.array([pow(int(BASE), i + 1, 1 << 64) for i in range(rows)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("shingles",), list)  # lets go of what an earlier operator kept in this worker
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
@@ -146,8 +156,8 @@ def profiles(docs: DataFrame, k: int, threshold: float, doc_id: str, text: str)
                     d1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                     d2.append(int(mixed(s ^ BASE).sum(dtype=np.uint64).astype(np.int64)))
                     if len(s):
-                        low = signature(s, bands * rows)
-                        key = (low.reshape(bands, rows).astype(np.uint64) * weights).sum(1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)
+                        low = signature(s)
+                        key = (low[:bands * rows].reshape(bands, rows).astype(np.uint64) * weights).sum(1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)
                         keys.append(mixed(key).astype(np.int64))
                         sigs.append(low.astype(np.uint8).tobytes())
                     else:
@@ -165,9 +175,9 @@ def class_id() -> Column:
     return F.xxhash64("n", "d1", "d2")
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, functions: int) -> DataFrame:
+def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose signatures pass every Bayesian step."""
-    steps = least_matches(threshold, functions)
+    steps = least_matches(threshold)
     with_u = pairs.join(sigs.select(F.col("cid").alias("u"), F.col("sig").alias("su")), "u")
     both = with_u.join(sigs.select(F.col("cid").alias("v"), F.col("sig").alias("sv")), "v").select("u", "v", "su", "sv")
 
@@ -175,7 +185,7 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, functions: int)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, functions) for c in ("su", "sv"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, FUNCTIONS) for c in ("su", "sv"))
             alive, same, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for m, least in steps:
                 same = same + (a[alive, done:m] == b[alive, done:m]).sum(1)
@@ -186,6 +196,67 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, functions: int)
     return both.mapInArrow(run, "u long, v long")
 
 
+def in_blocks(state: DataFrame, sigs: DataFrame, threshold: float, percent: int, few: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a bucket and whose signatures survive, the
+    likeliest ``few`` of each member. ``state``: band, key, cid, comp, n. A pair that shares several
+    buckets is left to the first of them."""
+    per_band = shape(threshold)[1]
+    steps = least_matches(threshold)
+    sizes = state.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    rows = state.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n")
+    rows = rows.join(sigs, "cid").select("band", "key", "i", "j", "own", "cid", "comp", "n", "sig")
+
+    def survivors(a: tuple, b: tuple, same: bool, band: int) -> list[tuple[int, int]]:
+        (ca, pa, na, sa), (cb, pb, nb, sb) = a, b
+        x, y = np.nonzero((pa[:, None] != pb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])))
+        if same:
+            x, y = x[x < y], y[x < y]
+        match, done = np.zeros(len(x), np.int32), 0
+        for m, least in steps:
+            match = match + (sa[x, done:m] == sb[y, done:m]).sum(1)
+            on = match >= least
+            x, y, match, done = x[on], y[on], match[on], m
+        for earlier in range(band):
+            at = slice(earlier * per_band, (earlier + 1) * per_band)
+            on = (sa[x, at] != sb[y, at]).any(1)
+            x, y, match = x[on], y[on], match[on]
+        keep = np.zeros(len(x), bool)
+        by = np.argsort(-match, kind="stable")
+        for member in (x, y):
+            order = by[np.argsort(member[by], kind="stable")]  # by member, the likeliest pair first
+            start = np.flatnonzero(np.diff(member[order], prepend=-1))
+            place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+            keep[order[place < few]] = True
+        return list(zip(ca[x[keep]].tolist(), cb[y[keep]].tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(group: tuple, held: list) -> pa.RecordBatch:
+            def side(block: int) -> tuple:
+                r = [h for h in held if h[0] == block]
+                return (np.array([h[1] for h in r], np.int64), np.array([h[2] for h in r], np.int64), np.array([h[3] for h in r], np.int64),
+                        np.frombuffer(b"".join(h[4] for h in r), np.uint8).reshape(len(r), FUNCTIONS))
+            band, _, i, j = group
+            first = side(i)
+            pairs = survivors(first, first, True, band) if i == j else survivors(first, side(j), False, band)
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["u", "v"])
+
+        now, held = None, []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "own", "cid", "comp", "n", "sig"))):
+                if r[:4] != now:
+                    if len(held) > 1:
+                        yield out(now, held)
+                    now, held = r[:4], []
+                held.append(r[4:])
+        if len(held) > 1:
+            yield out(now, held)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """(cid, hashes) of the classes of ``ids`` (cid, rep): the shingle set of a document of the class."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -225,8 +296,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) and class_size of every row."""
     spark, threshold = docs.sparkSession, percent / 100
-    bands, rows = shape(threshold)
-    functions = bands * rows
     every = saved(profiles(docs, k, threshold, doc_id, text), "profiles")
     classes = saved(every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
                     .withColumn("cid", class_id()), "classes")
@@ -236,42 +305,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
              .select("cid", "n", "sig", "bands").dropDuplicates(["cid"]))
     stand = saved(stand, "standing")
     dropped(spark)
-    band_rows = saved(stand.select("cid", "n", F.explode("bands").alias("key")), "bands")
+    band_rows = saved(stand.select("cid", "n", F.posexplode("bands").alias("band", "key")), "bands")
     shared = band_rows.groupBy("key").count().where("count > 1").select("key")
     live = saved(band_rows.join(shared, "key", "left_semi"), "buckets")
     dropped(spark, band_rows)
     sigs = stand.select("cid", "sig")
     links, tested, label = None, None, None
-    pivots = 1
-    while live.limit(1).count():
-        state = live if label is None else live.join(label, "cid", "left")
-        state = state.select("cid", "n", "key", (F.col("cid") if label is None else F.coalesce("component", "cid")).alias("comp"),
-                             (F.lit(1) if label is None else F.coalesce("members", F.lit(1))).alias("members"))
+    shares = live.join(live.groupBy("key").count(), "key").groupBy("cid").agg(F.sum("count").alias("shares"))
+    live = live.join(shares, "cid")
+    for few in (0, *FEW):
+        state = live if label is None else live.join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        state = state.select("cid", "n", "band", "key", "shares", F.col("cid" if label is None else "comp").alias("comp"))
         open_keys = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-        state = saved(state.join(open_keys, "key", "left_semi"), "round")
-        w = Window.partitionBy("key").orderBy("members", F.xxhash64("cid"), "cid")
-        chosen = saved(state.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots)
-                       .select("key", F.col("cid").alias("p"), F.col("comp").alias("p_comp"), F.col("n").alias("p_n")), "pivots")
-        sized = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
-        pairs = (state.join(chosen, "key").where((F.col("comp") != F.col("p_comp")) & sized)
-                 .select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct())
+        state = saved(state.join(open_keys, "key", "left_semi"), "open")
+        if not state.limit(1).count():
+            break
+        if few:
+            pairs = in_blocks(state, sigs, threshold, percent, few)
+        else:
+            # max_by is aggregated map-side: a bucket's middle is found without bringing the bucket together.
+            middle = state.groupBy("key").agg(F.max_by(F.struct("cid", "n"), F.struct("shares", "cid")).alias("p")).select("key", F.col("p.cid").alias("p"), F.col("p.n").alias("p_n"))
+            sized = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+            pairs = (state.join(middle, "key").where((F.col("cid") != F.col("p")) & sized)
+                     .select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct())
+            pairs = likely(pairs, sigs, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = saved(pairs, "pairs")
-        hopeful = saved(likely(pairs, sigs, threshold, functions), "hopeful")
-        ids = hopeful.select(F.col("u").alias("cid")).union(hopeful.select("v")).distinct()
-        ids = ids.join(classes.select("cid", "rep"), "cid").dropDuplicates(["cid"])
-        sets = saved(full_sets(docs, ids, k, doc_id, text), "sets")
-        new = saved(confirmed(hopeful, sets, percent), "links")
-        next_live = saved(state.join(chosen.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti").select("cid", "n", "key"), "buckets")
-        dropped(spark, hopeful, sets, live, state, chosen)
-        live = next_live
+        ids = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct().join(classes.select("cid", "rep"), "cid")
+        sets = saved(full_sets(docs, ids.dropDuplicates(["cid"]), k, doc_id, text), "sets")
+        new = saved(confirmed(pairs, sets, percent), "links")
+        dropped(spark, sets, state)
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
-        comp = components(links, "u", "v")
-        sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-        label = saved(comp.join(sizes, "component").select(F.col("id").alias("cid"), "component", "members"), "labels")
-        pivots *= 8
+        label = saved(components(links, "u", "v").select(F.col("id").alias("cid"), "component"), "labels")
     if label is None:
         named = classes.select("n", "d1", "d2", "class_size", F.col("rep").alias("component_id"))
     else:
