@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import dropped, saved
+from loadscope.llm.common import dropped, held, saved, small
 
 ORDER = 5
 SAMPLE_DOCS = 500
 WINDOW_CHARS = 2_000
-KEEP = 0.995
-SLACK = 1.1
+KEEP = 0.99
+SLACK = 1.2
 PIECE = 250_000
 START = "\0"
 
@@ -163,14 +163,28 @@ class Model:
         return count, total
 
 
-def sampled(trusted: DataFrame) -> DataFrame:
-    """(lang, text): the bounded sample, white space collapsed, start marks in front."""
+def held_out(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held out"), F.col(text)), F.lit(4)) == 0
+
+
+def sampled(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """(lang, text): the rows (doc_id, lang, text) of the bounded sample. Ids and hashes choose it; only the
+    texts that are chosen, at most SAMPLE_DOCS a language, leave the scan."""
+    rows = rows.where("text is not null and lang is not null")
     h = F.xxhash64("text")
-    start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - F.lit(WINDOW_CHARS - 1))) + 1
-    rows = trusted.where("text is not null and lang is not null").select("lang", h.alias("h"), F.substring("text", start.cast("int"), F.lit(WINDOW_CHARS)).alias("text"))
+    slim = rows.where(~held_out("text")).select("doc_id", "lang", h.alias("h"))
+    slim = slim.join(trusted_ids, F.col("doc_id") == F.col("_t"), "left_semi").groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
     w = Window.partitionBy("lang").orderBy("h")
-    rows = rows.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS)
-    clean = F.regexp_replace(F.regexp_replace("text", START, " "), "(?U)\\s+", " ")
+    chosen = saved(slim.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS).drop("r"), "chosen")
+    found = rows.withColumn("h", h).join(F.broadcast(chosen), ["doc_id", "lang", "h"], "left_semi")
+    return found.dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def windows(rows: DataFrame) -> DataFrame:
+    """(lang, text): a window of each text, white space collapsed, start marks in front."""
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - F.lit(WINDOW_CHARS - 1))) + 1
+    piece = F.substring("text", start.cast("int"), F.lit(WINDOW_CHARS))
+    clean = F.regexp_replace(F.regexp_replace(piece, START, " "), "(?U)\\s+", " ")
     return rows.select("lang", F.concat(F.lit(START * (ORDER - 1)), clean).alias("text"))
 
 
@@ -186,9 +200,9 @@ def discounts(counts: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame) -> tuple:
-    """The model's arrays from (lang, text) rows of trusted text."""
+    """The model's arrays from the sample's (lang, text) rows."""
     spark = trusted.sparkSession
-    text = saved(sampled(trusted), "trusted")
+    text = saved(windows(trusted), "trusted")
     langs = sorted(r[0] for r in text.select("lang").distinct().collect())
     gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - (ORDER - 1)), lambda i: F.substring(F.col("text"), i, F.lit(ORDER))))
     counts = {ORDER: saved(text.where(F.length("text") >= ORDER).select("lang", gram.alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c")), "counts")}
@@ -236,27 +250,18 @@ def train(trusted: DataFrame) -> tuple:
     return langs, keys, logs.astype(np.float32), contexts, back.astype(np.float32), np.array([unseen[x] for x in langs])
 
 
-_MODELS: dict[str, Model] = {}
-
-
-def held_out(text: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit("held out"), F.col(text)), F.lit(4)) == 0
-
-
 def perplexities(docs: DataFrame, arrays: tuple, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang, held, n_scored (characters) and perplexity of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), held_out(text).alias("held"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = str(shared.value[1][:64].sum()) + str(len(shared.value[1]))
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(*shared.value)
+        arrays_now = shared.value
+        model = held(("n-grams", hash(arrays_now[1].tobytes()), hash(arrays_now[2].tobytes())), lambda: Model(*arrays_now))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                n, total = _MODELS[key].score(b.column("text").to_pylist(), b.column("lang").to_pylist())
+                n, total = model.score(b.column("text").to_pylist(), b.column("lang").to_pylist())
                 value = np.exp(-total / np.maximum(n, 1))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("held"), pa.array(n), pa.array(value, mask=n == 0)],
                                                  ["doc_id", "lang", "held", "n_scored", "perplexity"])
@@ -269,13 +274,14 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text
     """doc_id, lang, n_scored, perplexity, threshold and kept of every row. ``trusted_ids`` has the
     doc_id of the trusted documents."""
     t = trusted_ids.select(F.col("doc_id").alias("_t")).distinct()
-    trusted = docs.where(~held_out(text)).join(t, F.col(doc_id) == F.col("_t"), "left_semi").select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    arrays = train(trusted)
-    scored = saved(perplexities(docs, arrays, doc_id, text, lang), "perplexities")
-    limit = (scored.join(t, F.col("doc_id") == F.col("_t"), "left_semi").where("perplexity is not null").groupBy(F.col("lang").alias("_l"))
-             .agg((F.coalesce(F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), KEEP, 100_000),
-                              F.percentile_approx("perplexity", KEEP, 100_000)) * SLACK).alias("threshold")))
-    out = scored.join(limit, F.col("lang") == F.col("_l"), "left").drop("_l")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    scored = saved(perplexities(rows, train(sampled(rows, t))), "perplexities")
+    limits = (scored.join(t, F.col("doc_id") == F.col("_t"), "left_semi").where("perplexity is not null").groupBy(F.col("lang").alias("_l"))
+              .agg((F.coalesce(F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), KEEP, 100_000),
+                               F.percentile_approx("perplexity", KEEP, 100_000)) * SLACK).alias("threshold")))
+    # One row for each language that has a model; those were collected with the sample.
+    limits = small(docs.sparkSession, [tuple(r) for r in limits.collect()], "_l string, threshold double")
+    out = scored.join(F.broadcast(limits), F.col("lang") == F.col("_l"), "left").drop("_l")
     kept = F.when(F.col("perplexity").isNull(), F.col("threshold").isNull()).otherwise(F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "lang", "n_scored", "perplexity", "threshold", kept.alias("kept"))
 
