@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,17 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadscope.llm.common import held
+
 #: Fixed values of byte-level BPE: the pretoken pattern and Unicode's white space (its White_Space property).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+|[" + WHITE + "]+(?![^" + WHITE + "])|["
            + WHITE + "]+")
 SHORT = 256
-#: Chunks and pretokens that a worker keeps encoded; beyond it forgets them all (bounded memory).
-CACHE = 200_000
+#: The rank of a pair that no merge joins.
+NONE = 1 << 60
+#: Words that a worker keeps encoded (the first it meets); bounds its memory.
+CACHE = 600_000
 #: Rows that a worker handles at a time.
 ROWS = 500
 #: A cut before a space is a pretoken boundary unless the space stands between white space, or ends the text after some.
-UNSAFE = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
+UNSAFE = re.compile(f" (?<=[{WHITE}] )(?:[{WHITE}]|\\Z)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,6 +59,27 @@ def chunks(text: str) -> list[str] | None:
     return ([first] if first else []) + [" " + x for x in rest]
 
 
+class Words(dict):
+    """Chunk -> ids, made by ``part(pretoken)`` when first looked up. A chunk of letters, with or without
+    a blank in front, is one pretoken; others are cut by the pattern."""
+
+    def __init__(self, part: Callable[[str], bytes]):
+        self.part, self.cut = part, regex.compile(PATTERN).findall
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() or len(pieces := self.cut(chunk)) == 1:
+            got = self.part(chunk)
+        else:
+            got = b"".join([self[p] for p in pieces])
+        if len(self) < CACHE and len(chunk) <= SHORT:
+            self[chunk] = got
+        return got
+
+    def text(self, text: str) -> bytes:
+        cut = chunks(text)
+        return b"".join(map(self.__getitem__, self.cut(text) if cut is None else cut))
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file (byte-level BPE, JSON)."""
 
@@ -63,11 +89,13 @@ class Bpe:
         letters, model = byte_letters(), spec["model"]
         raw = lambda s: bytes(letters[c] for c in s)
         self.id_of = {raw(k): v for k, v in model["vocab"].items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.joined: list[int] = []
         for i, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             left, right = raw(left), raw(right)
-            self.rank.setdefault((self.id_of[left], self.id_of[right]), (i, self.id_of[left + right]))
+            self.rank.setdefault((self.id_of[left], self.id_of[right]), i)
+            self.joined.append(self.id_of[left + right])
         self.of_byte = [self.id_of[bytes([b])] for b in range(256)]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {k: np.uint32(v).tobytes() for k, v in added.items()}
@@ -76,89 +104,55 @@ class Bpe:
         self.bytes_of = [b""] * size
         for k, v in [*self.id_of.items(), *((k.encode(), v) for k, v in added.items())]:
             self.bytes_of[v] = k
-        self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Words(self.part)
 
     def merge_short(self, ids: list[int]) -> list[int]:
         """Contiguous ranks: ``ranks[i]`` belongs to the pair that starts at part i."""
-        rank, none = self.rank, (1 << 60, 0)
-        ranks = [rank.get(p, none) for p in zip(ids, ids[1:])]
+        rank, joined = self.rank.get, self.joined
+        ranks = [rank(p, NONE) for p in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best is none or best[0] == none[0]:
+            if best == NONE:
                 break
             i = ranks.index(best)
-            ids[i] = best[1]
+            ids[i] = joined[best]
             del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank.get((ids[i], ids[i + 1]), none)
+                ranks[i] = rank((ids[i], ids[i + 1]), NONE)
             if i:
-                ranks[i - 1] = rank.get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NONE)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
-        rank, n = self.rank, len(ids)
+        rank, joined, n = self.rank, self.joined, len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r[0], i, r[1], ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            r, i, left, right = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j >= n or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = joined[r], False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < n and (r := rank.get((ids[p], ids[q]))):
-                    heapq.heappush(heap, (r[0], p, r[1], ids[p], ids[q]))
+                if p >= 0 and q < n and (r := rank.get((ids[p], ids[q]))) is not None:
+                    heapq.heappush(heap, (r, p, ids[p], ids[q]))
         return [x for x, a in zip(ids, alive) if a]
 
     def part(self, word: str) -> bytes:
-        data = word.encode()
-        whole = self.id_of.get(data) if len(data) == 1 else None
-        ids = [self.of_byte[b] for b in data]
-        if whole is None:
-            ids = self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
-        return np.array(ids, np.uint32).tobytes()
-
-    def word(self, chunk: str) -> bytes:
-        out = []
-        for w in self.pattern.findall(chunk):
-            got = self.parts.get(w)
-            if got is None:
-                got = self.part(w)
-                if len(w) <= SHORT:
-                    if len(self.parts) >= CACHE:
-                        self.parts.clear()
-                    self.parts[w] = got
-            out.append(got)
-        return b"".join(out)
+        ids = [self.of_byte[b] for b in word.encode()]
+        ids = self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.split_added is not None:
             pieces = self.split_added.split(text)
             if len(pieces) > 1:
-                return b"".join(self.added[p] if i % 2 else self.encode_plain(p) for i, p in enumerate(pieces))
-        return self.encode_plain(text)
-
-    def encode_plain(self, text: str) -> bytes:
-        cut = chunks(text)
-        if cut is None:
-            return self.word(text)
-        words, out = self.words, []
-        for c in cut:
-            got = words.get(c)
-            if got is None:
-                got = self.word(c)
-                if len(c) <= SHORT:
-                    if len(words) >= CACHE:
-                        words.clear()
-                    words[c] = got
-            out.append(got)
-        return b"".join(out)
+                return b"".join(self.added[p] if i % 2 else self.words.text(p) for i, p in enumerate(pieces))
+        return self.words.text(text)
 
     def decode(self, ids: bytes) -> str:
         """Bytes that are no UTF-8 become U+FFFD."""
@@ -166,13 +160,8 @@ class Bpe:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def loaded(path: str) -> Bpe:
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def added_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType,

@@ -21,6 +21,7 @@ not read. A block holds at least one document, so a very long text makes a longe
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,46 +29,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadscope.llm.bpe import CACHE, ROWS, SHORT, chunks
-from loadscope.llm.common import dropped, partitions, range_part, saved, small
+from loadscope.llm.bpe import ROWS, Words, byte_letters
+from loadscope.llm.common import dropped, held, partitions, range_part, saved, small
 from loadscope.session import scratch_path
 
 MAX_BITS = 20
 STRIDE = 256
 BLOCK_TOKENS = 1 << 17
 
-_TOKENIZERS: dict[str, tuple] = {}
-
-
-def library_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids (uint32) by the tokenizers library with add_special_tokens=False. The library encodes
-    each distinct chunk once per worker: a cut before a single space is a pretoken boundary
-    (``bpe.chunks``); texts where it is not, or that hold an added token, go to it whole."""
-    if path not in _TOKENIZERS:
+def library(path: str) -> tuple:
+    """(tokenizer, ids of a text without added tokens, added tokens, type of an id)."""
+    def load() -> tuple:
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _TOKENIZERS[path] = t, {}, [x.content for x in t.get_added_tokens_decoder().values()]
-    t, cache, added = _TOKENIZERS[path]
-    if len(cache) >= CACHE:
-        cache.clear()
-    cut = [None if any(a in x for a in added) else chunks(x) for x in texts]
-    missing = {w for words in cut if words for w in words}.difference(cache)
-    whole = [x for x, words in zip(texts, cut) if words is None]
-    new = list(missing)
-    coded = t.encode_batch([*new, *whole], add_special_tokens=False)
-    fresh = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, coded)}
-    out, at = [], len(new)
-    get, known = cache.get, fresh.get
-    for words in cut:
-        if words is None:
-            out.append(np.array(coded[at].ids, np.uint32).tobytes())
-            at += 1
-        else:
-            out.append(b"".join([get(w) or known(w) for w in words]))
-    cache.update((w, v) for w, v in fresh.items() if len(w) <= SHORT)
-    return out
+        model, letters = t.model, {chr(b): c for c, b in byte_letters().items()}
+        table, code = str.maketrans(letters), "H" if t.get_vocab_size() <= 1 << 16 else "I"
+
+        def part(word: str) -> bytes:
+            if word.isascii() and word.isprintable() and " " not in word[1:]:
+                mapped = letters[" "] + word[1:] if word[0] == " " else word
+            else:
+                mapped = word.encode().decode("latin-1").translate(table)
+            return array(code, [x.id for x in model.tokenize(mapped)]).tobytes()
+
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        return t, Words(part), added, np.dtype("<u2" if code == "H" else "<u4")
+
+    return held(("tokenizers", path), load)
+
+
+def library_ids(path: str, text: str) -> bytes:
+    """Ids by the tokenizers library with add_special_tokens=False, in the type of an id. Its model
+    merges each distinct pretoken once per worker; texts that hold an added token go to it whole."""
+    t, words, added, kind = library(path)
+    if any(a in text for a in added):
+        return np.array(t.encode(text, add_special_tokens=False).ids, kind).tobytes()
+    return words.text(text)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -148,17 +147,6 @@ def decoded(payload: bytes, checkpoints: bytes, n: int, table: tuple[np.ndarray,
     return out.T.ravel()[:n]
 
 
-_BOOKS: dict[str, tuple] = {}
-
-
-def book(key: str, value, make):
-    """What a worker derives from the broadcast codebook, made once."""
-    if key not in _BOOKS:
-        _BOOKS.clear()
-        _BOOKS[key] = make(*value)
-    return _BOOKS[key]
-
-
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, doc_id: str = "doc_id",
                      text: str = "text") -> str:
     """Encodes and writes all rows of ``docs``; ``path`` is a new folder of any file system of Spark."""
@@ -166,13 +154,14 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
     n = partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     part = range_part(rows, "doc_id", n)
-    tail = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
+    kind = library(tokenizer)[3]
+    tail = np.array([] if end_id is None else [end_id], kind).tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                ids = [x + tail for x in library_ids(tokenizer, b.column("text").to_pylist())]
+                ids = [library_ids(tokenizer, x) + tail for x in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array(ids, pa.binary())],
                                                  ["doc_id", "part", "ids"])
 
@@ -180,7 +169,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
         block, start, held, size, shard = 0, 0, [], 0, 0
 
         def out():
-            counts = [len(x) // 4 for _, x in held]
+            counts = [len(x) // kind.itemsize for _, x in held]
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()), "start": pa.array([start], pa.int64()),
                 "n_tokens": pa.array([sum(counts)], pa.int64()), "doc_ids": pa.array([[d for d, _ in held]], pa.list_(pa.int64())),
@@ -188,9 +177,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
 
         for batch in batches:
             for d, p, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "ids"))):
-                if held and size + len(x) > 4 * BLOCK_TOKENS:
+                if held and size + len(x) > kind.itemsize * BLOCK_TOKENS:
                     yield out()
-                    block, start, held, size = block + 1, start + size // 4, [], 0
+                    block, start, held, size = block + 1, start + size // kind.itemsize, [], 0
                 shard = p
                 held.append((d, x))
                 size += len(x)
@@ -207,7 +196,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_py(), "<u4"))
+                got = np.bincount(np.frombuffer(x.as_py(), kind))
                 if len(got) > len(total):
                     got, total = total, got.astype(np.int64)
                 total[: len(got)] += got
@@ -223,7 +212,6 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
         before[shard] = at
         at += size
     shared = spark.sparkContext.broadcast((used, bits))
-    key = path
 
     def dense(used: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = int(used.max()) + 1 if len(used) else 1
@@ -232,11 +220,11 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
         return code, length
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, lengths = book(f"w{key}", shared.value, dense)
+        codes, lengths = held(("codes", path), lambda: dense(*shared.value))
         for batch in batches:
             for i in range(batch.num_rows):
                 b = batch.slice(i, 1)
-                payload, marks = coded(np.frombuffer(b.column("ids")[0].as_py(), "<u4"), codes, lengths)
+                payload, marks = coded(np.frombuffer(b.column("ids")[0].as_py(), kind), codes, lengths)
                 start = b.column("start")[0].as_py() + before[b.column("shard")[0].as_py()]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in ("shard", "block")), pa.array([start], pa.int64()),
@@ -258,10 +246,9 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document; ids as little-endian unsigned 32-bit integers."""
     rows = spark.read.schema("id long, bits long").parquet(f"{path}/codebook").collect()  # at most the vocabulary
     shared = spark.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.bits for r in rows], np.int64)))
-    key = path
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = book(f"r{key}", shared.value, decode_table)
+        table = held(("table", path), lambda: decode_table(*shared.value))
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
