@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscope.llm.common import held
+
 SAMPLE_BYTES = 160_000
 SAMPLE_DOCS = 200
 WINDOW_CHARS = 2_000
@@ -163,9 +165,6 @@ def sample(labelled: DataFrame, text: str, lang: str) -> list[tuple[str, bytes]]
     return out
 
 
-_BUILT: dict[int, Languages] = {}
-
-
 def predict(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
             more: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, lang_pred, score and rate (phrases per byte, null for `und`) of every row of ``docs``, plus
@@ -177,11 +176,8 @@ def predict(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]) + ", lang_pred string, score double, rate double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(learned_now := shared.value))
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Languages(learned_now) if learned_now else None
-        model = _BUILT[key]
+        learned_now = shared.value
+        model = held(("languages", tuple(learned_now)), lambda: Languages(learned_now)) if learned_now else None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
