@@ -8,6 +8,7 @@ needs to names of its own first, so extra columns of the input, whatever their n
 from __future__ import annotations
 
 import gc
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver found it, whatever folder the driver
+    runs in. (Executors that do not see that folder get the package from spark-submit's --py-files.)"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def saved(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written once to a fresh scratch table and read back with the same schema."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)

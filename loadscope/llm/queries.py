@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loadscope.llm import bpe, exact_dedup, language_id, mixing, near_dup, quality, repeats, sharding, token_file, top_k
+from loadscope.llm.common import with_package
 from loadscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,7 @@ def tokenizer_path() -> str:
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(with_package(spark), sf_dir)
         if sql:
             ORACLE[name] = sql
         return fn
