@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loadscope.llm import bpe, exact_dedup, language_id, mixing, near_dup
-from loadscope.llm.common import saved
+from loadscope.llm.common import saved, with_package
 from loadscope.llm.queries import tokenizer_path
 from loadscope.sources.tables import table
 
@@ -21,26 +21,31 @@ from loadscope.sources.tables import table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a language that the labelled ones teach (5); no letters or a text that fits
     none of them goes."""
+    with_package(spark)
     return language_id.accepted_rows(docs, docs.where(~language_id.held_out()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (7)."""
+    with_package(spark)
     return exact_dedup.kept_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more (3)."""
+    with_package(spark)
     return near_dup.kept_rows(docs, k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them, some left out and some repeated (1)."""
+    with_package(spark)
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the ids of the text, with the digests of ids and decoded text (9)."""
+    with_package(spark)
     return bpe.digest(docs, tokenizer_path())
 
 
