@@ -36,7 +36,7 @@ SHORT = 256
 #: The rank of a pair that no merge joins.
 NONE = 1 << 60
 #: Words that a worker keeps encoded (the first it meets); bounds its memory.
-CACHE = 600_000
+CACHE = 300_000
 #: Rows that a worker handles at a time.
 ROWS = 500
 #: A cut before a space is a pretoken boundary unless the space stands between white space, or ends the text after some.

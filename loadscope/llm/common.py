@@ -20,9 +20,18 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch at most: rows carry texts, shingle sets or token ids, and a batch stands in memory
+#: on both sides of each of an executor's Python workers.
+BATCH_ROWS = 500
+
+
 def with_package(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver found it, whatever folder the driver
-    runs in. (Executors that do not see that folder get the package from spark-submit's --py-files.)"""
+    runs in, and keeps Arrow batches small. (Executors that do not see that folder get the package from
+    spark-submit's --py-files.)"""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

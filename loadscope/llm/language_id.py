@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loadscope.llm.common import held
 
-SAMPLE_BYTES = 160_000
+SAMPLE_BYTES = 80_000
 SAMPLE_DOCS = 200
 WINDOW_CHARS = 2_000
 SEGMENT = 2_048
