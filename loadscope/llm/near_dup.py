@@ -46,7 +46,7 @@ STEP = 40
 ROWS = 500
 BLOCK = 512
 #: Survivors of a member that the rounds in blocks hand on; the last round: all.
-FEW = (2, 64, 1 << 30)
+FEW = (2, 1 << 30)
 SEED = 20240229
 
 _U = np.uint64
