@@ -198,18 +198,18 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
 def in_blocks(state: DataFrame, sigs: DataFrame, threshold: float, percent: int, few: int) -> DataFrame:
     """Pairs (u, v) of different components that share a bucket and whose signatures survive, the
-    likeliest ``few`` of each member. ``state``: band, key, cid, comp, n. A pair that shares several
-    buckets is left to the first of them."""
-    per_band = shape(threshold)[1]
+    likeliest ``few`` of each member. ``state``: band, key, cid, comp, n; ``sigs``: cid, sig, bands. A pair
+    that shares several buckets is left to the first of them, as the bands' whole keys tell."""
     steps = least_matches(threshold)
     sizes = state.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     rows = state.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n")
-    rows = rows.join(sigs, "cid").select("band", "key", "i", "j", "own", "cid", "comp", "n", "sig")
+    before = F.slice("bands", F.lit(1), F.col("band"))  # the keys of the bands before this one
+    rows = rows.join(sigs, "cid").select("band", "key", "i", "j", "own", "cid", "comp", "n", "sig", before.alias("before"))
 
     def survivors(a: tuple, b: tuple, same: bool, band: int) -> list[tuple[int, int]]:
-        (ca, pa, na, sa), (cb, pb, nb, sb) = a, b
+        (ca, pa, na, sa, ka), (cb, pb, nb, sb, kb) = a, b
         x, y = np.nonzero((pa[:, None] != pb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])))
         if same:
             x, y = x[x < y], y[x < y]
@@ -219,8 +219,7 @@ def in_blocks(state: DataFrame, sigs: DataFrame, threshold: float, percent: int,
             on = match >= least
             x, y, match, done = x[on], y[on], match[on], m
         for earlier in range(band):
-            at = slice(earlier * per_band, (earlier + 1) * per_band)
-            on = (sa[x, at] != sb[y, at]).any(1)
+            on = ka[x, earlier] != kb[y, earlier]
             x, y, match = x[on], y[on], match[on]
         keep = np.zeros(len(x), bool)
         by = np.argsort(-match, kind="stable")
@@ -236,7 +235,8 @@ def in_blocks(state: DataFrame, sigs: DataFrame, threshold: float, percent: int,
             def side(block: int) -> tuple:
                 r = [h for h in held if h[0] == block]
                 return (np.array([h[1] for h in r], np.int64), np.array([h[2] for h in r], np.int64), np.array([h[3] for h in r], np.int64),
-                        np.frombuffer(b"".join(h[4] for h in r), np.uint8).reshape(len(r), FUNCTIONS))
+                        np.frombuffer(b"".join(h[4] for h in r), np.uint8).reshape(len(r), FUNCTIONS),
+                        np.array([h[5] for h in r], np.int64).reshape(len(r), group[0]))
             band, _, i, j = group
             first = side(i)
             pairs = survivors(first, first, True, band) if i == j else survivors(first, side(j), False, band)
@@ -244,7 +244,9 @@ def in_blocks(state: DataFrame, sigs: DataFrame, threshold: float, percent: int,
 
         now, held = None, []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "own", "cid", "comp", "n", "sig"))):
+            at, keys = batch.column("before").offsets.to_numpy(), batch.column("before").values.to_numpy()
+            before = [keys[a:b] for a, b in zip(at[:-1], at[1:])]
+            for r in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "own", "cid", "comp", "n", "sig")), before):
                 if r[:4] != now:
                     if len(held) > 1:
                         yield out(now, held)
@@ -309,7 +311,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     shared = band_rows.groupBy("key").count().where("count > 1").select("key")
     live = saved(band_rows.join(shared, "key", "left_semi"), "buckets")
     dropped(spark, band_rows)
-    sigs = stand.select("cid", "sig")
+    sigs = stand.select("cid", "sig", "bands")
     links, tested, label = None, None, None
     shares = live.join(live.groupBy("key").count(), "key").groupBy("cid").agg(F.sum("count").alias("shares"))
     live = live.join(shares, "cid")
