@@ -18,7 +18,7 @@ band (are in one of its buckets) are candidates, unless they are in one componen
 
 Verification: signatures (one byte per hash function) are compared ``STEP`` functions at a time; a
 pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
-threshold is below ``MISS``. Survivors have their full shingle sets compared exactly.
+threshold is below its step's share of ``PRUNE``. Survivors have their full shingle sets compared exactly.
 
 Components: smallest doc_id reachable over links and classes. Null or wordless text: the empty set,
 linked with nothing, kept. Repeated rows are in one class; rows equal in doc_id share all answers.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loadscope.llm.common import components, dropped, fresh, held, saved
 
-#: A pair at the threshold shares no band; a pair is pruned although it reaches the threshold.
+#: A pair at the threshold shares no band; a pair is pruned, in any of the steps, although it reaches the threshold.
 MISS, PRUNE = 1e-5, 1e-4
 #: Hash functions: those of the bands at most, and all that verification compares.
 MOST_HASHES, FUNCTIONS = 240, 400
@@ -126,15 +126,18 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def least_matches(threshold: float) -> list[tuple[int, int]]:
     """(functions compared, fewest matches at which the pair goes on) for every step. With a uniform
-    prior and k matches of m, P(similarity >= t) = P(Binomial(m + 1, t) <= k). One-byte values match by
-    chance once in 256, which raises t."""
+    prior and k matches of m, P(similarity >= t) = P(Binomial(m + 1, t) <= k) <= P(Binomial(m, t) <= k), the
+    probability that a pair at the threshold has so few, which is compared. One-byte values match by
+    chance once in 256, which raises t. The steps share PRUNE, so that all together prune a pair at the threshold
+    with that probability at most."""
     t = threshold + (1 - threshold) / 256
+    each = PRUNE / (FUNCTIONS // STEP)
     out = []
     for m in range(STEP, FUNCTIONS + 1, STEP):
         below, k = 0.0, -1
-        while below < PRUNE and k < m:
+        while below < each and k < m:
             k += 1
-            below += math.comb(m + 1, k) * t ** k * (1 - t) ** (m + 1 - k)
+            below += math.comb(m, k) * t ** k * (1 - t) ** (m - k)
         out.append((m, k))
     return out
 

@@ -20,3 +20,15 @@ def test_a_pair_is_left_to_a_bucket_that_it_is_in(spark):
     for few in near_dup.FEW:
         got = near_dup.in_blocks(state, sigs, 0.85, 85, few).collect()
         assert sorted(map(tuple, got)) == [(1, 2), (3, 4)]
+
+
+def test_all_pruning_steps_together_meet_the_bound():
+    """Probability, by steps, that a pair exactly at the threshold is pruned in one of them."""
+    for t in (0.5, 0.8, 0.85, 0.95):
+        match = t + (1 - t) / 256
+        alive, done, pruned = np.ones(1), 0, 0.0
+        for m, least in near_dup.least_matches(t):
+            add = np.array([math.comb(m - done, i) * match ** i * (1 - match) ** (m - done - i) for i in range(m - done + 1)])
+            alive, done = np.convolve(alive, add), m
+            pruned, alive[:least] = pruned + alive[:least].sum(), 0.0
+        assert pruned <= near_dup.PRUNE
