@@ -1,14 +1,17 @@
 """Operator 4: quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
 The model is over characters (``ORDER``-grams of code points; runs of white space are one blank, and
-a text starts after start marks) and has one part for each language. It is trained on trusted text:
-a bounded sample of at most ``SAMPLE_DOCS`` windows of ``WINDOW_CHARS`` characters a language, in
-hash order. Training is a chain of counts and joins, sharded by n-gram: raw counts at the highest
-order, continuation counts (distinct left neighbours) below; the three discounts of each order
-from its counts of counts; context totals joined to the n-grams; and each order's probabilities
-joined to the next lower one's. The table that results has at most ORDER rows for each sampled
-character, which bounds what is broadcast; every whole text is then scored against it in one scan,
-by hash lookups, backing off where an n-gram was not seen.
+a text starts after start marks) and has one part for each language. It is trained on every trusted text,
+whole, each distinct text of a language once. One scan cuts the documents into chunks of about ``CHUNK``
+characters and hands on each chunk's distinct n-grams with their counts in trusted texts. Training is a
+chain of counts and joins, sharded by n-gram: raw counts at the highest order, continuation counts
+(distinct left neighbours) below; the three discounts of each order from its counts of counts; context
+totals joined to the n-grams; and each order's probabilities joined to the next lower one's.
+
+Scoring joins too: the corpus' distinct n-grams meet the tables order by order, backing off where an
+n-gram was not seen, and the log probabilities return to the chunks, whose texts they are summed over. No
+table is sent to the workers or the driver, so all of them may grow with the input. ``train`` and ``Model``
+hold a small model in one process instead.
 
 A document's perplexity is exp of the mean negative log probability of its characters. It is kept
 unless its perplexity exceeds ``SLACK`` times the ``KEEP``-quantile of its language. The quantile is
@@ -26,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.llm.common import dropped, held, saved, small
 
 ORDER = 5
-SAMPLE_DOCS = 500
-WINDOW_CHARS = 2_000
+CHUNK = 4_000_000
 KEEP = 0.99
 SLACK = 1.2
 PIECE = 250_000
@@ -167,52 +170,113 @@ def held_out(text: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("held out"), F.col(text)), F.lit(4)) == 0
 
 
-def sampled(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(lang, text): the rows (doc_id, lang, text) of the bounded sample. Ids and hashes choose it; only the
-    texts that are chosen, at most SAMPLE_DOCS a language, leave the scan."""
-    rows = rows.where("text is not null and lang is not null")
-    h = F.xxhash64("text")
-    slim = rows.where(~held_out("text")).select("doc_id", "lang", h.alias("h"))
-    slim = slim.join(trusted_ids, F.col("doc_id") == F.col("_t"), "left_semi").groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    w = Window.partitionBy("lang").orderBy("h")
-    chosen = saved(slim.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS).drop("r"), "chosen")
-    found = rows.withColumn("h", h).join(F.broadcast(chosen), ["doc_id", "lang", "h"], "left_semi")
-    return found.dropDuplicates(["lang", "h"]).select("lang", "text")
+def chosen_texts(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """(doc_id, lang, h, m) of one document of each distinct trusted text (hash h) that is not held out; m rows
+    are alike in all three. Ids and hashes choose; texts do not leave the scan."""
+    slim = rows.where("length(text) > 0 and lang is not null").where(~held_out("text")).select("doc_id", "lang", F.xxhash64("text").alias("h"))
+    slim = slim.join(trusted_ids, F.col("doc_id") == F.col("_t"), "left_semi").groupBy("lang", "h", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+    first = slim.groupBy("lang", "h").agg(F.min_by(F.struct("doc_id", "m"), "doc_id").alias("f"))
+    return first.select(F.col("f.doc_id").alias("doc_id"), "lang", "h", F.col("f.m").alias("m"))
+
+
+class Chunk:
+    """The n-grams of order ORDER of some texts: ``keys`` are sorted and distinct, whatever the texts' order."""
+
+    def __init__(self, texts: list[str | None], langs: list[str | None], number: dict[str, int]):
+        self.rows = np.array([i for i, (t, name) in enumerate(zip(texts, langs)) if t and name in number], np.int64)
+        self.points, self.of = points_of([texts[i] for i in self.rows]) if len(self.rows) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.number = np.array([number[langs[i]] for i in self.rows], np.int64)
+        found = [np.unique(keys) for _, _, keys in self.parts()]
+        self.keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+    def parts(self) -> Iterator[tuple]:
+        """(start in the points, row, key) of the n-grams, PIECE positions at a time."""
+        for at in range(0, len(self.points) - ORDER + 1, PIECE):
+            part, who = self.points[at:at + PIECE + ORDER - 1], self.of[at + ORDER - 1:at + PIECE + ORDER - 1]
+            real = np.flatnonzero(part[ORDER - 1:])
+            yield at + real, self.rows[who[real]], tagged(grams_of(part, ORDER)[real], ORDER, self.number[who[real]])
+
+    def grams(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(language number, sum of the rows' weights over the occurrences, n-gram) of each key."""
+        first, total = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys))
+        for start, row, keys in self.parts():
+            at = np.searchsorted(self.keys, keys)
+            first[at] = start
+            total += np.bincount(at, weight[row], len(self.keys))
+        joined = self.points[first[:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
+        return self.number[self.of[first + ORDER - 1]], total, [joined[i:i + ORDER] for i in range(0, len(joined), ORDER)]
+
+    def sums(self, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, sum of the keys' values) of each of the n rows."""
+        count, total = np.zeros(n, np.int64), np.zeros(n)
+        for _, row, keys in self.parts():
+            total += np.bincount(row, values[np.searchsorted(self.keys, keys)], n)
+            count += np.bincount(row, minlength=n)
+        return count, total
+
 
+def chunked(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """The rows (doc_id, lang, held, text, weight) with their chunk, and rows (chunk, lang, i, g, c) of the
+    chunk's n-grams: the i-th key's n-gram g and its weighted count c."""
+    number = {name: i for i, name in enumerate(langs)}
+    names = ["chunk", "doc_id", "lang", "held", "text", "i", "g", "c"]
 
-def windows(rows: DataFrame) -> DataFrame:
-    """(lang, text): a window of each text, white space collapsed, start marks in front."""
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - F.lit(WINDOW_CHARS - 1))) + 1
-    piece = F.substring("text", start.cast("int"), F.lit(WINDOW_CHARS))
-    clean = F.regexp_replace(F.regexp_replace(piece, START, " "), "(?U)\\s+", " ")
-    return rows.select("lang", F.concat(F.lit(START * (ORDER - 1)), clean).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("chunks",), list)  # lets go of what an earlier operator kept in this worker
+        now, size, n = [], 0, TaskContext.get().partitionId() << 32
+
+        def out() -> Iterator[pa.RecordBatch]:
+            texts, names_of, weight = ([x for b in now for x in b.column(c).to_pylist()] for c in ("text", "lang", "weight"))
+            for b in now:
+                none = pa.nulls(b.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64()), *(b.column(c) for c in names[1:5]),
+                                                  none.cast(pa.int32()), none.cast(pa.string()), none.cast(pa.float64())], names)
+            lang, total, grams = Chunk(texts, names_of, number).grams(np.array(weight, np.float64))
+            for at in range(0, len(grams), 50_000):
+                g = grams[at:at + 50_000]
+                none = pa.nulls(len(g))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n] * len(g), pa.int64()), none.cast(now[0].column("doc_id").type), pa.array([langs[x] for x in lang[at:at + len(g)]], pa.string()),
+                     none.cast(pa.bool_()), none.cast(pa.string()), pa.array(range(at, at + len(g)), pa.int32()), pa.array(g, pa.string()), pa.array(total[at:at + len(g)])], names)
+
+        for batch in batches:
+            if batch.num_rows:
+                now.append(batch)
+                size += sum(len(t) for t in batch.column("text").to_pylist() if t)
+                if size >= CHUNK:
+                    yield from out()
+                    now, size, n = [], 0, n + 1
+        if now:
+            yield from out()
+
+    fields = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "lang", "held", "text", "weight").mapInArrow(
+        run, f"chunk long, doc_id {fields}, lang string, held boolean, text string, i int, g string, c double")
 
 
 def discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3) from the counts of counts 1 to 4."""
     n = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in range(1, 5)]
     t = counts.groupBy("lang").agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     def d(i: int) -> Column:
-        value = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        value = i - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0) & (value > 0), value).otherwise(F.lit(i * 0.5)).alias(f"d{i}")
     return t.select("lang", d(1), d(2), d(3))
 
 
-def train(trusted: DataFrame) -> tuple:
-    """The model's arrays from the sample's (lang, text) rows."""
-    spark = trusted.sparkSession
-    text = saved(windows(trusted), "trusted")
-    langs = sorted(r[0] for r in text.select("lang").distinct().collect())
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - (ORDER - 1)), lambda i: F.substring(F.col("text"), i, F.lit(ORDER))))
-    counts = {ORDER: saved(text.where(F.length("text") >= ORDER).select("lang", gram.alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c")), "counts")}
+def estimates(grams: DataFrame) -> tuple[list, list, dict]:
+    """From the counts (lang, g, c) of the n-grams of order ORDER: tables (lang, g, v) of the log probabilities by
+    order from 1 on, tables (lang, g, v) of the log back-off weights of contexts by length from 1 on, and the
+    log probability of an unseen character by language."""
+    counts = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
         below = counts[n + 1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count(F.lit(1)).alias("c"))
         counts[n] = saved(below.where(F.substring("g", n, 1) != START), "counts")
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     lower, tables, backs, unseen = None, [], [], {}
     for n in range(1, ORDER + 1):
-        # Languages are few: the sample holds SAMPLE_DOCS rows of each.
+        # One row a language.
         j = counts[n].join(F.broadcast(discounts(counts[n])), "lang").select("lang", "g", "c", d.alias("d"), F.substring("g", 1, n - 1).alias("h"))
         totals = j.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("held"), F.count(F.lit(1)).alias("kinds"))
         totals = totals.select("lang", "h", "total", (F.col("held") / F.col("total")).alias("back"), "kinds")
@@ -228,6 +292,16 @@ def train(trusted: DataFrame) -> tuple:
         lower = saved(j.select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("back") * base).alias("p")), "probabilities")
         tables.append(lower.select("lang", "g", F.log("p").alias("v")))
 
+    dropped(grams.sparkSession, *(counts[n] for n in range(1, ORDER)))
+    return tables, backs, unseen
+
+
+def train(trusted: DataFrame) -> tuple:
+    """The arrays of a Model in memory, of all (lang, text) rows; for a small trusted table."""
+    langs = sorted(r[0] for r in trusted.select("lang").distinct().collect())
+    rows = trusted.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.lit(False).alias("held"), "text", F.lit(1.0).alias("weight"))
+    tables, backs, unseen = estimates(saved(counted(chunked(rows, langs)), "counts"))
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {name: i for i, name in enumerate(langs)}
         for batch in batches:
@@ -240,34 +314,66 @@ def train(trusted: DataFrame) -> tuple:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("v")], ["k", "v"])
 
     def arrays(parts: list[DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-        got = [p.mapInArrow(keyed, "k long, v double").toArrow() for p in parts]  # bounded by the sample
+        got = [p.mapInArrow(keyed, "k long, v double").toArrow() for p in parts]
         one = pa.concat_tables(got)
         return one["k"].to_numpy().view(np.uint64), one["v"].to_numpy()
 
     keys, logs = arrays(tables)
     contexts, back = arrays(backs) if backs else (np.zeros(0, np.uint64), np.zeros(0))
-    dropped(spark, text, *counts.values())
     return langs, keys, logs.astype(np.float32), contexts, back.astype(np.float32), np.array([unseen[x] for x in langs])
 
 
-def perplexities(docs: DataFrame, arrays: tuple, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, held, n_scored (characters) and perplexity of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), held_out(text).alias("held"), F.col(text).alias("text"))
+def counted(chunks: DataFrame) -> DataFrame:
+    """(lang, g, c): the whole counts of the n-grams that the trusted texts have."""
+    return chunks.where("c > 0").groupBy("lang", "g").agg(F.round(F.sum("c")).cast("long").alias("c"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays_now = shared.value
-        model = held(("n-grams", hash(arrays_now[1].tobytes()), hash(arrays_now[2].tobytes())), lambda: Model(*arrays_now))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                n, total = model.score(b.column("text").to_pylist(), b.column("lang").to_pylist())
-                value = np.exp(-total / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("held"), pa.array(n), pa.array(value, mask=n == 0)],
-                                                 ["doc_id", "lang", "held", "n_scored", "perplexity"])
+
+def log_probabilities(chunks: DataFrame, tables: list, backs: list, unseen: dict) -> DataFrame:
+    """(lang, g, v): the log probability of the last character of each distinct n-gram of the chunks."""
+    spark, seen = chunks.sparkSession, {ORDER: saved(chunks.where("g is not null").select("lang", "g").distinct(), "distinct")}
+    for n in range(ORDER - 1, 0, -1):
+        seen[n] = saved(seen[n + 1].select("lang", F.substring("g", 2, n).alias("g")).distinct(), "distinct")
+    # One row a language.
+    lower = F.broadcast(small(spark, list(unseen.items()), "lang string, v double")).withColumn("g", F.lit(""))
+    for n in range(1, ORDER + 1):
+        rows = seen[n].join(tables[n - 1].withColumnRenamed("v", "own"), ["lang", "g"], "left").withColumn("s", F.substring("g", 2, n - 1))
+        back = F.lit(0.0)
+        if n > 1:
+            contexts = backs[n - 2].select("lang", F.col("g").alias("h"), F.col("v").alias("back"))
+            rows, back = rows.withColumn("h", F.substring("g", 1, n - 1)).join(contexts, ["lang", "h"], "left"), F.coalesce("back", F.lit(0.0))
+        rows = rows.join(lower.select("lang", F.col("g").alias("s"), F.col("v").alias("base")), ["lang", "s"])
+        lower = saved(rows.select("lang", "g", F.coalesce("own", back + F.col("base")).alias("v")), "values")
+    dropped(spark, *seen.values())
+    return lower
+
+
+def perplexities(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """doc_id, lang, held, n_scored (characters) and perplexity of every row (doc_id, lang, text)."""
+    spark = rows.sparkSession
+    chosen = saved(chosen_texts(rows, trusted_ids), "chosen")
+    langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    number = {name: i for i, name in enumerate(langs)}
+    flagged = (rows.withColumns({"h": F.xxhash64("text"), "held": held_out("text")}).join(chosen, ["doc_id", "lang", "h"], "left")
+               .withColumn("weight", F.coalesce(1.0 / F.col("m"), F.lit(0.0))))
+    chunks = saved(chunked(flagged, langs), "chunks")
+    counts = saved(counted(chunks), "counts")
+    values = log_probabilities(chunks, *estimates(counts))
+    dropped(spark, chosen, counts)
+    back = chunks.where("g is not null").join(values, ["lang", "g"]).select(F.col("chunk").alias("of"), "i", F.col("v").cast("float").alias("v"))
+
+    def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
+        chunk = Chunk(texts["text"].to_pylist(), texts["lang"].to_pylist(), number)
+        values = np.zeros(len(chunk.keys))
+        values[found["i"].to_numpy()] = found["v"].to_numpy()
+        n, total = chunk.sums(values, texts.num_rows)
+        value = np.exp(-total / np.maximum(n, 1))
+        return pa.table([texts["doc_id"], texts["lang"], texts["held"], pa.array(n), pa.array(value, mask=n == 0)],
+                        ["doc_id", "lang", "held", "n_scored", "perplexity"])
 
     fields = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {fields}, lang string, held boolean, n_scored long, perplexity double")
+    texts = chunks.where("g is null").select("chunk", "doc_id", "lang", "held", "text")
+    return texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(
+        summed, f"doc_id {fields}, lang string, held boolean, n_scored long, perplexity double")
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -275,11 +381,11 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text
     doc_id of the trusted documents."""
     t = trusted_ids.select(F.col("doc_id").alias("_t")).distinct()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    scored = saved(perplexities(rows, train(sampled(rows, t))), "perplexities")
+    scored = saved(perplexities(rows, t), "perplexities")
     limits = (scored.join(t, F.col("doc_id") == F.col("_t"), "left_semi").where("perplexity is not null").groupBy(F.col("lang").alias("_l"))
               .agg((F.coalesce(F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), KEEP, 100_000),
                                F.percentile_approx("perplexity", KEEP, 100_000)) * SLACK).alias("threshold")))
-    # One row for each language that has a model; those were collected with the sample.
+    # One row for each language that has a model; those are few.
     limits = small(docs.sparkSession, [tuple(r) for r in limits.collect()], "_l string, threshold double")
     out = scored.join(F.broadcast(limits), F.col("lang") == F.col("_l"), "left").drop("_l")
     kept = F.when(F.col("perplexity").isNull(), F.col("threshold").isNull()).otherwise(F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
