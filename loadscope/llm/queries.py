@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadscope.llm import bpe, exact_dedup, language_id, mixing, near_dup, quality, repeats, sharding, token_file, top_k
+from loadscope.llm import bpe, decontaminate, exact_dedup, language_id, merkle, mixing, near_dup, quality, repeats, resampling, sharding, token_file, top_k, twins
 from loadscope.llm.common import with_package
 from loadscope.sources.tables import table
 
@@ -88,3 +88,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_hilbert_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"), 40)
+
+
+@register("op11_decontaminate", sql=twins.DECONTAMINATE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_importance_resampling", sql=twins.RESAMPLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_merkle_manifest", sql=twins.MERKLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
