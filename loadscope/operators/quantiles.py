@@ -1,69 +1,113 @@
-"""Exact quantiles of many columns in three distributed passes.
+"""Exact quantiles of many columns by radix selection.
 
-1. one sketch pass gives approximate boundaries per column (``approxQuantile``);
-2. one pass counts the values of every (column, bucket) between boundaries, which tells the bucket
-   that holds each wanted rank;
-3. one pass counts the distinct values of those buckets only, and running sums inside a bucket
-   find the value at each rank.
+A double maps to a 64-bit integer that sorts as it does. The first pass counts all columns' values by the
+top bits of that integer; the count tells which prefix holds each wanted rank, and the next pass
+counts only the values under those prefixes, by the next bits. After at most ``len(ROUNDS)`` passes all
+bits are known; a prefix whose least and greatest value are the same is known at once. Tasks count
+their rows in numpy and hand on (column, prefix, count, least, greatest), so nothing is sorted by
+value, no task holds distinct values and equal values cost nothing: at most 2^13 rows for each prefix
+asked for reach the driver, whatever the data. The columns are projected and written once.
 
-Quantiles interpolate linearly between the two neighbouring ranks. The driver reads boundaries, bucket
-counts and the wanted values: columns x buckets numbers, whatever the size of the data. No task holds
-more than one bucket's distinct values.
+Quantiles interpolate linearly between the two neighbouring ranks.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 200
+from loadscope.session import delete_path, importable, scratch_path
 
+#: Bits that each pass adds to the known prefixes.
+ROUNDS = (13, 13, 13, 13, 12)
+LOW = np.int64(0x7FFFFFFFFFFFFFFF)
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = BUCKETS) -> dict[str, list[float | None]]:
+
+def sort_key(x: np.ndarray) -> np.ndarray:
+    """Integers that sort as the doubles do; both zeros are one value."""
+    bits = (x + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & LOW)
+
+
+def value_of(key: int) -> float:
+    k = np.array([key], np.int64)
+    return float((k ^ ((k >> 63) & LOW)).view(np.float64)[0])
+
+
+def _counted(opened: dict[str, list[int]], done: int, bits: int):
+    """Of each batch: (column, prefix of done + bits bits, count, least and greatest key) under the opened prefixes."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for c, prefixes in opened.items():
+                x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+                key = np.sort(sort_key(x[~np.isnan(x)]))
+                if done:
+                    key = key[np.isin(key >> (64 - done), np.array(prefixes, np.int64))]
+                if not len(key):
+                    continue
+                prefix = key >> (64 - done - bits)
+                first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+                last = np.concatenate([first[1:], [len(key)]])
+                for column, values in zip(out, ([c] * len(first), prefix[first], last - first, key[first], key[last - 1])):
+                    column.extend(values)
+            types = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["c", "prefix", "n", "least", "greatest"])
+    return count
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Column -> its quantiles (None without values); NULL and NaN are left out."""
-    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    names = rows.columns
-    sketch = rows.approxQuantile(names, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    bounds = [sorted(set(b)) for b in sketch]
-
-    def bucket(i: int):
-        x = F.col(f"c{i}")
-        return F.size(F.filter(F.array(*[F.lit(b) for b in bounds[i]]), lambda b: b < x)) if bounds[i] else F.lit(0)
-
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), bucket(i).alias("b"), F.col(f"c{i}").alias("x"))
-                                           for i in range(len(cols))])).alias("r")).select("r.*").where("x is not null and not isnan(x)")
-    counts: list[dict[int, int]] = [{} for _ in cols]
-    for r in long.groupBy("i", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r.i][r.b] = r.n
-    wanted: dict[tuple[int, int], dict[int, int]] = {}  # (column, bucket) -> rank in the column -> rank in the bucket
-    for i, per in enumerate(counts):
-        n = sum(per.values())
-        for p in probs if n else []:
-            for rank in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                before = 0
-                for b in sorted(per):
-                    if rank < before + per[b]:
-                        wanted.setdefault((i, b), {})[rank] = rank - before
-                        break
-                    before += per[b]
-    found: dict[tuple[int, int], float] = {}
-    if wanted:
-        keys = df.sparkSession.createDataFrame([(i, b, r, k) for (i, b), ranks in wanted.items() for r, k in ranks.items()],
-                                               "i int, b int, rank long, k long")
-        per_value = long.join(F.broadcast(keys.select("i", "b").distinct()), ["i", "b"]).groupBy("i", "b", "x").agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("i", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        upto = per_value.withColumn("upto", F.sum("n").over(w))
-        hit = upto.join(F.broadcast(keys), ["i", "b"]).where("k < upto and k >= upto - n")
-        found = {(r.i, r["rank"]): r.x for r in hit.select("i", "rank", "x").collect()}
-    out = {}
-    for i, c in enumerate(cols):
-        n = sum(counts[i].values())
-        values: list[float | None] = []
-        for p in probs:
-            at = p * (n - 1)
-            lo, hi = math.floor(at), math.ceil(at)
-            values.append(None if not n else found[i, lo] if lo == hi else (hi - at) * found[i, lo] + (at - lo) * found[i, hi])
-        out[c] = values
-    return out
+    spark = importable(df.sparkSession)
+    path = scratch_path(spark, "quantiles")
+    names = [f"c{i}" for i in range(len(cols))]
+    df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]).write.parquet(path)
+    rows = spark.read.schema(", ".join(f"{n} double" for n in names)).parquet(path)
+    total = dict.fromkeys(names, 0)
+    found: dict[tuple[str, int], float] = {}  # (column, rank) -> value
+    asked: dict[tuple[str, int], dict[int, int]] = {(n, 0): {} for n in names}  # (column, prefix) -> rank -> rank under the prefix
+    done = 0
+    for bits in ROUNDS:
+        opened: dict[str, list[int]] = defaultdict(list)
+        for n, prefix in asked:
+            opened[n].append(prefix)
+        counts = (rows.select(*opened).mapInArrow(_counted(dict(opened), done, bits), "c string, prefix long, n long, least long, greatest long")
+                  .groupBy("c", "prefix").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
+        under = defaultdict(list)
+        for r in counts.collect():
+            under[r.c, r.prefix >> bits if done else 0].append((r.prefix, r.n, r.least, r.greatest))
+        if not done:
+            for n in names:
+                total[n] = sum(x[1] for x in under[n, 0])
+                at = [p * (total[n] - 1) for p in probs] if total[n] else []
+                asked[n, 0] = {k: k for a in at for k in (math.floor(a), math.ceil(a))}
+        following: dict[tuple[str, int], dict[int, int]] = defaultdict(dict)
+        for (n, prefix), ranks in asked.items():
+            before = 0
+            for sub, count, least, greatest in sorted(under[n, prefix]):
+                for rank, k in ranks.items():
+                    if before <= k < before + count:
+                        if least == greatest:
+                            found[n, rank] = value_of(least)
+                        else:
+                            following[n, sub][rank] = k - before
+                before += count
+        asked, done = following, done + bits
+        if not asked:
+            break
+    delete_path(spark, path)
+
+    def quantile(n: str, p: float) -> float | None:
+        if not total[n]:
+            return None
+        at = p * (total[n] - 1)
+        lo, hi = math.floor(at), math.ceil(at)
+        return found[n, lo] if lo == hi else (hi - at) * found[n, lo] + (at - lo) * found[n, hi]
+
+    return {c: [quantile(n, p) for p in probs] for c, n in zip(cols, names)}

@@ -7,6 +7,7 @@ Only a local-mode session (tests, bench) gets a private folder when none is set.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -72,3 +73,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     sep = "" if root.endswith("/") else "/"
     # Spark writers create the folder themselves (on any file system); nothing is created here.
     return f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a derived table that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver found it, whatever folder the driver
+    runs in. (Executors that do not see that folder get the package from spark-submit's --py-files.)"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark

@@ -3,11 +3,12 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loadscope.operators import prep, privacy, workload
-from loadscope.operators.quantiles import exact_quantiles
+from loadscope.operators.quantiles import exact_quantiles, sort_key, value_of
 from loadscope.session import scratch_path
 from loadscope.sources import io
 
@@ -65,7 +66,7 @@ def test_exact_quantiles(spark):
     r = random.Random(1)
     rows = [(r.gauss(0, 1), float(r.randrange(5)), None if i % 3 else float(i)) for i in range(3001)]
     df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
-    got = exact_quantiles(df, ["a", "b", "c"], [0.0, 0.25, 0.5, 0.9, 1.0], buckets=20)
+    got = exact_quantiles(df, ["a", "b", "c"], [0.0, 0.25, 0.5, 0.9, 1.0])
     for k, c in enumerate("abc"):
         xs = sorted(x[k] for x in rows if x[k] is not None)
         assert got[c][2] == pytest.approx(statistics.median(xs), abs=1e-12)
@@ -75,6 +76,20 @@ def test_exact_quantiles(spark):
     assert exact_quantiles(df.where("a > 100"), ["a"], [0.5]) == {"a": [None]}
 
 
+def test_radix_keys_sort_as_the_numbers_do(spark):
+    xs = [float("-inf"), -1.5e308, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0000000000000002, 1e308, float("inf")]
+    keys = sort_key(np.array(xs)).tolist()
+    assert keys == sorted(keys) and len(set(keys)) == len(xs) - 1
+    assert [value_of(k) for k in keys] == xs
+    # Neighbouring doubles differ in the last bits only: all rounds are needed; a third of the rows are one value.
+    near = [1.0 + i * 2.0 ** -52 for i in range(500)] + [7.0] * 250
+    df = spark.createDataFrame([(x, None) for x in near] + [(float("nan"), None)], "a double, b double")
+    got = exact_quantiles(df, ["a", "b"], [0.0, 0.4, 0.5, 1.0])
+    near.sort()
+    assert (got["a"][0], got["a"][2], got["a"][3]) == (near[0], (near[374] + near[375]) / 2, 7.0)
+    assert near[299] <= got["a"][1] <= near[300] and got["b"] == [None] * 4
+
+
 def test_mixed_folder_raises_and_each_format_is_read_whole(spark):
     path = scratch_path(spark, "mixed")
     spark.range(5).write.parquet(path)
