@@ -20,8 +20,6 @@ left out of the items. Empty table on either side: no hits. Extra columns are no
 
 from __future__ import annotations
 
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from loadscope.llm.common import dropped, partitions, saved
-from loadscope.llm.plain_words import word_lists
+from loadscope.llm.plain_words import GAP, boundaries, coded, word_lists
 
-BLOCK_WORDS = 1 << 21
+BLOCK_BYTES = 1 << 24
 #: Longest phrase or span that the index serves.
 REACH = 64
 #: Parts into which the blocks of a frequent term are dealt.
@@ -45,28 +43,33 @@ INDEX = "block long, kind int, term string, n int, first int, gaps binary, row l
 
 
 class Block:
-    """The words of one block while it is read: a code for each, and -1 after each document."""
+    """The lower-cased texts of one block while it is read."""
 
     def __init__(self):
-        self.vocabulary = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__
-        self.codes = array("i")
-        self.docs: list[list] = []  # start in the block, words, row, words of the row before, id
-
-    def begin(self, row: int, at: int, doc_id) -> None:
-        self.codes.append(-1)
-        self.docs.append([len(self.codes), 0, row, at, doc_id])
-
-    def add(self, words: list[bytes]) -> None:
-        self.codes.extend(map(self.vocabulary.__getitem__, words))
-        self.docs[-1][1] += len(words)
+        self.texts: list[bytes] = []
+        self.docs: list[tuple] = []  # row, words of the row before, id
+        self.size = 0
+
+    def add(self, text: bytes, row: int, at: int, doc_id) -> None:
+        self.texts.append(text)
+        self.docs.append((row, at, doc_id))
+        self.size += len(text) + 1
+
+    def coded(self) -> None:
+        """Codes the words; a word's place is its number in the block, plus one for each text that has begun."""
+        begins = np.cumsum([0] + [len(t) + 1 for t in self.texts[:-1]])
+        starts, self.codes, self.terms = coded(b" ".join(self.texts))
+        doc = np.searchsorted(begins, starts, "right") - 1
+        self.places = np.arange(len(starts)) + doc + 1
+        self.n = np.bincount(doc, minlength=len(self.docs))
+        self.starts = np.cumsum(self.n) - self.n + np.arange(len(self.docs)) + 1
 
     def postings(self) -> Iterator[tuple[list, np.ndarray, np.ndarray, pa.Array]]:
         """(terms, counts, first positions, gaps) of the terms, by the width that their gaps need."""
-        terms = list(self.vocabulary)
-        codes = np.frombuffer(self.codes, np.int32)
-        order = np.argsort(codes, kind="stable")[len(self.docs):]
-        counts = np.bincount(codes[order], minlength=len(terms))
+        terms = self.terms
+        order = np.sort(self.codes << 32 | self.places)  # by term, then by place
+        counts = np.bincount(order >> 32, minlength=len(terms))
+        order &= 0xFFFFFFFF
         starts = np.cumsum(counts) - counts
         gaps = np.diff(order, prepend=0)
         firsts = order[starts] if len(terms) else order
@@ -86,7 +89,25 @@ class Block:
             yield [terms[i] for i in np.flatnonzero(mine)], counts[mine], firsts[mine], packed
 
 
-def _index(id_type: pa.DataType, block_words: int):
+def _pieces(data: bytes, size: int) -> Iterator[tuple[bytes, int]]:
+    """A text in pieces of about ``size`` bytes, each with the number of words before it; a piece repeats the
+    last ``REACH`` words of the one before."""
+    at = before = 0
+    while len(data) - at > size:
+        gap = GAP.search(data, at + size)
+        if not gap:
+            break
+        starts, _ = boundaries(data[at:gap.start()])
+        if len(starts) <= REACH:  # long words: a piece must bring more than it repeats
+            size *= 2
+            continue
+        yield data[at:gap.start()], before
+        before += len(starts) - REACH
+        at += int(starts[-REACH])
+    yield data[at:], before
+
+
+def _index(id_type: pa.DataType, block_bytes: int):
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         names = ["block", "kind", "term", "n", "first", "gaps", "row", "at", "doc_id"]
@@ -94,48 +115,43 @@ def _index(id_type: pa.DataType, block_words: int):
 
         def batch(kind: int, count: int, **columns) -> pa.RecordBatch:
             types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), id_type]
-            given = {"block": [part << 32 | number] * count, "kind": [kind] * count} | columns
-            cells = [given[c] if isinstance(given.get(c), pa.Array) else pa.array(given.get(c, [None] * count), t) for c, t in zip(names, types)]
+            given = {"block": np.full(count, part << 32 | number), "kind": np.full(count, kind, np.int32)} | columns
+            cells = [pa.nulls(count, t) if c not in given else given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], t)
+                     for c, t in zip(names, types)]
             return pa.RecordBatch.from_arrays(cells, names)
 
         def written() -> Iterator[pa.RecordBatch]:
             nonlocal number, block
             if block.docs:
-                start, n, row, at, ids = map(list, zip(*block.docs))
-                yield batch(DOC, len(ids), first=start, n=n, row=row, at=at, doc_id=ids)
+                block.coded()
+                row, at, ids = map(list, zip(*block.docs))
+                yield batch(DOC, len(ids), first=block.starts.astype(np.int32), n=block.n.astype(np.int32), row=row, at=at, doc_id=ids)
                 for terms, counts, firsts, gaps in block.postings():
                     for i in range(0, len(terms), 20_000):
                         j = slice(i, i + 20_000)
-                        yield batch(POSTING, len(terms[j]), term=[t.decode() for t in terms[j]], n=counts[j].astype(np.int32),
+                        yield batch(POSTING, len(terms[j]), term=pa.array(terms[j], pa.binary()).cast(pa.string()), n=counts[j].astype(np.int32),
                                     first=firsts[j].astype(np.int32), gaps=gaps[j])
             number, block = number + 1, Block()
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-                row, seen, tail = part << 32 | rows, 0, []
+                row = part << 32 | rows
                 rows += 1
-                block.begin(row, 0, doc_id)
-                for words in word_lists(text):
-                    if block.docs[-1][1] >= block_words:
+                for piece, before in _pieces((text or b"").lower(), block_bytes):
+                    if block.docs and block.size + len(piece) > block_bytes:
                         yield from written()
-                        block.begin(row, seen - len(tail), doc_id)
-                        block.add(tail)
-                    block.add(words)
-                    seen += len(words)
-                    tail = (tail + words)[-REACH:]
-                if len(block.codes) >= block_words:
-                    yield from written()
+                    block.add(piece, row, before, doc_id)
         yield from written()
     return indexed
 
 
-def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The positional inverted index of all rows as a written table: rows of kind ``DOC`` (a document's
     place in a block) and of kind ``POSTING`` (a term's positions in a block)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"]
     schema = StructType.fromDDL(INDEX).add("doc_id", kind.dataType)
-    return saved(rows.mapInArrow(_index(to_arrow_type(kind.dataType), block_words), schema), "postings")
+    return saved(rows.mapInArrow(_index(to_arrow_type(kind.dataType), block_bytes), schema), "postings")
 
 
 def positions_of(n: int, first: int, gaps: bytes) -> np.ndarray:

@@ -40,7 +40,7 @@ def test_long_document_goes_on_in_other_blocks(spark):
     cut = [i for i in range(0, 700_000, 90_001)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2")], "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(words[c:c + 14])) for i, c in enumerate(cut)], "item_id long, text string")
-    postings = decontaminate.index(docs, block_words=100_000)
+    postings = decontaminate.index(docs, block_bytes=600_000)
     assert postings.select("block").distinct().count() > 3
     phrases = items.select(F.col("item_id").alias("search"), F.split("text", " ").alias("words"))
     got = {(r.search, r.row, r.pos, r["size"]) for r in decontaminate.phrase_matches(postings, phrases).collect()}
@@ -62,7 +62,7 @@ def test_proximity(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     searches = [["t1", "t2"], ["t9", "t1", "t3"], ["t1"], ["t1", "t1", "t5"], ["t7", "nowhere"], ["t20", "t30", "t2"], []]
     queries = spark.createDataFrame(list(enumerate(searches)), "search long, words array<string>")
-    postings = decontaminate.index(docs, block_words=500)
+    postings = decontaminate.index(docs, block_bytes=3_000)
     names = {r.row: r.doc_id for r in postings.where("kind = 0").collect()}
     for span in (1, 5, 12):
         got = Counter((r.search, names[r.row], r.pos, r["size"]) for r in decontaminate.near_matches(postings, queries, span).collect())
@@ -78,3 +78,26 @@ def test_reach(spark, docs):
         decontaminate.phrase_matches(postings, long)
     with pytest.raises(ValueError):
         decontaminate.near_matches(postings, long, 65)
+
+
+def test_words_are_coded_exactly():
+    rng = np.random.default_rng(7)
+    letters = list("abcxyz09éß日") + ["A", "Q"]
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 40, 3000)] + ["a" * n for n in range(1, 40)] * 3 + ["a" * 8 + "b" * n for n in range(10)]
+    text = "".join(w + " .,\n-"[i % 5] for i, w in enumerate(words)).encode().lower()
+    starts, codes, terms = decontaminate.coded(text)
+    want = brute.PLAIN.findall(text.decode())
+    assert [terms[c].decode() for c in codes] == want and len(terms) == len(set(terms))
+    assert [text[s:].startswith(w.encode()) for s, w in zip(starts, want)] == [True] * len(want)
+    assert [list(x) for x in decontaminate.coded(b"")] == [[], [], []] and decontaminate.coded(b" ..")[2] == []
+
+
+def test_pieces_of_a_text_overlap():
+    text = " ".join(f"w{i}" for i in range(5000)).encode()
+    for size in (100, 700, 5000, 10**6):
+        seen = {}
+        for piece, before in decontaminate._pieces(text, size):
+            for i, w in enumerate(piece.split()):
+                assert seen.setdefault(before + i, w) == w
+        assert [seen[i] for i in range(5000)] == text.split() and len(seen) == 5000
+    assert [p for p, _ in decontaminate._pieces(b"x" * 5000, 10)] == [b"x" * 5000]
