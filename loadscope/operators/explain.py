@@ -20,9 +20,13 @@ from loadscope.operators import metrics, models, split
 
 
 def importance_table(spark: SparkSession, model: PipelineModel, names: list[str], top: int | None = None) -> DataFrame:
-    """X1 + W8 (+ T2 when ``top``)."""
+    """X1 + W8 (+ T2 when ``top``) of a fitted tree model."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame(list(zip(names, [float(x) for x in imp])), "feature string, importance double")
+    return ranked_importances(spark.createDataFrame(list(zip(names, [float(x) for x in imp])), "feature string, importance double"), top)
+
+
+def ranked_importances(df: DataFrame, top: int | None = None) -> DataFrame:
+    """X1 + W8 (+ T2 when ``top``): (feature, importance) rows ranked, with the running share."""
     # The table has one row per feature: an unpartitioned window over it is tiny.
     w = Window.orderBy(F.col("importance").desc(), F.col("feature"))
     out = df.select("feature", "importance", F.row_number().over(w).alias("rank"),
@@ -32,15 +36,20 @@ def importance_table(spark: SparkSession, model: PipelineModel, names: list[str]
 
 def linear_contributions(df: DataFrame, model: PipelineModel, names: list[str], means: dict[str, float],
                          key: str = "id") -> DataFrame:
+    """X2b input of a fitted linear model."""
+    linear = model.stages[-1]
+    return contributions(df, dict(zip(names, linear.coefficients.toArray().tolist())), float(linear.intercept), means, key)
+
+
+def contributions(df: DataFrame, weights: dict[str, float], intercept: float, means: dict[str, float], key: str = "id") -> DataFrame:
     """X2b input: per row ``contributions array<struct<feature, value>>`` (exact, linear), the base value
     (log odds of a row at the means) and the probability that base and contributions add up to."""
-    coef = model.stages[-1].coefficients.toArray().tolist()
     items = [F.struct(F.lit(n).alias("feature"),
                       ((F.coalesce(F.col(n).cast("double"), F.lit(means.get(n, 0.0))) - F.lit(means.get(n, 0.0)))
                        * F.lit(float(w))).alias("value"))
-             for n, w in zip(names, coef)]
+             for n, w in weights.items()]
     out = df.select(key, F.array(*items).alias("contributions"),
-                    F.lit(float(model.stages[-1].intercept) + sum(w * means.get(n, 0.0) for n, w in zip(names, coef))).alias("base_value"))
+                    F.lit(float(intercept) + sum(w * means.get(n, 0.0) for n, w in weights.items())).alias("base_value"))
     odds = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["value"])
     return out.withColumn("probability", 1 / (1 + F.exp(-odds)))
 

@@ -8,7 +8,9 @@ their rows in numpy and hand on (column, prefix, count, least, greatest), so not
 value, no task holds distinct values and equal values cost nothing: at most 2^13 rows for each prefix
 asked for reach the driver, whatever the data. The columns are projected and written once.
 
-Quantiles interpolate linearly between the two neighbouring ranks.
+Quantiles interpolate linearly between the two neighbouring ranks. ``complement_quantiles`` finds those
+of the rows outside of each part of a table (the training rows of each fold) in the same passes: counts
+are kept by part, and a complement's are the total's less the part's.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.session import delete_path, importable, scratch_path
@@ -41,73 +43,89 @@ def value_of(key: int) -> float:
 
 
 def _counted(opened: dict[str, list[int]], done: int, bits: int):
-    """Of each batch: (column, prefix of done + bits bits, count, least and greatest key) under the opened prefixes."""
+    """Of each batch: (column, prefix of done + bits bits, part, count, least and greatest key) under the opened prefixes."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
+            part = batch.column("part").to_numpy(zero_copy_only=False)
             for c, prefixes in opened.items():
                 x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
-                key = np.sort(sort_key(x[~np.isnan(x)]))
-                if done:
-                    key = key[np.isin(key >> (64 - done), np.array(prefixes, np.int64))]
-                if not len(key):
-                    continue
-                prefix = key >> (64 - done - bits)
-                first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-                last = np.concatenate([first[1:], [len(key)]])
-                for column, values in zip(out, ([c] * len(first), prefix[first], last - first, key[first], key[last - 1])):
-                    column.extend(values)
-            types = [pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["c", "prefix", "n", "least", "greatest"])
+                for p in np.unique(part).tolist():
+                    key = np.sort(sort_key(x[~np.isnan(x) & (part == p)]))
+                    if done:
+                        key = key[np.isin(key >> (64 - done), np.array(prefixes, np.int64))]
+                    if not len(key):
+                        continue
+                    prefix = key >> (64 - done - bits)
+                    first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+                    last = np.concatenate([first[1:], [len(key)]])
+                    for column, values in zip(out, ([c] * len(first), prefix[first], [p] * len(first), last - first, key[first], key[last - 1])):
+                        column.extend(values)
+            types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["c", "prefix", "part", "n", "least", "greatest"])
     return count
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Column -> its quantiles (None without values); NULL and NaN are left out."""
+    return _quantiles(df, cols, probs, F.lit(0), [None])[None]
+
+
+def complement_quantiles(df: DataFrame, cols: list[str], probs: list[float], part: str, parts: list[int]) -> dict[int, dict[str, list[float | None]]]:
+    """Part -> column -> quantiles of the rows outside of the part (``part`` is an integer column)."""
+    return _quantiles(df, cols, probs, F.col(part), parts)
+
+
+def _quantiles(df: DataFrame, cols: list[str], probs: list[float], part: Column, without: list) -> dict:
     spark = importable(df.sparkSession)
     path = scratch_path(spark, "quantiles")
     names = [f"c{i}" for i in range(len(cols))]
-    df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]).write.parquet(path)
-    rows = spark.read.schema(", ".join(f"{n} double" for n in names)).parquet(path)
-    total = dict.fromkeys(names, 0)
-    found: dict[tuple[str, int], float] = {}  # (column, rank) -> value
-    asked: dict[tuple[str, int], dict[int, int]] = {(n, 0): {} for n in names}  # (column, prefix) -> rank -> rank under the prefix
+    df.select(part.cast("int").alias("part"), *[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]).write.parquet(path)
+    rows = spark.read.schema("part int, " + ", ".join(f"{n} double" for n in names)).parquet(path)
+    sets = [(v, n) for v in without for n in names]
+    total = dict.fromkeys(sets, 0)
+    found: dict[tuple, float] = {}  # (set, rank) -> value
+    asked: dict[tuple, dict[int, int]] = {(s, 0): {} for s in sets}  # (set, prefix) -> rank -> rank under the prefix
     done = 0
     for bits in ROUNDS:
         opened: dict[str, list[int]] = defaultdict(list)
-        for n, prefix in asked:
+        for (_, n), prefix in asked:
             opened[n].append(prefix)
-        counts = (rows.select(*opened).mapInArrow(_counted(dict(opened), done, bits), "c string, prefix long, n long, least long, greatest long")
-                  .groupBy("c", "prefix").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
-        under = defaultdict(list)
+        counts = (rows.select("part", *opened).mapInArrow(_counted(dict(opened), done, bits), "c string, prefix long, part int, n long, least long, greatest long")
+                  .groupBy("c", "prefix", "part").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
+        under: dict[tuple, dict] = defaultdict(dict)  # (set, prefix) -> longer prefix -> (count, least, greatest)
         for r in counts.collect():
-            under[r.c, r.prefix >> bits if done else 0].append((r.prefix, r.n, r.least, r.greatest))
+            for v in without:
+                place = ((v, r.c), r.prefix >> bits if done else 0)
+                if r.part != v and place in asked:
+                    n, least, greatest = under[place].get(r.prefix, (0, r.least, r.greatest))
+                    under[place][r.prefix] = (n + r.n, min(least, r.least), max(greatest, r.greatest))
         if not done:
-            for n in names:
-                total[n] = sum(x[1] for x in under[n, 0])
-                at = [p * (total[n] - 1) for p in probs] if total[n] else []
-                asked[n, 0] = {k: k for a in at for k in (math.floor(a), math.ceil(a))}
-        following: dict[tuple[str, int], dict[int, int]] = defaultdict(dict)
-        for (n, prefix), ranks in asked.items():
+            for s in sets:
+                total[s] = sum(x[0] for x in under[s, 0].values())
+                at = [p * (total[s] - 1) for p in probs] if total[s] else []
+                asked[s, 0] = {k: k for a in at for k in (math.floor(a), math.ceil(a))}
+        following: dict[tuple, dict[int, int]] = defaultdict(dict)
+        for (s, prefix), ranks in asked.items():
             before = 0
-            for sub, count, least, greatest in sorted(under[n, prefix]):
+            for sub, (count, least, greatest) in sorted(under[s, prefix].items()):
                 for rank, k in ranks.items():
                     if before <= k < before + count:
                         if least == greatest:
-                            found[n, rank] = value_of(least)
+                            found[s, rank] = value_of(least)
                         else:
-                            following[n, sub][rank] = k - before
+                            following[s, sub][rank] = k - before
                 before += count
         asked, done = following, done + bits
         if not asked:
             break
     delete_path(spark, path)
 
-    def quantile(n: str, p: float) -> float | None:
-        if not total[n]:
+    def quantile(s: tuple, p: float) -> float | None:
+        if not total[s]:
             return None
-        at = p * (total[n] - 1)
+        at = p * (total[s] - 1)
         lo, hi = math.floor(at), math.ceil(at)
-        return found[n, lo] if lo == hi else (hi - at) * found[n, lo] + (at - lo) * found[n, hi]
+        return found[s, lo] if lo == hi else (hi - at) * found[s, lo] + (at - lo) * found[s, hi]
 
-    return {c: [quantile(n, p) for p in probs] for c, n in zip(cols, names)}
+    return {v: {c: [quantile((v, n), p) for p in probs] for c, n in zip(cols, names)} for v in without}
