@@ -7,7 +7,9 @@ attribution, alignment, scoring, labels) is also registered over given scores or
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -122,7 +124,7 @@ def raw_data(spark, sf) -> DataFrame:
         wide = features.load_features(features.to_wide_lags(views.daily_measures(spark, sf), MEASURES, 7))
         d = wide.select(F.concat_ws("|", "athlete_id", F.col("d").cast("string")).alias("id"), "athlete_id",
                         F.col("injury").alias("y"), *FEATURES)
-        return split.group_split(d, "athlete_id", 0.2, SEED)
+        return split.group_split(_once(spark, f"{_root(spark, sf)}/wide", lambda: d), "athlete_id", 0.2, SEED)
     return _once(spark, f"{_root(spark, sf)}/raw", make)
 
 
@@ -160,6 +162,13 @@ def scored(spark, sf, preset: str, wkind: str) -> DataFrame:
     return _once(spark, f"{_root(spark, sf)}/scores-{preset}-{wkind}", make)
 
 
+def scored_by(spark, sf, fits: list[tuple[str, str]]) -> list[DataFrame]:
+    """``scored`` of several (preset, weighting) fits, which train at the same time on the same stored table."""
+    model_data(spark, sf)
+    with ThreadPoolExecutor(len(fits)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda f: scored(spark, sf, *f)), fits))
+
+
 _BENCH = [("Logistic Regression", "logistic", "balanced"), ("Random Forest", "forest", "balanced"),
           ("Gradient boosting, depth-wise", "xgboost", "spw"), ("Gradient boosting, leaf-wise", "lightgbm", "spw")]
 
@@ -167,8 +176,8 @@ _BENCH = [("Logistic Regression", "logistic", "balanced"), ("Random Forest", "fo
 @register("l1_l3_l11_l12_benchmark")
 def l1_l3_l11_l12_benchmark(spark, sf):
     out = None
-    for name, preset, wkind in _BENCH:
-        r = metrics.report_rows(scored(spark, sf, preset, wkind), name, [t for _, t in fixed.OPERATING_MODES])
+    for (name, *_), s in zip(_BENCH, scored_by(spark, sf, [b[1:] for b in _BENCH])):
+        r = metrics.report_rows(s, name, [t for _, t in fixed.OPERATING_MODES])
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -176,8 +185,8 @@ def l1_l3_l11_l12_benchmark(spark, sf):
 @register("l6_soft_vote")
 def l6_soft_vote(spark, sf):
     votes = None
-    for col, preset, wkind in (("rf", "forest", "balanced"), ("gbm", "xgboost", "spw"), ("lr", "logistic", "balanced")):
-        s = scored(spark, sf, preset, wkind).withColumnRenamed("p", col)
+    for col, s in zip(("rf", "gbm", "lr"), scored_by(spark, sf, [("forest", "balanced"), ("xgboost", "spw"), ("logistic", "balanced")])):
+        s = s.withColumnRenamed("p", col)
         votes = s if votes is None else votes.join(s.drop("y"), "id")
     return metrics.threshold_tiers(models.soft_vote(votes, fixed.ENSEMBLE_WEIGHTS, "p"))
 
