@@ -2,10 +2,10 @@
 
 Scale notes
 -----------
-* Rolling row frames (W1-W3) run over day-grain records (one snapshot per athlete-day
-  after the A2 upsert), so an athlete's window partition is bounded by calendar length. All
-  twelve rolling columns share one partition/order spec, so Catalyst plans one exchange and
-  one sort for all of them.
+* Rolling row frames (W1-W3) run over raw records in time blocks (``time_blocks``): an athlete with more
+  than ``BLOCK_ROWS`` records is cut into runs of that many, each with a halo of the rows before it that
+  its frames reach, so one athlete spans many tasks. All twelve rolling columns share one
+  partition/order spec, so Catalyst plans one exchange and one sort for all of them.
 * The whole-history z-score (W6) is an aggregate joined back — not an unordered window —
   so partial aggregation handles a hot athlete and AQE can broadcast the per-athlete stats
   table once its runtime size is known.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadscope.functions import scores
+from loadscope.session import scratch_path
 
 
 def _w(key: str, order: list[str]):
@@ -25,27 +26,63 @@ def _w(key: str, order: list[str]):
 
 
 # --------------------------------------------------------------------------- W1-W3
+#: Rows of an athlete that one task's window holds, besides the halo.
+BLOCK_ROWS = 1 << 14
+
+
+def time_blocks(df: DataFrame, key: str, order: list[str], back: int) -> DataFrame:
+    """``df`` with ``_block`` and ``_halo``: row frames of up to ``back`` rows before the current one are right within
+    (key, _block) for the rows that are no halo. Keys of up to ``BLOCK_ROWS`` rows are one block; the rows of the
+    others are numbered by a range shuffle in (key, order), of which only counts per range are summed up, cut every
+    ``BLOCK_ROWS`` rows, and the last ``back`` rows of a block are copied to the next one as its halo."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_ROWS)
+    large = sizes.select(F.col(key).alias("_key"))  # at most rows / BLOCK_ROWS keys
+    few = df.join(large, F.col(key).eqNullSafe(F.col("_key")), "left_anti").withColumns({"_block": F.lit(0).cast("long"), "_halo": F.lit(False)})
+    if large.isEmpty():
+        return few
+    hot = df.join(large, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    path = scratch_path(df.sparkSession, "time-order")
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = df.sparkSession.read.parquet(path)
+    cells = parts.groupBy("_part", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(F.col("_part").alias("_p"), "_key", F.coalesce(before, F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order)) - 1 + F.col("_before")
+    placed = parts.join(cells, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key"))).withColumn("_at", at)
+    own = F.floor(F.col("_at") / BLOCK_ROWS)
+    blocks = F.when(F.col("_at") % BLOCK_ROWS >= BLOCK_ROWS - back, F.array(own, own + 1)).otherwise(F.array(own))
+    out = placed.withColumn("_block", F.explode(blocks)).withColumn("_halo", F.col("_block") != own)
+    return few.unionByName(out.select(*df.columns, "_block", "_halo"))
+
+
+def _frames(key: str, order: list[str]):
+    return Window.partitionBy(key, "_block").orderBy(*[F.col(c) for c in order])
+
+
 def acwr_rows(df: DataFrame, load: str = "weekly_volume_hrs", acute: int = 7, chronic: int = 28,
               key: str = "athlete_id", order=("date",)) -> DataFrame:
     """W1 (row frame, D1): mean of the last `acute` rows / mean of the last `chronic` rows;
     a zero or missing chronic mean gives 1.0."""
-    w = _w(key, list(order))
+    w = _frames(key, list(order))
     a = F.avg(load).over(w.rowsBetween(-(acute - 1), 0))
     c = F.avg(load).over(w.rowsBetween(-(chronic - 1), 0))
-    return df.withColumn("acwr", F.coalesce(F.try_divide(a, F.nullif(c, F.lit(0.0))), F.lit(1.0)))
+    rows = time_blocks(df, key, list(order), max(acute, chronic) - 1)
+    out = rows.withColumn("acwr", F.coalesce(F.try_divide(a, F.nullif(c, F.lit(0.0))), F.lit(1.0)))
+    return out.where(~F.col("_halo")).drop("_block", "_halo")
 
 
 def rolling_stats(df: DataFrame, cols=("weekly_volume_hrs", "weekly_intensity_score"),
                   windows=(7, 14, 28), key: str = "athlete_id", order=("date",)) -> DataFrame:
     """Rolling mean and sample std (first row -> 0) with min_periods=1, in one select."""
-    w = _w(key, list(order))
+    w = _frames(key, list(order))
     out = [F.col(c) for c in df.columns]
     for n in windows:
         fr = w.rowsBetween(-(n - 1), 0)
         for c in cols:
             out.append(F.avg(c).over(fr).alias(f"{c}_roll{n}_mean"))
             out.append(F.coalesce(F.stddev_samp(c).over(fr), F.lit(0.0)).alias(f"{c}_roll{n}_std"))
-    return df.select(*out)
+    return time_blocks(df, key, list(order), max(windows) - 1).select(*out, "_halo").where(~F.col("_halo")).drop("_halo")
 
 
 # --------------------------------------------------------------------------- W6

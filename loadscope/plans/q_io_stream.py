@@ -191,6 +191,13 @@ def q4_stream_upsert_logs(spark, sf):
     return merged.select("athlete_id", "d", "write_id", "ts", "hrv", "rhr", "sleep_hours", "soreness_score")
 
 
+@register("q4_upsert_table", "WITH " + _LOGS_SQL[0] + " AS (" + _LOGS_SQL[1] + ") SELECT * FROM logs", views=("v_log_writes",))
+def q4_upsert_table(spark, sf):
+    root = scratch_path(spark, "q4-table")
+    table = jobs.stream_upsert_table(spark, _events(spark, sf, root), root)
+    return table.select("athlete_id", "d", "write_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "hrv", "rhr", "sleep_hours", "soreness_score")
+
+
 @register("q5_admission_flags")
 def q5_admission_flags(spark, sf):
     root = scratch_path(spark, "q5")

@@ -11,7 +11,8 @@
   (key, batch id). State is bounded by the watermark; no state is kept in complete mode.
 * Rolling 7/28-day load (Q2) keeps only day-grain state in the stream (one tumbling day window per
   event, not 28 sliding copies); the calendar ratios are the batch W5 operator over that day table.
-* Q4 is a log of reduced writes, merged when it is read; ``compact_logs`` merges it for good.
+* Q4 is a log of reduced writes, merged when it is read (``compact_logs`` merges it for good), or a table
+  in folders by day into which each micro-batch is merged (``stream_upsert_table``).
 * Q5 (sliding-log admission) is sequential per key: ``applyInPandasWithState`` keeps at most
   ``limit`` admitted timestamps per key and forgets a key once its window has passed the watermark.
 """
@@ -129,6 +130,30 @@ def stream_upsert_logs(spark: SparkSession, events: DataFrame, root: str) -> Dat
     return quality.latest_by_key(written(spark, f"{root}/logs").drop("batch_id"), _LOG_KEY, _LOG_ORDER)
 
 
+def stream_upsert_table(spark: SparkSession, events: DataFrame, root: str) -> DataFrame:
+    """Q4 as a true upsert: one table in folders by day, one row per (athlete, day). A micro-batch reads and
+    replaces the folders of its own days only (dynamic partition overwrite); exact repeats within the
+    watermark are dropped first. The merge takes the last write, so a batch that runs again changes nothing."""
+    table = f"{root}/table"
+    writes = views.log_writes_of(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    writes = writes.withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["write_id"])
+    where = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        merged = batch
+        if files.exists(where):
+            days = [r.d for r in batch.select("d").distinct().collect()]  # the batch's days: folders to be replaced
+            merged = batch.sparkSession.read.schema(batch.schema).parquet(table).where(F.col("d").isin(days)).select(*batch.columns).unionByName(batch)
+        (quality.latest_by_key(merged, _LOG_KEY, _LOG_ORDER).repartition("d").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("d").parquet(table))
+        batch.unpersist()
+
+    run(writes, root, write)
+    return spark.read.parquet(table)
+
+
 def compact_logs(spark: SparkSession, root: str, target: str) -> str:
     """Merges the log into one table, one row per (athlete, day), in folders by day."""
     from loadscope.sources import io

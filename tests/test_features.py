@@ -41,3 +41,20 @@ def test_zscore_single_row_is_null_and_constant_is_zero(spark):
     z = {(r.athlete_id, r.d): r.x_ath_zscore for r in features.athlete_zscore(df, ["x"]).collect()}
     assert z[("A", dt.date(2026, 1, 1))] is None
     assert z[("B", dt.date(2026, 1, 2))] == 0.0
+
+
+def test_one_large_athlete_spans_blocks(spark, monkeypatch):
+    rows = [("hot", dt.date(2020, 1, 1) + dt.timedelta(days=i // 2), i, float((i * 37) % 23), float(i % 5)) for i in range(700)]
+    rows += [(f"A{j}", dt.date(2020, 1, 1) + dt.timedelta(days=i), 1000 + 40 * j + i, float(i), 1.0) for j in range(6) for i in range(30)]
+    rows += [(None, dt.date(2020, 1, 1) + dt.timedelta(days=i), 5000 + i, float(i % 7), 2.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "athlete_id string, date date, n int, weekly_volume_hrs double, weekly_intensity_score double").repartition(5)
+    order = ("date", "n")
+    whole = [sorted(map(str, f(df, order=order).collect())) for f in (features.acwr_rows, features.rolling_stats)]
+    monkeypatch.setattr(features, "BLOCK_ROWS", 64)
+    cut = [sorted(map(str, f(df, order=order).collect())) for f in (features.acwr_rows, features.rolling_stats)]
+    assert whole == cut and len(whole[0]) == len(rows)
+    blocks = features.time_blocks(df, "athlete_id", list(order), 27)
+    sizes = [r["count"] for r in blocks.where("athlete_id = 'hot'").groupBy("_block").count().collect()]
+    assert max(sizes) == 64 + 27
+    assert blocks.where("athlete_id = 'hot' and not _halo").select("_block").distinct().count() == 11
+    assert blocks.where("not _halo").count() == len(rows)

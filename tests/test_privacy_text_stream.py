@@ -89,3 +89,30 @@ def test_stream_stops_and_resumes(spark):
     want = views.sessions_of(events).groupBy("athlete_id", "d").agg(F.sum("load").alias("load"))
     assert sorted(map(tuple, days.select("athlete_id", "d", "load").collect())) == sorted(map(tuple, want.collect()))
     assert jobs.written(spark, f"{root}/days").select("batch_id").distinct().count() == 4
+
+
+def test_upsert_rewrites_the_days_of_a_batch_only(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from loadscope.streaming import jobs
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(src)
+        out = jobs.stream_upsert_table(spark, jobs.file_stream(spark, src, max_files=1), root)
+        return {(r.athlete_id, str(r.d)): r.write_id for r in out.collect()}
+
+    def files():
+        return {d: sorted(os.listdir(f"{root}/table/{d}")) for d in os.listdir(f"{root}/table") if d.startswith("d=")}
+
+    day = lambda d, h: dt.datetime(2024, 1, d, h)
+    first = arrive([(1, 7, day(1, 8)), (2, 7, day(2, 8)), (3, 8, day(2, 9)), (2, 7, day(2, 8))])
+    assert first == {("ATH-7", "2024-01-01"): 1, ("ATH-7", "2024-01-02"): 2, ("ATH-8", "2024-01-02"): 3}
+    before = files()
+    second = arrive([(4, 7, day(2, 12)), (5, 9, day(3, 1)), (3, 8, day(2, 9))])
+    assert second == first | {("ATH-7", "2024-01-02"): 4, ("ATH-9", "2024-01-03"): 5}
+    after = files()
+    assert after["d=2024-01-01"] == before["d=2024-01-01"] and after["d=2024-01-02"] != before["d=2024-01-02"]
+    again = jobs.stream_upsert_table(spark, jobs.file_stream(spark, src, max_files=1), root)
+    assert files() == after and again.count() == 4
