@@ -11,10 +11,13 @@ band (are in one of its buckets) are candidates, unless they are in one componen
 * First each bucket pairs its members with one of them, that which shares most buckets with others
   (of copies of one text, that is the text itself), which connects most large groups.
 * Then the members of buckets that still hold several components are compared in blocks: a bucket is
-  cut into blocks of ``BLOCK`` members, each two blocks meet in one task, which compares their
-  signatures. A task hands on the pairs of different components that survive: at first each member's
-  likeliest ``few``, then, once those are linked, all that are left. So a bucket of thousands makes
-  few pairs, none is capped, and no survivor between two components is left out.
+  cut into blocks of ``BLOCK`` members (and ``SET_SHINGLES`` shingles), each two blocks meet in one task. A
+  first pass compares signatures and names the members of surviving pairs of different components; a
+  second one brings the full sets of those members, verifies the surviving pairs exactly, the likeliest
+  first, and hands on a spanning forest of the links: pairs whose components the task has already
+  connected need no verification and no row. It runs within blocks, then, over the components so found,
+  between blocks, in as many rounds as the number of blocks has bits. So a bucket of thousands makes fewer rows than it has
+  members, no pair is capped, and no link between two components is left out.
 
 Verification: signatures (one byte per hash function) are compared ``STEP`` functions at a time; a
 pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
@@ -44,9 +47,10 @@ MISS, PRUNE = 1e-5, 1e-4
 MOST_HASHES, FUNCTIONS = 240, 400
 STEP = 40
 ROWS = 500
-BLOCK = 512
-#: Survivors of a member that the rounds in blocks hand on; the last round: all.
-FEW = (2, 1 << 30)
+#: Members and shingles of a block; two blocks are in one task.
+BLOCK, SET_SHINGLES = 2048, 1 << 22
+#: Members of a block compared with the other block at a time.
+SLAB = 128
 SEED = 20240229
 
 _U = np.uint64
@@ -199,57 +203,65 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def in_blocks(state: DataFrame, sigs: DataFrame, threshold: float, percent: int, few: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a bucket and whose signatures survive, the
-    likeliest ``few`` of each member. ``state``: band, key, cid, comp, n; ``sigs``: cid, sig, bands. A pair
-    that shares several buckets is left to the first of them, as the bands' whole keys tell."""
-    steps = least_matches(threshold)
-    sizes = state.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = state.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n")
-    before = F.slice("bands", F.lit(1), F.col("band"))  # the keys of the bands before this one
-    rows = rows.join(sigs, "cid").select("band", "key", "i", "j", "own", "cid", "comp", "n", "sig", before.alias("before"))
-
-    def survivors(a: tuple, b: tuple, same: bool, band: int) -> list[tuple[int, int]]:
-        (ca, pa, na, sa, ka), (cb, pb, nb, sb, kb) = a, b
-        x, y = np.nonzero((pa[:, None] != pb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])))
+def survivors(a: dict, b: dict, same: bool, steps: list[tuple[int, int]], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Members x of ``a`` and y of ``b`` in different components whose sizes allow a link and whose signatures
+    pass every Bayesian step, with their matches, slab by slab. A pair that shares an earlier bucket is left to
+    that one, as the bands' whole keys (``before``) tell."""
+    for at in range(0, len(a["cid"]), SLAB):
+        part = slice(at, at + SLAB)
+        na, nb = a["n"][part, None], b["n"][None, :]
+        x, y = np.nonzero((a["comp"][part, None] != b["comp"][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
+        x += at
         if same:
             x, y = x[x < y], y[x < y]
         match, done = np.zeros(len(x), np.int32), 0
         for m, least in steps:
-            match = match + (sa[x, done:m] == sb[y, done:m]).sum(1)
+            match = match + (a["sig"][x, done:m] == b["sig"][y, done:m]).sum(1)
             on = match >= least
             x, y, match, done = x[on], y[on], match[on], m
-        for earlier in range(band):
-            on = ka[x, earlier] != kb[y, earlier]
+        for earlier in range(a["before"].shape[1]):
+            on = a["before"][x, earlier] != b["before"][y, earlier]
             x, y, match = x[on], y[on], match[on]
-        keep = np.zeros(len(x), bool)
-        by = np.argsort(-match, kind="stable")
-        for member in (x, y):
-            order = by[np.argsort(member[by], kind="stable")]  # by member, the likeliest pair first
-            start = np.flatnonzero(np.diff(member[order], prepend=-1))
-            place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-            keep[order[place < few]] = True
-        return list(zip(ca[x[keep]].tolist(), cb[y[keep]].tolist()))
+        yield x, y, match
+
+
+def block_counts(state: DataFrame) -> DataFrame:
+    """(key, blocks) of each bucket."""
+    return state.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SET_SHINGLES)).cast("int").alias("blocks"))
+
+
+def _in_blocks(state: DataFrame, members: DataFrame, of_task, schema: str, which: str = "true") -> DataFrame:
+    """Runs ``of_task(band, key, one block, another or the same)`` for each two blocks of each bucket, or those that
+    ``which`` says of ``own`` and ``other``. ``state``: band, key, cid, comp, n; ``members``: cid, sig, bands and
+    what else a block's columns are to hold."""
+    more = [c for c in members.columns if c not in ("cid", "sig", "bands")]
+    sizes = block_counts(state)
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    rows = state.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(which)
+    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n")
+    before = F.slice("bands", F.lit(1), F.col("band"))  # the keys of the bands before this one
+    rows = rows.join(members, "cid").select("band", "key", "i", "j", "own", "cid", "comp", "n", "sig", before.alias("before"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cid", "comp", "n", "sig", "before", *more]
+
         def out(group: tuple, held: list) -> pa.RecordBatch:
-            def side(block: int) -> tuple:
-                r = [h for h in held if h[0] == block]
-                return (np.array([h[1] for h in r], np.int64), np.array([h[2] for h in r], np.int64), np.array([h[3] for h in r], np.int64),
-                        np.frombuffer(b"".join(h[4] for h in r), np.uint8).reshape(len(r), FUNCTIONS),
-                        np.array([h[5] for h in r], np.int64).reshape(len(r), group[0]))
-            band, _, i, j = group
-            first = side(i)
-            pairs = survivors(first, first, True, band) if i == j else survivors(first, side(j), False, band)
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["u", "v"])
+            def side(block: int) -> dict:
+                c = dict(zip(names, zip(*(h[1:] for h in held if h[0] == block)))) or {k: () for k in names}
+                n = len(c["cid"])
+                return c | {"cid": np.array(c["cid"], np.int64), "comp": np.array(c["comp"], np.int64), "n": np.array(c["n"], np.int64),
+                            "sig": np.frombuffer(b"".join(c["sig"]), np.uint8).reshape(n, FUNCTIONS),
+                            "before": np.array(c["before"], np.int64).reshape(n, group[0])}
+            band, key, i, j = group
+            one = side(i)
+            return of_task(band, key, one, one if i == j else side(j))
 
         now, held = None, []
         for batch in batches:
             at, keys = batch.column("before").offsets.to_numpy(), batch.column("before").values.to_numpy()
             before = [keys[a:b] for a, b in zip(at[:-1], at[1:])]
-            for r in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "own", "cid", "comp", "n", "sig")), before):
+            columns = (batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "own", "cid", "comp", "n", "sig"))
+            for r in zip(*columns, before, *(batch.column(c).to_pylist() for c in more)):
                 if r[:4] != now:
                     if len(held) > 1:
                         yield out(now, held)
@@ -258,8 +270,60 @@ def in_blocks(state: DataFrame, sigs: DataFrame, threshold: float, percent: int,
         if len(held) > 1:
             yield out(now, held)
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def in_question(state: DataFrame, sigs: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """(band, key, cid) of the members of ``state`` that have a surviving pair in the bucket."""
+    steps = least_matches(threshold)
+
+    def of_task(band: int, key: int, a: dict, b: dict) -> pa.RecordBatch:
+        ids: set = set()
+        for x, y, _ in survivors(a, b, a is b, steps, percent):
+            ids.update(a["cid"][x].tolist(), b["cid"][y].tolist())
+        return pa.RecordBatch.from_arrays([pa.array([band] * len(ids), pa.int32()), pa.array([key] * len(ids), pa.int64()), pa.array(list(ids), pa.int64())],
+                                          ["band", "key", "cid"])
+
+    return _in_blocks(state, sigs, of_task, "band int, key long, cid long").distinct()
+
+
+def rounds(state: DataFrame) -> list[str]:
+    """The order of a bucket's block pairs: each block by itself, then blocks that differ in the last bit of their
+    number only, then in the bit before it, and so on. A round starts from the components of the rounds
+    before, in which the blocks then differ in few components, and so makes few links."""
+    most = block_counts(state).agg(F.max("blocks")).first()[0] or 1
+    return ["own = other", *[f"shiftright(own ^ other, {g}) = 1" for g in range((most - 1).bit_length())]]
+
+
+def forest(state: DataFrame, members: DataFrame, threshold: float, percent: int, which: str) -> DataFrame:
+    """(u, v): of each two blocks that ``which`` says (``rounds``), links of full sets that connect all
+    components which any of their links connects, fewer than the components. ``members``: cid, sig, bands, hashes."""
+    steps = least_matches(threshold)
+
+    def of_task(band: int, key: int, a: dict, b: dict) -> pa.RecordBatch:
+        sets = [[np.frombuffer(h, np.uint64) for h in side["hashes"]] for side in (a, b)]
+        pairs = list(survivors(a, b, a is b, steps, percent))
+        x, y, match = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in range(3))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for k in np.argsort(-match, kind="stable").tolist():
+            one, two = find(int(a["comp"][x[k]])), find(int(b["comp"][y[k]]))
+            if one == two:
+                continue
+            s, t = sets[0][x[k]], sets[1][y[k]]
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * common >= percent * (len(s) + len(t) - common):
+                root[one] = two
+                links.append(sorted((int(a["cid"][x[k]]), int(b["cid"][y[k]]))))
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in links], pa.int64()), pa.array([e[1] for e in links], pa.int64())], ["u", "v"])
+
+    return _in_blocks(state, members, of_task, "u long, v long", which).distinct()
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
@@ -315,35 +379,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     live = saved(band_rows.join(shared, "key", "left_semi"), "buckets")
     dropped(spark, band_rows)
     sigs = stand.select("cid", "sig", "bands")
-    links, tested, label = None, None, None
     shares = live.join(live.groupBy("key").count(), "key").groupBy("cid").agg(F.sum("count").alias("shares"))
     live = live.join(shares, "cid")
-    for few in (0, *FEW):
-        state = live if label is None else live.join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-        state = state.select("cid", "n", "band", "key", "shares", F.col("cid" if label is None else "comp").alias("comp"))
+
+    def opened(label: DataFrame | None) -> DataFrame:
+        """The members of the buckets that hold several components."""
+        state = live.withColumn("comp", F.col("cid")) if label is None else live.join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        state = state.select("cid", "n", "band", "key", "shares", "comp")
         open_keys = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-        state = saved(state.join(open_keys, "key", "left_semi"), "open")
-        if not state.limit(1).count():
-            break
-        if few:
-            pairs = in_blocks(state, sigs, threshold, percent, few)
-        else:
-            # max_by is aggregated map-side: a bucket's middle is found without bringing the bucket together.
-            middle = state.groupBy("key").agg(F.max_by(F.struct("cid", "n"), F.struct("shares", "cid")).alias("p")).select("key", F.col("p.cid").alias("p"), F.col("p.n").alias("p_n"))
-            sized = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
-            pairs = (state.join(middle, "key").where((F.col("cid") != F.col("p")) & sized)
-                     .select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct())
-            pairs = likely(pairs, sigs, threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        ids = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct().join(classes.select("cid", "rep"), "cid")
-        sets = saved(full_sets(docs, ids.dropDuplicates(["cid"]), k, doc_id, text), "sets")
-        new = saved(confirmed(pairs, sets, percent), "links")
-        dropped(spark, sets, state)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else links.union(new)
-        label = saved(components(links, "u", "v").select(F.col("id").alias("cid"), "component"), "labels")
+        return saved(state.join(open_keys, "key", "left_semi"), "open")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return saved(full_sets(docs, ids.join(classes.select("cid", "rep"), "cid"), k, doc_id, text), "sets")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return saved(components(links, "u", "v").select(F.col("id").alias("cid"), "component"), "labels")
+
+    label = None
+    state = opened(label)
+    if state.limit(1).count():
+        # max_by is aggregated map-side: a bucket's middle is found without bringing the bucket together.
+        middle = state.groupBy("key").agg(F.max_by(F.struct("cid", "n"), F.struct("shares", "cid")).alias("p")).select("key", F.col("p.cid").alias("p"), F.col("p.n").alias("p_n"))
+        sized = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+        pairs = (state.join(middle, "key").where((F.col("cid") != F.col("p")) & sized)
+                 .select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct())
+        pairs = saved(likely(pairs, sigs, threshold), "pairs")
+        sets = sets_of(pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct())
+        links = saved(confirmed(pairs, sets, percent), "links")
+        dropped(spark, sets, pairs, state)
+        label = labelled(links)
+        state = opened(label)
+        asked = saved(in_question(state, sigs, threshold, percent), "asked")
+        if asked.limit(1).count():
+            sets = sets_of(asked.select("cid").distinct())
+            state = saved(state.join(asked, ["band", "key", "cid"], "left_semi"), "asked-state")
+            for which in rounds(state):
+                state = state.drop("comp").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+                links = links.union(saved(forest(state, sigs.join(sets, "cid"), threshold, percent, which), "forest"))
+                label = labelled(links)
+            dropped(spark, sets)
     if label is None:
         named = classes.select("n", "d1", "d2", "class_size", F.col("rep").alias("component_id"))
     else:
