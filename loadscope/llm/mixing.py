@@ -30,7 +30,6 @@ from loadscope.llm.common import WORD, dropped, fresh, positions, saved
 #: The multiplier at which exp(lambda * size / mean) is over any cap for all sizes of one word and more.
 STEEPEST = 1e6
 NEWTON_STEPS = 60
-ROUNDING_STEPS = 24
 
 
 def words(text: Column) -> Column:
@@ -91,6 +90,8 @@ def rates(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
         state = new_state
         if not state.where("not done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"a source's rate is not found after {NEWTON_STEPS} Newton steps")
     return state.select("source", "target", "source_size", "mean", "lam")
 
 
@@ -106,7 +107,7 @@ def quotas(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
     copies = F.floor(F.col("_c") + 0.5) - F.floor(F.greatest(F.lit(0.0), F.col("_c") - F.col("n") * F.col("rate")) + 0.5)
     j = j.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(cap) * F.col("n"), copies)).cast("long"))
     table = saved(j.select("source", "size", "n", "target", "rate", "copies"), "quotas")
-    for _ in range(ROUNDING_STEPS):
+    while True:  # a step uses up a cell, or leaves less to move than the cell's size
         short = (table.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
                  .select(F.col("source").alias("_s"), "short"))
         j = table.join(short, F.expr("source <=> _s")).drop("_s")
@@ -160,7 +161,8 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     plan = (plan.where("copies > 0").groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias(mix_key))
             .agg(F.sum("copies").alias(total), F.max("copies").alias(top)))
     joined = docs.withColumn(mix_key, key(F.col(doc_id), F.col(source).cast("string"), words(F.col(text)))).join(plan, mix_key)
-    joined = joined.withColumn(row, F.row_number().over(Window.partitionBy(mix_key).orderBy(mix_key)) - 1)
+    # By a hash of the text: a task that runs again deals the copies to the same rows.
+    joined = joined.withColumn(row, F.row_number().over(Window.partitionBy(mix_key).orderBy(F.xxhash64(F.col(text)))) - 1)
     take = F.greatest(F.lit(0), F.least(F.col(top), F.col(total) - F.col(row) * F.col(top))).cast("int")
     return (joined.withColumn(copy, take).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
             .drop(*names))
