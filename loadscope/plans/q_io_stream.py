@@ -11,7 +11,7 @@ from loadscope.operators import metrics, prep, privacy, scoring, workload
 from loadscope.plans.q_eval import _CM, _m2_sql
 from loadscope.plans.q_scoring import AES_KEY, HMAC_KEY, _e5_sql, _label_sql
 from loadscope.plans.q_workload import _LOGS_SQL, _SPINE, AS_OF
-from loadscope.plans.registry import register, sql_zone
+from loadscope.plans.registry import register, sql_ratio_pct, sql_zone
 from loadscope.session import scratch_path
 from loadscope.sources import io, tables, views
 from loadscope.streaming import jobs
@@ -171,6 +171,19 @@ def q2_stream_acwr_zones(spark, sf):
     return workload.zone_summary(workload.acwr_daily(daily, through=AS_OF))
 
 
+@register("q2_sliding_acwr", f"""
+WITH r AS (SELECT athlete_id, d + k AS d, sum(load) AS chronic28, sum(CASE WHEN k < 7 THEN load ELSE 0 END) AS acute
+           FROM v_daily, (SELECT CAST(unnest(range(28)) AS INTEGER) AS k) GROUP BY 1, 2),
+     p AS (SELECT *, {sql_ratio_pct('4 * acute', 'chronic28')} AS ratio_pct FROM r
+           WHERE d < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events))
+SELECT athlete_id, CAST(d AS DATE) AS d, CAST(acute AS BIGINT) AS acute, CAST(chronic28 AS BIGINT) AS chronic28,
+       CAST(ratio_pct AS BIGINT) AS ratio_pct, {sql_zone('ratio_pct')} AS zone FROM p""", views=("v_daily",))
+def q2_sliding_acwr(spark, sf):
+    """Every athlete-day that the watermark has closed, two days before the last event."""
+    root = scratch_path(spark, "q2-sliding")
+    return workload.with_acwr_zone(jobs.stream_rolling_load(spark, _events(spark, sf, root), root)).drop("zone_hint")
+
+
 @register("q3_stream_weekly_load", """
 SELECT athlete_id, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS week_start,
        count(*) AS n_sessions, CAST(sum(load) AS BIGINT) AS load FROM v_sessions GROUP BY 1, 2""",

@@ -9,12 +9,13 @@
   repeated), so a batch that was interrupted and run again is in the sink once.
 * Aggregating streams (Q2, Q3) run in ``update`` mode; the read side is an A2 "last write wins" over
   (key, batch id). State is bounded by the watermark; no state is kept in complete mode.
-* Rolling 7/28-day load (Q2) keeps only day-grain state in the stream (one tumbling day window per
-  event, not 28 sliding copies); the calendar ratios are the batch W5 operator over that day table.
+* Rolling 7/28-day load (Q2) comes in two forms. ``stream_daily_load`` keeps only day-grain state in the stream;
+  the calendar ratios are the batch W5 operator over that day table. ``stream_rolling_load`` chains sliding
+  windows over the day windows, so that the stream itself appends each athlete-day once, when it is final.
 * Q4 is a log of reduced writes, merged when it is read (``compact_logs`` merges it for good), or a table
   in folders by day into which each micro-batch is merged (``stream_upsert_table``).
-* Q5 (sliding-log admission) is sequential per key: ``applyInPandasWithState`` keeps at most
-  ``limit`` admitted timestamps per key and forgets a key once its window has passed the watermark.
+* Q5 (sliding-log admission) is sequential per key only while the key is busy: a micro-batch is cut where a key
+  pauses for the length of the window, so a hot key's runs spread over the tasks, which keyed state would not do.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loadscope.functions.rounding import ratio_pct
 from loadscope.operators import privacy, quality, scoring
 from loadscope.sources import tables, views
 
@@ -110,6 +111,23 @@ def stream_daily_load(spark: SparkSession, events: DataFrame, root: str, waterma
     return quality.latest_by_key(written(spark, f"{root}/days"), ["athlete_id", "d"], ["batch_id"]).drop("batch_id")
 
 
+def stream_rolling_load(spark: SparkSession, events: DataFrame, root: str, watermark: str = "2 days") -> DataFrame:
+    """Q2 inside the stream: 7- and 28-day sums and the calendar ratio of each athlete-day, appended once the
+    watermark has passed the day's end. Day windows are final first and feed 28-day windows that slide by a day, so
+    an event is in one day's state and only a day's sum in 28. A day with no load in its 28 days has no row.
+
+    Events later than the watermark are dropped."""
+    days = _sessions(events, watermark).groupBy("athlete_id", F.window("ts", "1 day").alias("day")).agg(F.sum("load").alias("load"))
+    days = days.select("athlete_id", F.window_time("day").alias("at"), "load")
+    sliding = days.select("athlete_id", "at", "load", F.window("at", "28 days", "1 day").alias("w"))
+    recent = F.col("at") >= F.col("w.end") - F.expr("INTERVAL 7 DAYS")
+    sums = sliding.groupBy("athlete_id", "w").agg(F.sum(F.when(recent, F.col("load")).otherwise(0)).cast("bigint").alias("acute"),
+                                                  F.sum("load").cast("bigint").alias("chronic28"))
+    ratio = ratio_pct(F.lit(4) * F.col("acute"), F.col("chronic28")).alias("ratio_pct")
+    run(sums.select("athlete_id", F.date_sub(F.to_date("w.end"), 1).alias("d"), "acute", "chronic28", ratio), root, sink(f"{root}/rolling"))
+    return written(spark, f"{root}/rolling").drop("batch_id")
+
+
 def stream_weekly_load(spark: SparkSession, events: DataFrame, root: str, watermark: str = "2 days") -> DataFrame:
     """Q3: tumbling 7-day windows (epoch-aligned) of session load per athlete."""
     g = _sessions(events, watermark).groupBy("athlete_id", F.window("ts", "7 days").alias("w")).agg(
@@ -163,46 +181,81 @@ def compact_logs(spark: SparkSession, root: str, target: str) -> str:
 
 
 # --------------------------------------------------------------------------- Q5
-ADMISSION_SCHEMA = "key string, event_id long, ts timestamp, allowed boolean"
-ADMISSION_STATE = "admitted array<double>"
-
-
-def _admission_fn(limit: int, seconds: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = deque(state.get[0]) if state.exists else deque()
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        times = [pd.Timestamp(x).timestamp() for x in batch["ts"]]
-        allowed = []
-        for t in times:
-            while log and log[0] <= t - seconds:
-                log.popleft()
-            allowed.append(len(log) < limit)
-            if allowed[-1]:
-                log.append(t)
-        if log:
-            state.update((list(log),))
-            ends = int((log[-1] + seconds) * 1000) + 1
-            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield batch.assign(key=key[0], allowed=allowed)[["key", "event_id", "ts", "allowed"]]
+def busy_runs(rows: DataFrame, micros: int) -> DataFrame:
+    """Adds ``run`` to rows with ``key`` and time ``t`` (microseconds): rows of a key share a run while each lies
+    less than ``micros`` after the one before, so that no window of that length spans two runs.
+
+    Rows of one slot of ``micros`` are closer than that to each other, so runs can only end between slots: they
+    are found on (key, slot) extremes, and no task orders the rows of a whole key."""
+    slotted = rows.withColumn("slot", F.floor(F.col("t") / micros).cast("bigint"))
+    slots = slotted.groupBy("key", "slot").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    w = Window.partitionBy("key").orderBy("slot")
+    first = F.coalesce(F.col("lo") - F.lag("hi").over(w) >= micros, F.lit(True))
+    starts = (slots.select("key", "slot", F.when(first, F.col("slot")).alias("start"))
+              .select(F.col("key").alias("_key"), F.col("slot").alias("_slot"), F.max("start").over(w).alias("run")))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("slot") == F.col("_slot"))
+    return slotted.join(starts, same).drop("slot", "_key", "_slot")
+
+
+def _admit(limit: int, micros: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Decides rows that come ordered by (key, run, time); holds the admitted times of the last window only."""
+    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, log = None, deque()
+        for frame in frames:
+            allowed = []
+            for key, run, t, carried in zip(frame["key"], frame["run"], frame["t"], frame["carried"]):
+                if (key, run) != here:
+                    here, log = (key, run), deque()
+                while log and log[0] <= t - micros:
+                    log.popleft()
+                allowed.append(bool(carried) or len(log) < limit)
+                if allowed[-1]:
+                    log.append(t)
+            yield frame.drop(columns="run").assign(allowed=allowed)
     return fn
 
 
+def admit(rows: DataFrame, limit: int, seconds: float) -> DataFrame:
+    """``allowed`` for rows (key, event_id, t, carried) in order of time; carried rows were admitted before. A key's
+    runs spread over the tasks, and a task reads its runs as ordered batches."""
+    micros = round(seconds * 1e6)
+    ordered = (busy_runs(rows, micros).select("key", "event_id", "t", "carried", "run").repartition("key", "run")
+               .sortWithinPartitions("key", "run", "t", F.desc("carried"), "event_id"))
+    return ordered.mapInPandas(_admit(limit, micros), "key string, event_id long, t long, carried boolean, allowed boolean")
+
+
 def admission_flags(stream: DataFrame, root: str, key: str, ts: str, event_id: str, limit: int = 5, seconds: float = 60.0,
                     watermark: str = "1 day") -> DataFrame:
     """Q5: flag each request: allowed if fewer than ``limit`` admitted requests of the same key lie in
-    the last ``seconds``; refused requests do not count. Requests of a micro-batch are taken by event
-    time. Returns the flags."""
+    the last ``seconds``; refused requests do not count. Returns the flags.
+
+    Requests of a micro-batch are taken by event time, equal times by ``event_id``. A micro-batch leaves the
+    admitted times that a request up to ``watermark`` late can still see in ``root/admitted/batch_id=N``; the next
+    one starts from them. A request that comes late is judged by what was admitted before its own time; flags
+    already given stay. A null key is a key of its own; a request without a time has no flag (null)."""
     s = stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"),
-                      F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    g = s.groupBy("key").applyInPandasWithState(_admission_fn(limit, seconds), ADMISSION_SCHEMA, ADMISSION_STATE,
-                                                 "append", GroupStateTimeout.EventTimeTimeout)
-    run(g, root, sink(f"{root}/flags"))
-    return written(stream.sparkSession, f"{root}/flags").drop("batch_id")
+                      F.col(ts).cast("timestamp").alias("ts"))
+    spark = stream.sparkSession
+    columns = ["key", "event_id", "t", "carried"]
+    files = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        timed = batch.where("ts IS NOT NULL").select("key", "event_id", F.unix_micros("ts").alias("t"), F.lit(False).alias("carried"))
+        before = f"{root}/admitted/batch_id={batch_id - 1}"
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(before)):
+            kept = batch.sparkSession.read.schema("key string, event_id long, t long").parquet(before)
+            timed = timed.unionByName(kept.select("key", "event_id", "t", F.lit(True).alias("carried")).select(*columns))
+        done = admit(timed, limit, seconds).persist()
+        new = done.where("NOT carried").select("key", "event_id", F.timestamp_micros("t").alias("ts"), "allowed")
+        untimed = batch.where("ts IS NULL").select("key", "event_id", "ts", F.lit(None).cast("boolean").alias("allowed"))
+        sink(f"{root}/flags")(new.unionByName(untimed), batch_id)
+        since = F.unix_micros(F.timestamp_micros(F.max("t")) - F.expr(f"INTERVAL {watermark}")) - round(seconds * 1e6)
+        cut = done.agg(since.alias("since")).first().since
+        sink(f"{root}/admitted")(done.where(F.col("allowed") & (F.col("t") > F.lit(cut))).select("key", "event_id", "t"), batch_id)
+        done.unpersist()
+
+    run(s, root, write)
+    return written(spark, f"{root}/flags").drop("batch_id")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

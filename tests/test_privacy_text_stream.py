@@ -77,6 +77,57 @@ def test_admission_flags_vs_brute_force(spark):
     assert 0 < sum(not v for v in got.values()) < len(got)
 
 
+def test_admission_of_a_busy_key_late_rows_and_nulls(spark):
+    """A key with most rows runs in several tasks; a restarted job goes on from the admitted times."""
+    rows = [("hot", i, (i // 8) * 100.0 + i % 8) for i in range(4000)] + [(f"k{i % 50}", 4000 + i, i * 1.7) for i in range(1000)]
+    rows += [(None, 9000 + i, 5.0) for i in range(4)]
+    timed = spark.createDataFrame(rows, "user_id string, event_id long, s double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    flat = timed.select(F.col("user_id").alias("key"), "event_id", F.unix_micros("ts").alias("t"), F.lit(False).alias("carried"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = jobs.admit(flat, 3, 60.0).where("key = 'hot'").select(F.spark_partition_id()).distinct().count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tasks > 4
+
+    root = scratch_path(spark, "t-q5-hot")
+    flags = {}
+    for part in (timed.where("ts < timestamp_seconds(25003)"), timed.where("ts >= timestamp_seconds(25003)")):
+        jobs.arrivals(part, f"{root}/arrivals", F.unix_timestamp("ts"), files=2)
+        out = jobs.admission_flags(jobs.file_stream(spark, f"{root}/arrivals", max_files=1), root, "user_id", "ts", "event_id", 3, 60.0)
+        flags = {r.event_id: r.allowed for r in out.collect()}
+    ev = timed.selectExpr("event_id", "coalesce(user_id, '-') AS user_id", "ts").toPandas()
+    assert flags == _brute(ev, 3, 60.0) and len(flags) == 5004
+
+    late = spark.createDataFrame([("hot", 9100, 40003.5), ("hot", 9101, 3.5), ("x", 9102, None), ("hot", 9103, 39990.0)], "user_id string, event_id long, s double")
+    late.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
+    out = jobs.admission_flags(jobs.file_stream(spark, f"{root}/arrivals", max_files=1), root, "user_id", "ts", "event_id", 3, 60.0)
+    new = {r.event_id: r.allowed for r in out.where("event_id > 9099").collect()}
+    assert new == {9100: False, 9101: False, 9102: None, 9103: True}  # three came in the window before 9100 and 9101
+
+
+def test_rolling_load_appends_final_days_once(spark):
+    """Sums of the stream equal the batch series on every closed day, and a restart repeats none."""
+    root = scratch_path(spark, "t-rolling")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    when = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    middle = events.select(when.alias("s")).approxQuantile("s", [0.6], 0)[0]
+    for part in (events.where(when < middle), events.where(when >= middle)):
+        jobs.arrivals(part, f"{root}/arrivals", when, files=2)
+        got = jobs.stream_rolling_load(spark, jobs.file_stream(spark, f"{root}/arrivals", max_files=1), root)
+    daily = views.sessions_of(events).groupBy("athlete_id", "d").agg(F.sum("load").alias("load"))
+    last = events.agg(F.max("ts").alias("t")).first().t
+    closed = (last - pd.Timedelta(days=2)).date()
+    want = {}
+    for r in daily.collect():
+        for k in range(28):
+            day = r.d + pd.Timedelta(days=k)
+            if day < closed:
+                a, c = want.get((r.athlete_id, day), (0, 0))
+                want[r.athlete_id, day] = (a + r.load * (k < 7), c + r.load)
+    rows = got.collect()
+    assert len(rows) == len({(r.athlete_id, r.d) for r in rows})
+    assert {(r.athlete_id, r.d): (r.acute, r.chronic28) for r in rows} == want
+
+
 def test_stream_stops_and_resumes(spark):
     """The second run reads only what is new and its days merge with those of the first."""
     root = scratch_path(spark, "t-resume")
