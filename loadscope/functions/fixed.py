@@ -268,3 +268,128 @@ PROMPT_TEMPLATE = (
     "Weekly load: %sh @ RPE %s/10 | Rest days: %s\n"
     "Injury history: %s prior injuries (last: %s days ago)"
 )
+
+# --- fixed values: prompts for offline inference, system and user part (G5); names in braces are record fields,
+# --- prediction fields and derived targets ------------------------------------------------
+PROMPTS = {
+    "recovery": (
+        "You are an elite Sports Science & Athletic Recovery AI Specialist. "
+        "Your job is to analyze an athlete's biometrics, training load, and ML injury risk prediction, "
+        "and output a structured 4-part athletic recovery and workload prescription. "
+        "Be clear, concise, evidence-based, and professional.",
+        """Athlete Metadata:
+- Athlete ID: {athlete_id}
+- Sport: {sport} | Playing Position: {position}
+- Demographics: Age {age}, Weight {weight_kg}kg, Height {height_cm}cm
+
+Training & Recovery Metrics:
+- Weekly Volume: {weekly_volume_hrs} hours
+- Weekly Intensity (RPE): {weekly_intensity_score}/10
+- Sleep Duration: {sleep_hours} hrs/night
+- Heart Rate Variability (HRV): {hrv_ms} ms
+- Soreness Rating: {soreness_score}/10
+- Rest Days (Past Week): {rest_days} days
+- Prior Injuries: {prior_injuries} (Last injury: {days_since_last_injury} days ago)
+
+ML Injury Risk Output:
+- Predicted Injury Probability: {percent_1}%
+- Risk Category Label: {label}
+- Top Contributing Risk Factors: {factors}
+
+Please provide a structured Athletic Recovery Prescription in markdown with 4 sections:
+1. 🚨 **Immediate Safety & Load Reduction Protocol**
+2. 📉 **Next 3-Day RPE & Workload Target Caps**
+3. 🧊 **Targeted Therapy & Mobility Routine**
+4. 💤 **Sleep & Nutritional Recovery Optimization**"""),
+    "tips": (
+        "You are a knowledgeable sports coach who gives honest, practical recovery advice. "
+        "Write in a direct, friendly tone — like a coach talking to their athlete. "
+        "Do NOT use formal markdown headers or corporate-sounding language. "
+        "Do NOT start sentences with 'It is recommended' or 'Ensure that'. "
+        "Write short, specific sentences. Be conversational and human.",
+        """Here is today's data for a {sport} {position}, age {age}:
+
+- Sleep last night: {sleep_hours} hours
+- HRV: {hrv_ms} ms
+- Muscle soreness: {soreness_score}/10
+- Training volume this week: {weekly_volume_hrs} hrs at RPE {weekly_intensity_score}/10
+- Rest days this week: {rest_days}
+- Injury history: {prior_injuries} past injuries, last one {days_0} days ago
+- ML model injury risk: {label} ({percent_0}% probability)
+- Key risk drivers: {factors}
+
+Give 5 short, specific recovery tips for today based on this data. Each tip should be 1-2 sentences max. 
+Write them as plain numbered points (1. 2. 3. etc.) with no sub-bullets or headings. 
+Focus on what's most urgent given the data — don't give generic advice."""),
+    "cards": (
+        "You are a precision sports science AI. Output ONLY the 4 labeled sections below, nothing else. "
+        "No preamble, no summary. Each section MUST start with its exact label on its own line. "
+        "Be specific with numbers. Use real physiological reasoning based on the athlete's data.",
+        """Athlete: {sport} {position}, age {age}, {weight_kg}kg
+Injury Risk: {label} ({percent_0}%) | Risk factors: {factors}
+Sleep: {sleep_hours}h | HRV: {hrv_ms}ms | Soreness: {soreness_score}/10
+Weekly load: {weekly_volume_hrs}h @ RPE {weekly_intensity_score}/10 | Rest days: {rest_days}
+Prior injuries: {prior_injuries} (last: {days_0} days ago)
+
+Respond with EXACTLY this structure, no extra text:
+
+SLEEP_HEADLINE: [one sentence target, e.g. "Sleep deficit detected → extend by +{deficit_of_8}h tonight"]
+SLEEP_TARGET: [specific hours target as a number, e.g. "9.0"]
+SLEEP_DETAIL: [2 sentences max explaining why and how — specific to HRV {hrv_ms}ms and sleep {sleep_hours}h]
+
+WORKLOAD_HEADLINE: [one sentence cap, e.g. "Cap RPE at {rpe_cap}/10 for next 48 hours"]
+WORKLOAD_TARGET: [RPE cap as a number e.g. "{rpe_cap}"]
+WORKLOAD_DETAIL: [2 sentences max — reference actual training load {weekly_volume_hrs}h and soreness {soreness_score}/10]
+
+THERAPY_HEADLINE: [one sentence protocol name and duration]
+THERAPY_TARGET: [duration in minutes as a number]
+THERAPY_DETAIL: [2 sentences — specific body areas for this {sport} {position}, reference soreness {soreness_score}/10]
+
+NUTRITION_HEADLINE: [one sentence protein + hydration directive]
+NUTRITION_TARGET: [{protein_g}g protein + hydration target in ml]
+NUTRITION_DETAIL: [2 sentences — specific timing windows and electrolyte reasoning for this athlete]"""),
+    "full": (
+        "You are a Head Strength & Conditioning Coach and Sports Scientist at a Premier High-Performance Center. "
+        "Your output has two parts separated by '---DETAIL---' on its own line.\n"
+        "PART 1: Exactly 12 lines for the 4 labeled metric blocks. No extra text before them.\n"
+        "PART 2: Practical athletic execution directives written in direct, tactical coaching language. "
+        "IMPORTANT DIRECTIVE: DO NOT REPEAT the sleep targets, RPE cap numbers, therapy minutes, or protein/water quantities "
+        "already stated in Part 1. Instead, provide NEW practical protocols: (1) Dynamic Warm-Up Exercises, "
+        "(2) Active Recovery & Mobility Drills, (3) Whole-Food Performance Diet & Meals, and (4) Biometric Re-Entry Thresholds. "
+        "Be specific with real exercise names, stretches, and whole food choices tailored for this athlete (~60-80 words per section).",
+        """Athlete: {sport} {position}, age {age}, {weight_kg}kg, {height_cm}cm
+Injury Risk: {label} ({percent_0}%) | Key drivers: {factors}
+Sleep: {sleep_hours}h | HRV: {hrv_ms}ms | Soreness: {soreness_score}/10
+Weekly load: {weekly_volume_hrs}h @ RPE {weekly_intensity_score}/10 | Rest days: {rest_days}
+Injury history: {prior_injuries} prior injuries (last: {days_0} days ago)
+
+PART 1 — output EXACTLY these 12 lines, nothing else before '---DETAIL---':
+
+SLEEP_HEADLINE: Sleep {sleep_state}
+SLEEP_TARGET: {sleep_target}
+SLEEP_DETAIL: [2 sentences specific to HRV {hrv_ms}ms and {sleep_hours}h sleep]
+
+WORKLOAD_HEADLINE: Cap RPE at {rpe_cap}/10 for next 48 hours
+WORKLOAD_TARGET: {rpe_cap}
+WORKLOAD_DETAIL: [2 sentences on {weekly_volume_hrs}h weekly load and soreness {soreness_score}/10]
+
+THERAPY_HEADLINE: [specific therapy protocol and total duration for {sport} {position}]
+THERAPY_TARGET: {therapy_min}
+THERAPY_DETAIL: [2 sentences — specific body areas and modalities for this athlete]
+
+NUTRITION_HEADLINE: {protein_g}g protein + {water_ml}ml hydration within 30min post-session
+NUTRITION_TARGET: {protein_g}g + {water_ml}ml
+NUTRITION_DETAIL: [2 sentences on protein timing and electrolyte strategy for {weight_kg}kg athlete]
+
+---DETAIL---
+
+PART 2 — Write 4 NEW practical sections with these exact headings (DO NOT repeat Part 1 numbers; give exercises, warm-ups, meals, re-entry rules):
+
+### 🏃‍♂️ Dynamic Warm-Up & Movement Activation
+### 🧘‍♂️ Active Recovery & Mobility Exercises
+### 🥗 Whole-Food Performance Diet & Meals
+### 🛡️ Biometric Re-Entry & Safety Thresholds"""),
+}
+PROMPT_FACTORS = {"recovery": None, "tips": 3, "cards": 4, "full": 4}  # factors named; None: all
+PROMPT_SLEEP_SHORT = "deficit detected → extend by +%sh tonight"
+PROMPT_SLEEP_ENOUGH = "adequate — maintain current schedule"

@@ -38,3 +38,15 @@ def ratio_pct(num: Column, den: Column, scale: int = 100) -> Column:
     n = num.cast("bigint")
     d = den.cast("bigint")
     return F.when(d > 0, int_div(F.lit(2 * scale) * n + d, F.lit(2) * d))
+
+
+def exact_tenths(x: Column) -> Column:
+    """Text of ``x`` >= 0 with one decimal, rounded by its exact binary value (half to even), as C and Python print it.
+    (``%.1f`` of the JVM rounds the shortest decimal: 75.85 lies below 75.85 and must print 75.8.)
+
+    ``x`` is cut into two parts of few enough bits that 20 times each is exact, so the side of the tie is."""
+    tenths = F.floor(x * 10.0)
+    upper = F.floor(x * 1048576.0).cast("double") / 1048576.0
+    past = (upper * 20.0 - (tenths * 2 + 1)) + (x - upper) * 20.0
+    up = F.when((past > 0) | ((past == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.format_string("%d.%d", F.floor((tenths + up) / 10), (tenths + up) % 10)

@@ -9,10 +9,13 @@ rounds the exact binary value, which only differs on exact binary ties).
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.functions import fixed
+from loadscope.functions.rounding import exact_tenths
 
 _WS = "[ \\t\\n\\f\\r]"
 
@@ -94,9 +97,35 @@ def plan_text(df: DataFrame, out: str = "plan") -> DataFrame:
                                               _f0(F.col("hrv_ms") + 5.0)))
 
 
-def prompt_table(df: DataFrame, label: str = "injury_risk_label", p: str = "injury_probability",
-                 factors: str = "top_contributing_factors", out: str = "prompt") -> DataFrame:
-    """Prompt text per record for offline batch inference (no model call)."""
+def named_fields(template: str) -> tuple[str, list[str]]:
+    """A template with fields in braces as a ``printf`` format and the fields' names in order."""
+    parts = list(Formatter().parse(template))
+    return "".join(text.replace("%", "%%") + ("" if name is None else "%s") for text, name, _, _ in parts), \
+        [name for _, name, _, _ in parts if name is not None]
+
+
+def prompt_table(df: DataFrame, template: str = "full", label: str = "injury_risk_label", p: str = "injury_probability",
+                 factors: str = "top_contributing_factors", system: str = "system", out: str = "prompt") -> DataFrame:
+    """The system and user text of each record's prompt for offline batch inference (no model call), by one of
+    the templates ``recovery``, ``tips``, ``cards`` and ``full``."""
+    instruction, user = fixed.PROMPTS[template]
+    fmt, names = named_fields(user)
+    t = prescription_targets(df, label, prompt_variant=True)
+    n = fixed.PROMPT_FACTORS[template]
+    short = F.format_string(fixed.PROMPT_SLEEP_SHORT, _f1("sleep_deficit"))
+    derived = {
+        "label": _s(label), "factors": F.array_join(F.col(factors) if n is None else F.slice(F.col(factors), 1, n), ", "),
+        "percent_0": _f0(F.col(p) * 100.0), "percent_1": exact_tenths(F.col(p) * 100.0), "days_0": _f0(F.col("days_since_last_injury")),
+        "deficit_of_8": _f1(F.greatest(F.lit(0.0), F.lit(8.0) - F.col("sleep_hours"))), "sleep_target": _f1("sleep_target"),
+        "sleep_state": F.when(F.col("sleep_deficit") > 0, short).otherwise(fixed.PROMPT_SLEEP_ENOUGH),
+    }
+    text = F.format_string(fmt, *[derived.get(x, _s(x)) for x in names])
+    return t.select(*[c for c in df.columns if c not in (system, out)], F.lit(instruction).alias(system), text.alias(out))
+
+
+def prompt_header(df: DataFrame, label: str = "injury_risk_label", p: str = "injury_probability",
+                  factors: str = "top_contributing_factors", out: str = "prompt") -> DataFrame:
+    """The record and prediction lines that open the full prompt."""
     fac = F.array_join(F.slice(F.col(factors), 1, 4), ", ")
     return df.withColumn(out, F.format_string(
         fixed.PROMPT_TEMPLATE, _s("sport"), _s("position"), _s("age"), _s("weight_kg"), _s("height_cm"),

@@ -44,15 +44,26 @@ def f1_violation_counts(spark, sf):
 _TXT = "'^[a-zA-Z0-9\\s_\\-\\/\\(\\)\\,]+$'"
 
 
+def _days_as_text(day: str) -> str:
+    return (f"CASE record_id % 13 WHEN 0 THEN concat(' ', {day}, ' ') WHEN 1 THEN replace({day}, '-', '/') "
+            f"WHEN 2 THEN concat(substr({day}, 1, 5), '02-30') WHEN 3 THEN concat(substr({day}, 1, 5), '13-01') "
+            f"WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN concat({day}, 'T00:00') WHEN 7 THEN substr({day}, 3, 8) ELSE {day} END")
+
+
+_DAYS, _DAYS_SQL = _days_as_text("CAST(date AS STRING)"), _days_as_text("CAST(date AS VARCHAR)")
+
+
 @register("f2_validate_text", f"""
 SELECT record_id, trim(athlete_id) AS athlete_id,
        coalesce(regexp_matches(trim(athlete_id), '^ATH-[a-zA-Z0-9_-]+$'), false) AS id_ok,
        coalesce(regexp_matches(trim(sport), {_TXT}), false)
          AND coalesce(regexp_matches(trim(position), {_TXT}), false) AS text_ok,
-       true AS date_ok
-FROM v_dirty""", views=("v_dirty",))
+       coalesce(regexp_matches(trim(day), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND TRY_CAST(trim(day) AS DATE) IS NOT NULL, false) AS date_ok
+FROM (SELECT *, """ + _DAYS_SQL + """ AS day FROM v_dirty)""", views=("v_dirty",))
 def f2_validate_text(spark, sf):
-    v = quality.validate_text(views.dirty(spark, sf))
+    """The dates arrive as text: some with blanks around, some in another form, of no such day, empty or missing."""
+    dates = views.dirty(spark, sf).withColumn("date", F.expr(_DAYS))
+    v = quality.validate_text(dates)
     return v.select("record_id", "athlete_id", "id_ok", "text_ok", "date_ok")
 
 

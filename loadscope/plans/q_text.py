@@ -101,7 +101,39 @@ fac AS (SELECT *, CASE WHEN len(h) = 0 THEN ['{fixed.DEFAULT_FACTORS[0]}', '{fix
         FROM (SELECT *, list_filter({_RULES}, lambda x: x IS NOT NULL) AS h FROM lab))
 SELECT record_id, {_PROMPT} AS prompt FROM fac""", views=("v_record",))
 def g5_prompt_table(spark, sf):
-    return text.prompt_table(_scored_records(spark, sf)).select("record_id", "prompt")
+    return text.prompt_header(_scored_records(spark, sf)).select("record_id", "prompt")
+
+
+def _prompt_sql(template: str) -> str:
+    """Twin of ``text.prompt_table``: the same templates, filled by DuckDB from its own targets."""
+    instruction, user = fixed.PROMPTS[template]
+    fmt, names = text.named_fields(user)
+    n = fixed.PROMPT_FACTORS[template]
+    derived = {
+        "label": "injury_risk_label", "factors": f"array_to_string({'f' if n is None else f'list_slice(f, 1, {n})'}, ', ')",
+        "percent_0": "printf('%.0f', p * 100.0)", "percent_1": "printf('%.1f', p * 100.0)",
+        "days_0": "printf('%.0f', days_since_last_injury)", "deficit_of_8": "printf('%.1f', greatest(0.0, 8.0 - sleep_hours))",
+        "sleep_target": "printf('%.1f', sleep_target)", "rpe_cap": _v("CAST(rpe_cap AS DOUBLE)"),
+        "water_ml": _v("CASE WHEN injury_risk_label = 'HIGH' THEN 750 ELSE 600 END"),
+        "sleep_state": f"CASE WHEN sleep_deficit > 0 THEN printf('{fixed.PROMPT_SLEEP_SHORT}', printf('%.1f', sleep_deficit)) "
+                       f"ELSE '{fixed.PROMPT_SLEEP_ENOUGH}' END",
+    }
+    args = ", ".join(derived.get(x, _v(x)) for x in names)
+    return f"""WITH {_LAB}, {_TGT},
+fac AS (SELECT *, CASE WHEN len(h) = 0 THEN ['{fixed.DEFAULT_FACTORS[0]}', '{fixed.DEFAULT_FACTORS[1]}']
+                       ELSE list_slice(h, 1, 3) END AS f
+        FROM (SELECT *, list_filter({_RULES}, lambda x: x IS NOT NULL) AS h FROM t))
+SELECT record_id, '{_sq(instruction)}' AS system, printf('{_sq(fmt)}', {args}) AS prompt FROM fac"""
+
+
+def _register_prompt(template: str) -> None:
+    @register(f"g5_prompt_{template}", _prompt_sql(template), views=("v_record",))
+    def prompts(spark, sf):
+        return text.prompt_table(_scored_records(spark, sf), template).select("record_id", "system", "prompt")
+
+
+for _template in fixed.PROMPTS:
+    _register_prompt(_template)
 
 
 _FULL = f"""fulltext AS (SELECT record_id, injury_risk_label, {_PRESC} || '\n{fixed.DETAIL_MARKER}\n' || {_PLAN} AS text FROM t)"""

@@ -43,6 +43,23 @@ def test_cards_roundtrip(spark):
     assert c.detail_text == ""
 
 
+def test_prompts_of_a_record(spark):
+    rec = dict(athlete_id="ATH-1", sport="Rugby", position="Wing", age=24.0, weight_kg=75.0, height_cm=178.0, weekly_volume_hrs=12.5,
+               weekly_intensity_score=7.2, sleep_hours=9.0, hrv_ms=65.0, soreness_score=3.0, rest_days=1, prior_injuries=2,
+               days_since_last_injury=90.0, injury_probability=0.7585, injury_risk_label="HIGH",
+               top_contributing_factors=["a", "b (10%)", "c", "d", "e"])
+    df = spark.createDataFrame([rec, rec | {"sleep_hours": 7.0, "injury_risk_label": "LOW", "position": None}])
+    out = {t: text.prompt_table(df, t).select("system", "prompt").collect() for t in ("recovery", "tips", "cards", "full")}
+    first = {t: rows[0].prompt for t, rows in out.items()}
+    assert "Predicted Injury Probability: 75.8%" in first["recovery"] and first["recovery"].count("a, b (10%), c, d, e") == 1
+    assert "(76% probability)" in first["tips"] and "drivers: a, b (10%), c\n" in first["tips"]
+    assert "by +0.0h tonight" in first["cards"] and "Cap RPE at 4.0/10" in first["cards"] and "[26g protein" in first["cards"]
+    assert "Sleep adequate" in first["full"] and "26g + 750ml" in first["full"] and "THERAPY_TARGET: 25\n" in first["full"]
+    second = out["full"][1].prompt
+    assert "deficit detected → extend by +1.5h tonight" in second and "SLEEP_TARGET: 8.5\n" in second and "26g + 600ml" in second
+    assert all(r.system.startswith("You are a") and "{" not in r.prompt for rows in out.values() for r in rows)
+
+
 def test_assemble_text_order(spark):
     rows = [(1, s, f"<{s}>") for s in range(2500)] + [(2, 1, "b"), (2, 0, "a")]
     df = spark.createDataFrame(rows, "id long, seq long, content string")

@@ -82,3 +82,10 @@ def test_acwr_as_of_excludes_future(spark):
     s = spark.createDataFrame(rows, "athlete_id string, ts timestamp_ntz, d date, load bigint")
     r = workload.acwr_as_of(s, "2024-01-30").first()
     assert (r.acute_load, r.chronic_load, r.ratio) == (70, 35, 2.0)
+
+
+def test_exact_tenths_prints_as_python(spark):
+    from loadscope.functions.rounding import exact_tenths
+    values = [i / 10000 * 100.0 for i in range(10001)] + [0.05, 0.25, 0.35, 2.675, 99.95, 1e-9]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.t for r in df.select(exact_tenths(F.col("x")).alias("t")).collect()] == [f"{v:.1f}" for v in values]
