@@ -1,9 +1,12 @@
 import hashlib
 import hmac
+import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from loadscope.functions import fixed
 from loadscope.operators import privacy, text
 from loadscope.session import scratch_path
 from loadscope.sources import views
@@ -43,6 +46,27 @@ def test_cards_roundtrip(spark):
     assert c.detail_text == ""
 
 
+def test_card_fields_match_the_lazy_pattern(spark):
+    """Against a lazy match up to the next key, on texts of random parts: keys in mid-line, blank, repeated, missing."""
+    rng = random.Random(7)
+    parts = ["SLEEP_TARGET:", "SLEEP_TARGET: 8.5h", "SLEEP_DETAIL: a b", "\n", "\n\n", "more text", " ", "NOTE: x", "see SLEEP_TARGET: 7",
+             "WORKLOAD_TARGET:\t4", "lower: y", "THERAPY_HEADLINE:", "\x01", "NUTRITION_DETAIL: é\nü", "\n---DETAIL---\n", "_:", "A_SLEEP_TARGET: 1"]
+    texts = ["", "\n"] + ["".join(rng.choice(parts) + rng.choice(["", "\n", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    names = [f"{k}_{x}" for k in fixed.CARD_KEYS for x in ("HEADLINE", "TARGET", "DETAIL")]
+
+    def field(body: str, name: str) -> str:
+        m = re.search(name + r":[ \t\n\f\r]*(.+?)(?=\n[A-Z_]+:|\Z)", body, re.S)
+        return m[1].strip(" \t\n\f\r") if m else ""
+
+    for r in text.extract_cards(df).collect():
+        body, _, tail = texts[r.i].partition("---DETAIL---")
+        assert [r[n.lower()] for n in names] == [field(body, n) for n in names], texts[r.i]
+        assert r.detail_text == tail.strip(" \t\n\f\r")
+    none = text.extract_cards(spark.createDataFrame([(1, None)], "i int, text string")).first()
+    assert none.sleep_target is None and none.detail_text == ""
+
+
 def test_prompts_of_a_record(spark):
     rec = dict(athlete_id="ATH-1", sport="Rugby", position="Wing", age=24.0, weight_kg=75.0, height_cm=178.0, weekly_volume_hrs=12.5,
                weekly_intensity_score=7.2, sleep_hours=9.0, hrv_ms=65.0, soreness_score=3.0, rest_days=1, prior_injuries=2,
