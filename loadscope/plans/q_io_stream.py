@@ -128,15 +128,16 @@ def s10_params_roundtrip(spark, sf):
 
 
 # --------------------------------------------------------------------------- streaming
-def _events(spark, sf, root):
-    """The events as files in order of arrival: up to a day late, so that batches overlap in event time."""
+def _events(spark, sf, root, job):
+    """The events in waves of arrival: up to a day late, so that batches overlap in event time."""
     late = F.unix_timestamp(F.col("ts").cast("timestamp")) + (F.col("event_id") % 24) * 3600
-    return jobs.file_stream(spark, jobs.arrivals(tables.table(spark, sf, "events"), f"{root}/arrivals", late), max_files=1)
+    return jobs.in_waves(tables.table(spark, sf, "events"), f"{root}/arrivals", late, job)
 
 
-def _orders(spark, sf, root):
-    path = jobs.arrivals(tables.table(spark, sf, "orders"), f"{root}/arrivals", F.col("o_orderkey"))
-    return jobs.file_stream(spark, path, max_files=1)
+def _scored_orders(spark, sf, root):
+    customers = jobs.customers(spark, sf)
+    return jobs.in_waves(tables.table(spark, sf, "orders"), f"{root}/arrivals", F.col("o_orderkey"),
+                         lambda orders: jobs.score_stream(spark, orders, customers, root, HMAC_KEY, AES_KEY))
 
 
 @register("q1_score_stream", f"""
@@ -144,7 +145,7 @@ SELECT record_id, p AS injury_probability, {_label_sql('p')} AS injury_risk_labe
 FROM (SELECT record_id, {_e5_sql()} AS p FROM v_record)""", views=("v_record",))
 def q1_score_stream(spark, sf):
     root = scratch_path(spark, "q1")
-    pred, _ = jobs.score_stream(spark, _orders(spark, sf, root), jobs.customers(spark, sf), root, HMAC_KEY, AES_KEY)
+    pred, _ = _scored_orders(spark, sf, root)
     return spark.read.parquet(pred).select("record_id", "injury_probability", "injury_risk_label")
 
 
@@ -154,7 +155,7 @@ SELECT athlete_id AS id, count(*) AS n, round(sum(sleep_hours), 2) AS sleep, rou
 def q1_audit_stream(spark, sf):
     """The audit rows of the stream, decrypted and compared with the records by pseudonym."""
     root = scratch_path(spark, "q1-audit")
-    _, audit = jobs.score_stream(spark, _orders(spark, sf, root), jobs.customers(spark, sf), root, HMAC_KEY, AES_KEY)
+    _, audit = _scored_orders(spark, sf, root)
     a = privacy.decrypt_struct(spark.read.parquet(audit), "encrypted_biometrics", "sleep_hours double, hrv_ms double", AES_KEY)
     ids = privacy.pseudonymize(views.records(spark, sf).select("athlete_id").distinct(), "athlete_id", HMAC_KEY)
     return (a.join(ids, "athlete_pseudonym").groupBy(F.col("athlete_id").alias("id"))
@@ -167,7 +168,7 @@ SELECT {sql_zone('ratio_pct')} AS zone, count(*) AS athlete_days, CAST(sum(acute
 FROM r GROUP BY 1""", views=("v_daily",))
 def q2_stream_acwr_zones(spark, sf):
     root = scratch_path(spark, "q2")
-    daily = jobs.stream_daily_load(spark, _events(spark, sf, root), root)
+    daily = _events(spark, sf, root, lambda s: jobs.stream_daily_load(spark, s, root))
     return workload.zone_summary(workload.acwr_daily(daily, through=AS_OF))
 
 
@@ -181,7 +182,7 @@ SELECT athlete_id, CAST(d AS DATE) AS d, CAST(acute AS BIGINT) AS acute, CAST(ch
 def q2_sliding_acwr(spark, sf):
     """Every athlete-day that the watermark has closed, two days before the last event."""
     root = scratch_path(spark, "q2-sliding")
-    return workload.with_acwr_zone(jobs.stream_rolling_load(spark, _events(spark, sf, root), root)).drop("zone_hint")
+    return workload.with_acwr_zone(_events(spark, sf, root, lambda s: jobs.stream_rolling_load(spark, s, root))).drop("zone_hint")
 
 
 @register("q3_stream_weekly_load", """
@@ -190,7 +191,7 @@ SELECT athlete_id, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS
           views=("v_sessions",))
 def q3_stream_weekly_load(spark, sf):
     root = scratch_path(spark, "q3")
-    w = jobs.stream_weekly_load(spark, _events(spark, sf, root), root)
+    w = _events(spark, sf, root, lambda s: jobs.stream_weekly_load(spark, s, root))
     return w.select("athlete_id", F.col("week_start").cast("timestamp_ntz").alias("week_start"), "n_sessions",
                     F.col("load").cast("bigint").alias("load"))
 
@@ -199,7 +200,7 @@ def q3_stream_weekly_load(spark, sf):
           views=("v_log_writes",))
 def q4_stream_upsert_logs(spark, sf):
     root = scratch_path(spark, "q4")
-    jobs.stream_upsert_logs(spark, _events(spark, sf, root), root)
+    _events(spark, sf, root, lambda s: jobs.stream_upsert_logs(spark, s, root))
     merged = spark.read.parquet(jobs.compact_logs(spark, root, f"{root}/merged"))
     return merged.select("athlete_id", "d", "write_id", "ts", "hrv", "rhr", "sleep_hours", "soreness_score")
 
@@ -207,7 +208,7 @@ def q4_stream_upsert_logs(spark, sf):
 @register("q4_upsert_table", "WITH " + _LOGS_SQL[0] + " AS (" + _LOGS_SQL[1] + ") SELECT * FROM logs", views=("v_log_writes",))
 def q4_upsert_table(spark, sf):
     root = scratch_path(spark, "q4-table")
-    table = jobs.stream_upsert_table(spark, _events(spark, sf, root), root)
+    table = _events(spark, sf, root, lambda s: jobs.stream_upsert_table(spark, s, root))
     return table.select("athlete_id", "d", "write_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "hrv", "rhr", "sleep_hours", "soreness_score")
 
 
@@ -215,5 +216,5 @@ def q4_upsert_table(spark, sf):
 def q5_admission_flags(spark, sf):
     root = scratch_path(spark, "q5")
     by_time = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    path = jobs.arrivals(tables.table(spark, sf, "events"), f"{root}/arrivals", by_time)
-    return jobs.admission_flags(jobs.file_stream(spark, path, max_files=1), root, "user_id", "ts", "event_id", limit=5, seconds=3600.0)
+    return jobs.in_waves(tables.table(spark, sf, "events"), f"{root}/arrivals", by_time,
+                         lambda s: jobs.admission_flags(s, root, "user_id", "ts", "event_id", limit=5, seconds=3600.0))

@@ -1,8 +1,8 @@
 """Structured Streaming versions of the continuous operators (Q1-Q5).
 
 * Sources are file streams; any other streaming source with the same schema works unchanged.
-  ``arrivals`` writes a table as a sequence of files, in arrival order, for a job to read over
-  several micro-batches.
+  ``in_waves`` writes a table in order of arrival and lets a job take each part as it arrives, one
+  micro-batch a part whatever the number of its files; ``arrivals`` writes all parts for a job that reads by files.
 * Every job takes a ``root`` folder under the shared file system and keeps its sink and its
   checkpoint there, so a job started again with the same root goes on where it stopped.
 * Each micro-batch writes a folder of its own (``batch_id=N``, overwritten if the batch is
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,22 +36,45 @@ FILES = 4
 
 
 # --------------------------------------------------------------------------- sources
-def arrivals(df: DataFrame, path: str, order: Column, files: int = FILES) -> str:
-    """Writes ``df`` as ``files`` appends of about equal size in ascending order of the number ``order``."""
+def waves(df: DataFrame, order: Column, parts: int = FILES) -> Iterator[DataFrame]:
+    """``df`` as ``parts`` tables of about equal size in ascending order of the number ``order``."""
     keyed = df.withColumn("_at", order.cast("double"))
-    bounds = keyed.approxQuantile("_at", [i / files for i in range(1, files)], 0.001)
+    bounds = keyed.approxQuantile("_at", [i / parts for i in range(1, parts)], 0.001)
     lo = None
     for hi in [*bounds, None]:
         part = keyed if lo is None else keyed.where(F.col("_at") >= lo)
-        (part if hi is None else part.where(F.col("_at") < hi)).drop("_at").write.mode("append").parquet(path)
+        yield (part if hi is None else part.where(F.col("_at") < hi)).drop("_at")
         lo = hi
+
+
+def arrivals(df: DataFrame, path: str, order: Column, files: int = FILES) -> str:
+    """Writes ``df`` as ``files`` appends of about equal size in ascending order of the number ``order``."""
+    for part in waves(df, order, files):
+        part.write.mode("append").parquet(path)
     return path
 
 
-def file_stream(spark: SparkSession, path: str, max_files: int = 8, glob: str | None = None) -> DataFrame:
-    """A folder of Parquet files as a stream of at most ``max_files`` files a micro-batch."""
+T = TypeVar("T")
+
+
+def in_waves(df: DataFrame, path: str, order: Column, job: Callable[[DataFrame], T], parts: int = FILES) -> T:
+    """Appends ``df`` to ``path`` in ``parts`` waves, each followed by ``job`` over the stream of the folder, which goes
+    on where it stopped; returns what the last run does.
+
+    A large table has many files a wave, in no order of time: taken one by one they would be as many
+    micro-batches, and rows of the later ones late."""
+    out = None
+    for part in waves(df, order, parts):
+        part.write.mode("append").parquet(path)
+        out = job(file_stream(df.sparkSession, path, max_files=None))
+    return out
+
+
+def file_stream(spark: SparkSession, path: str, max_files: int | None = 8, glob: str | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream of at most ``max_files`` files a micro-batch (None: all that are there)."""
     r = spark.readStream.schema(spark.read.parquet(path if glob is None else f"{path.rstrip('/')}/{glob}").schema)
-    r = r.option("maxFilesPerTrigger", max_files)
+    if max_files is not None:
+        r = r.option("maxFilesPerTrigger", max_files)
     return (r if glob is None else r.option("pathGlobFilter", glob)).parquet(path)
 
 

@@ -208,3 +208,19 @@ def test_upsert_rewrites_the_days_of_a_batch_only(spark, tmp_path):
     assert after["d=2024-01-01"] == before["d=2024-01-01"] and after["d=2024-01-02"] != before["d=2024-01-02"]
     again = jobs.stream_upsert_table(spark, jobs.file_stream(spark, src, max_files=1), root)
     assert files() == after and again.count() == 4
+
+
+def test_a_wave_of_many_files_is_one_micro_batch(spark):
+    """A large table has many files a wave, in no order of time: as micro-batches of their own, all but the first of a
+    wave would be late, and their number would grow with the table."""
+    events = spark.read.parquet(f"{SF}/events.parquet").repartition(6)
+    when = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    root, batches = scratch_path(spark, "t-waves"), []
+    job = lambda s: jobs.run(s, root, lambda b, i: batches.append(b.select(F.count(F.lit(1)), F.min("event_id")).first()[0]))
+    jobs.in_waves(events, f"{root}/arrivals", when, job)
+    assert len(batches) == jobs.FILES and sum(batches) == events.count() and max(batches) < 2 * min(batches)
+    assert spark.read.parquet(f"{root}/arrivals").inputFiles().__len__() > jobs.FILES
+
+    root = scratch_path(spark, "t-waves-late")
+    got = jobs.in_waves(events, f"{root}/arrivals", when, lambda s: jobs.stream_weekly_load(spark, s, root, watermark="1 hour"))
+    assert got.agg(F.sum("n_sessions")).first()[0] == events.count()
