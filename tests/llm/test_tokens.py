@@ -22,6 +22,25 @@ def test_bpe_equals_the_library(tokenizer):
         assert np.frombuffer(token_file.library_ids(tokenizer, text), "<u2").tolist() == ids, text
 
 
+def test_many_texts_equal_the_library_and_a_word_is_made_once(tokenizer, monkeypatch):
+    lib = Tokenizer.from_file(tokenizer)
+    texts = TEXTS + ["word word, word. Straße! Straße x", "it's, it'; (a). 12, 12 \"q\". ..., 日本, é;", "z" * 400 + ", " + "z" * 400]
+    for at_once in (token_file.AT_ONCE, 50):
+        monkeypatch.setattr(token_file, "AT_ONCE", at_once)
+        for text, ids in zip(texts, token_file.all_ids(tokenizer, texts)):
+            assert np.frombuffer(ids, "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    known, made = token_file.Known(np.dtype("<u2")), []
+    monkeypatch.setattr(token_file, "library", lambda path, got=token_file.library(tokenizer): (
+        *got[:4], known, lambda new: made.extend(new) or got[5](new)))
+    for _ in range(3):
+        token_file.all_ids(tokenizer, ["a word, a word. Word!", "the word; word"])
+    assert sorted(made) == ["Word", "a", "word"] and known.words.to_pylist() == made
+    monkeypatch.setattr(token_file, "CACHE", 4)
+    for _ in range(2):  # a worker keeps so many words; others are made again
+        token_file.all_ids(tokenizer, [" one two three"])
+    assert len(known.words) == 4 and made[3:] == ["one", "two", "three", "two", "three"]
+
+
 def test_short_and_long_merges_agree(tokenizer):
     own = bpe.Bpe(tokenizer)
     for text in ("abracadabra" * 20, "the" * 80, "ééé" * 30):
