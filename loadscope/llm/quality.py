@@ -3,13 +3,15 @@
 The model is over characters (``ORDER``-grams of code points; runs of white space are one blank, and
 a text starts after start marks) and has one part for each language. It is trained on every trusted text,
 whole, each distinct text of a language once. One scan cuts the documents into chunks of about ``CHUNK``
-characters and hands on each chunk's distinct n-grams with their counts in trusted texts. Training is a
+characters and hands on each chunk, compressed, and its distinct n-grams with their counts in trusted texts. N-grams
+travel by shards of a language: a row has all n-grams of a chunk that fall into a shard. Training is a
 chain of counts and joins, sharded by n-gram: raw counts at the highest order, continuation counts
 (distinct left neighbours) below; the three discounts of each order from its counts of counts; context
 totals joined to the n-grams; and each order's probabilities joined to the next lower one's.
 
 Scoring joins too: the corpus' distinct n-grams meet the tables order by order, backing off where an
-n-gram was not seen, and the log probabilities return to the chunks, whose texts they are summed over. No
+n-gram was not seen, and the log probabilities return to the chunks, whose texts they are summed over. That
+return goes in ``WAVES``, each over its share of the chunks, so that only a share is in the shuffle at once. No
 table is sent to the workers or the driver, so all of them may grow with the input. ``train`` and ``Model``
 hold a small model in one process instead.
 
@@ -26,20 +28,24 @@ alike; a trusted id that repeats counts as often. Empty table: no rows. Extra co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import dropped, held, saved, small
+from loadscope.llm.common import dropped, held, partitions, saved, small
 
 ORDER = 5
 CHUNK = 4_000_000
 KEEP = 0.99
 SLACK = 1.2
 PIECE = 250_000
+WAVES = 4
+TABLE = 1 << 24
 START = "\0"
 
 _U = np.uint64
@@ -179,65 +185,111 @@ def chosen_texts(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     return first.select(F.col("f.doc_id").alias("doc_id"), "lang", "h", F.col("f.m").alias("m"))
 
 
-class Chunk:
-    """The n-grams of order ORDER of some texts: ``keys`` are sorted and distinct, whatever the texts' order."""
-
-    def __init__(self, texts: list[str | None], langs: list[str | None], number: dict[str, int]):
-        self.rows = np.array([i for i, (t, name) in enumerate(zip(texts, langs)) if t and name in number], np.int64)
-        self.points, self.of = points_of([texts[i] for i in self.rows]) if len(self.rows) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.number = np.array([number[langs[i]] for i in self.rows], np.int64)
-        found = [np.unique(keys) for _, _, keys in self.parts()]
-        self.keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-    def parts(self) -> Iterator[tuple]:
-        """(start in the points, row, key) of the n-grams, PIECE positions at a time."""
-        for at in range(0, len(self.points) - ORDER + 1, PIECE):
-            part, who = self.points[at:at + PIECE + ORDER - 1], self.of[at + ORDER - 1:at + PIECE + ORDER - 1]
-            real = np.flatnonzero(part[ORDER - 1:])
-            yield at + real, self.rows[who[real]], tagged(grams_of(part, ORDER)[real], ORDER, self.number[who[real]])
-
-    def grams(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(language number, sum of the rows' weights over the occurrences, n-gram) of each key."""
-        first, total = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys))
-        for start, row, keys in self.parts():
-            at = np.searchsorted(self.keys, keys)
-            first[at] = start
-            total += np.bincount(at, weight[row], len(self.keys))
-        joined = self.points[first[:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
-        return self.number[self.of[first + ORDER - 1]], total, [joined[i:i + ORDER] for i in range(0, len(joined), ORDER)]
-
-    def sums(self, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(characters, sum of the keys' values) of each of the n rows."""
-        count, total = np.zeros(n, np.int64), np.zeros(n)
-        for _, row, keys in self.parts():
-            total += np.bincount(row, values[np.searchsorted(self.keys, keys)], n)
-            count += np.bincount(row, minlength=n)
-        return count, total
+def ranks(x: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """(rank of each value among the distinct ones, their number) of values below size: through a table of marks,
+    by sorting where that would be larger than TABLE."""
+    if size > TABLE:
+        found, rank = np.unique(x, return_inverse=True)
+        return rank, len(found)
+    seen = np.zeros(size, bool)
+    seen[x] = True
+    rank = np.cumsum(seen, dtype=np.int32)
+    rank -= 1
+    return rank[x], int(rank[-1]) + 1
+
+
+class Grams:
+    """The distinct n-grams of order ORDER of some texts of one language, by shard and in order within it, whatever
+    the texts' order: ``of`` and ``at`` have the text and the n-gram of each character, ``shard`` and ``points``
+    the shard and the code points of each n-gram."""
+
+    def __init__(self, texts: list[str], shards: int):
+        points, of = points_of(texts)
+        real = np.flatnonzero(points[ORDER - 1:])
+        code, size = ranks(points.astype(np.int32), 0x110000)
+        at, n = code, size
+        for i in range(1, ORDER):
+            # Only what ends in a character counts at the highest order.
+            at = at[:-1] * (np.int32 if n * size <= TABLE else np.int64)(size) + code[i:]
+            at, n = ranks(at[real] if i == ORDER - 1 else at, n * size)
+        first = np.empty(n, np.int64)
+        first[at] = real
+        grams = points[first[:, None] + np.arange(ORDER)]
+        # By the first characters, so that a shard's n-grams are alike and pack well.
+        shard = (mixed((grams[:, :ORDER - 2] * FACTORS[:ORDER - 2]).sum(1, dtype=np.uint64)) >> _U(8)) % _U(shards)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.of, self.at = of[real + ORDER - 1], place[at]
+        self.shard, self.points = shard[order].astype(np.int32), grams[order].astype("<u4")
+
+    def pieces(self, counts: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(shard, number of its n-grams, the n-grams, their counts) of each shard that has n-grams."""
+        cuts = [0, *(np.flatnonzero(np.diff(self.shard)) + 1), len(self.shard)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(self.shard[a]), int(b - a), packed(self.points[a:b]), packed(counts[a:b])
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """The rows' first bytes, then their second ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: pa.ChunkedArray, sizes: list[int], width: int) -> bytes:
+    """The rows, of width bytes each, of all that ``packed`` gave for so many rows each."""
+    parts = (pa.decompress(d, n * width, "zstd", asbytes=True) for d, n in zip(data.to_pylist(), sizes))
+    return b"".join(np.frombuffer(d, np.uint8).reshape(width, -1).T.tobytes() for d in parts)
+
+
+def split(joined: str) -> pa.Array:
+    """The n-grams of order ORDER of a string of them."""
+    data = np.frombuffer(joined.encode(), np.uint8)
+    first = np.flatnonzero((data & 0xC0) != 0x80)[::ORDER]
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(first, len(data)).astype(np.int32)), pa.py_buffer(data))
+
+
+def by_language(texts: list[str | None], langs: list[str | None], known: set[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, numbers of its texts) of the texts that have a model and a character."""
+    rows: dict[str, list[int]] = {}
+    for i, (t, name) in enumerate(zip(texts, langs)):
+        if t and name in known:
+            rows.setdefault(name, []).append(i)
+    for name in sorted(rows):
+        yield name, np.array(rows[name], np.int64)
+
+
+def sharded(spark: SparkSession) -> int:
+    """The number of shards of the n-grams of a language."""
+    return min(max(partitions(spark), 64), 512)
 
 
 def chunked(rows: DataFrame, langs: list[str]) -> DataFrame:
-    """The rows (doc_id, lang, held, text, weight) with their chunk, and rows (chunk, lang, i, g, c) of the
-    chunk's n-grams: the i-th key's n-gram g and its weighted count c."""
-    number = {name: i for i, name in enumerate(langs)}
-    names = ["chunk", "doc_id", "lang", "held", "text", "i", "g", "c"]
+    """The rows (doc_id, lang, held, text, weight) as chunks, dealt over WAVES: rows (wave, chunk, rows) with the
+    first four columns, packed, of all rows of a chunk, and rows (wave, chunk, lang, shard, g, c) with the chunk's
+    n n-grams g of a shard and their weighted counts c, packed."""
+    known, shards = set(langs), sharded(rows.sparkSession)
+    names = ["wave", "chunk", "rows", "lang", "shard", "n", "g", "c"]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("chunks",), list)  # lets go of what an earlier operator kept in this worker
-        now, size, n = [], 0, TaskContext.get().partitionId() << 32
+        part = TaskContext.get().partitionId()
+        now, size, n = [], 0, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            texts, names_of, weight = ([x for b in now for x in b.column(c).to_pylist()] for c in ("text", "lang", "weight"))
-            for b in now:
-                none = pa.nulls(b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64()), *(b.column(c) for c in names[1:5]),
-                                                  none.cast(pa.int32()), none.cast(pa.string()), none.cast(pa.float64())], names)
-            lang, total, grams = Chunk(texts, names_of, number).grams(np.array(weight, np.float64))
-            for at in range(0, len(grams), 50_000):
-                g = grams[at:at + 50_000]
-                none = pa.nulls(len(g))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n] * len(g), pa.int64()), none.cast(now[0].column("doc_id").type), pa.array([langs[x] for x in lang[at:at + len(g)]], pa.string()),
-                     none.cast(pa.bool_()), none.cast(pa.string()), pa.array(range(at, at + len(g)), pa.int32()), pa.array(g, pa.string()), pa.array(total[at:at + len(g)])], names)
+            key = (part + n) % WAVES, part << 32 | n
+            table = pa.Table.from_batches(now)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as file:
+                file.write_table(table.combine_chunks())
+            texts, names_of, weight = table["text"].to_pylist(), table["lang"].to_pylist(), table["weight"].to_numpy()
+            found = [(*key, sink.getvalue().to_pybytes(), *[None] * 5)]
+            for name, own in by_language(texts, names_of, known):
+                grams = Grams([texts[i] for i in own], shards)
+                total = np.bincount(grams.at, weight[own[grams.of]], len(grams.shard))
+                found += [(*key, None, name, *piece) for piece in grams.pieces(total)]
+            for at in range(0, len(found), 100):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at:at + 100]), types)], names)
 
         for batch in batches:
             if batch.num_rows:
@@ -249,9 +301,8 @@ def chunked(rows: DataFrame, langs: list[str]) -> DataFrame:
         if now:
             yield from out()
 
-    fields = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "lang", "held", "text", "weight").mapInArrow(
-        run, f"chunk long, doc_id {fields}, lang string, held boolean, text string, i int, g string, c double")
+        run, "wave int, chunk long, rows binary, lang string, shard int, n int, g binary, c binary")
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -300,7 +351,7 @@ def train(trusted: DataFrame) -> tuple:
     """The arrays of a Model in memory, of all (lang, text) rows; for a small trusted table."""
     langs = sorted(r[0] for r in trusted.select("lang").distinct().collect())
     rows = trusted.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.lit(False).alias("held"), "text", F.lit(1.0).alias("weight"))
-    tables, backs, unseen = estimates(saved(counted(chunked(rows, langs)), "counts"))
+    tables, backs, unseen = estimates(saved(counted(chunked(rows, langs)).where("c > 0").select("lang", "g", "c"), "counts"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {name: i for i, name in enumerate(langs)}
@@ -324,13 +375,21 @@ def train(trusted: DataFrame) -> tuple:
 
 
 def counted(chunks: DataFrame) -> DataFrame:
-    """(lang, g, c): the whole counts of the n-grams that the trusted texts have."""
-    return chunks.where("c > 0").groupBy("lang", "g").agg(F.round(F.sum("c")).cast("long").alias("c"))
+    """(lang, shard, g, c): the n-grams of all chunks with their whole counts in trusted texts, 0 included."""
+    def run(pieces: pa.Table) -> pa.Table:
+        n = pieces["n"].to_pylist()
+        all_of = pa.table({"g": split(unpacked(pieces["g"], n, 4 * ORDER).decode("utf-32-le")), "c": np.frombuffer(unpacked(pieces["c"], n, 8))})
+        t = all_of.group_by("g").aggregate([("c", "sum")])
+        same = [pa.array([pieces[c][0].as_py()] * t.num_rows, pieces[c].type) for c in ("lang", "shard")]
+        return pa.table([*same, t["g"], np.rint(t["c_sum"].to_numpy()).astype(np.int64)], ["lang", "shard", "g", "c"])
+
+    return (chunks.where("g is not null").select("lang", "shard", "n", "g", "c").groupBy("lang", "shard")
+            .applyInArrow(run, "lang string, shard int, g string, c long"))
 
 
-def log_probabilities(chunks: DataFrame, tables: list, backs: list, unseen: dict) -> DataFrame:
-    """(lang, g, v): the log probability of the last character of each distinct n-gram of the chunks."""
-    spark, seen = chunks.sparkSession, {ORDER: saved(chunks.where("g is not null").select("lang", "g").distinct(), "distinct")}
+def log_probabilities(grams: DataFrame, tables: list, backs: list, unseen: dict) -> DataFrame:
+    """(lang, shard, g, v): the log probability of the last character of each of the n-grams (lang, shard, g)."""
+    spark, seen = grams.sparkSession, {ORDER: grams.select("lang", "shard", "g")}
     for n in range(ORDER - 1, 0, -1):
         seen[n] = saved(seen[n + 1].select("lang", F.substring("g", 2, n).alias("g")).distinct(), "distinct")
     # One row a language.
@@ -342,38 +401,70 @@ def log_probabilities(chunks: DataFrame, tables: list, backs: list, unseen: dict
             contexts = backs[n - 2].select("lang", F.col("g").alias("h"), F.col("v").alias("back"))
             rows, back = rows.withColumn("h", F.substring("g", 1, n - 1)).join(contexts, ["lang", "h"], "left"), F.coalesce("back", F.lit(0.0))
         rows = rows.join(lower.select("lang", F.col("g").alias("s"), F.col("v").alias("base")), ["lang", "s"])
-        lower = saved(rows.select("lang", "g", F.coalesce("own", back + F.col("base")).alias("v")), "values")
-    dropped(spark, *seen.values())
+        lower = saved(rows.select("lang", *["shard"] * (n == ORDER), "g", F.coalesce("own", back + F.col("base")).alias("v")), "values")
+    dropped(spark, *(seen[n] for n in range(1, ORDER)))
     return lower
 
 
+def answered(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """(of, lang, shard, n, v): the packed log probabilities of the n-grams of each piece (chunk, lang, shard, n, g), from
+    rows (lang, shard, g, v) with the n-grams of a shard one after the other."""
+    def run(pieces: pa.Table, known: pa.Table) -> pa.Table:
+        n = pieces["n"].to_pylist()
+        at = pc.index_in(split(unpacked(pieces["g"], n, 4 * ORDER).decode("utf-32-le")), value_set=split("".join(known["g"].to_pylist()))).to_numpy()
+        found = known["v"].combine_chunks().flatten().to_numpy()[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        own = [packed(found[a:b]) for a, b in zip([0, *ends], ends)]
+        return pa.table([pieces["chunk"], pieces["lang"], pieces["shard"], pieces["n"], pa.array(own, pa.binary())], ["of", "lang", "shard", "n", "v"])
+
+    return asked.groupBy("lang", "shard").cogroup(values.groupBy("lang", "shard")).applyInArrow(run, "of long, lang string, shard int, n int, v binary")
+
+
 def perplexities(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, held, n_scored (characters) and perplexity of every row (doc_id, lang, text)."""
     spark = rows.sparkSession
     chosen = saved(chosen_texts(rows, trusted_ids), "chosen")
     langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
-    number = {name: i for i, name in enumerate(langs)}
+    known, shards = set(langs), sharded(spark)
     flagged = (rows.withColumns({"h": F.xxhash64("text"), "held": held_out("text")}).join(chosen, ["doc_id", "lang", "h"], "left")
                .withColumn("weight", F.coalesce(1.0 / F.col("m"), F.lit(0.0))))
-    chunks = saved(chunked(flagged, langs), "chunks")
-    counts = saved(counted(chunks), "counts")
-    values = log_probabilities(chunks, *estimates(counts))
-    dropped(spark, chosen, counts)
-    back = chunks.where("g is not null").join(values, ["lang", "g"]).select(F.col("chunk").alias("of"), "i", F.col("v").cast("float").alias("v"))
-
-    def summed(texts: pa.Table, found: pa.Table) -> pa.Table:
-        chunk = Chunk(texts["text"].to_pylist(), texts["lang"].to_pylist(), number)
-        values = np.zeros(len(chunk.keys))
-        values[found["i"].to_numpy()] = found["v"].to_numpy()
-        n, total = chunk.sums(values, texts.num_rows)
+    chunks = saved(chunked(flagged, langs), "chunks", "wave")
+    grams = saved(counted(chunks), "counts")
+    dropped(spark, chosen)
+    tables, backs, unseen = estimates(grams.where("c > 0").select("lang", "g", "c"))
+    values = log_probabilities(grams, tables, backs, unseen)
+    values = values.groupBy("lang", "shard").agg(F.collect_list(F.struct("g", F.col("v").cast("float").alias("v"))).alias("l"))
+    values = saved(values.select("lang", "shard", F.concat_ws("", "l.g").alias("g"), F.col("l.v").alias("v")), "answers")
+    dropped(spark, grams)
+
+    def summed(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(chunk["rows"][0].as_buffer()).read_all()
+        texts = rows["text"].to_pylist()
+        # The n-grams of a chunk's language are listed by shard.
+        found = found.sort_by([("lang", "ascending"), ("shard", "ascending")])
+        values, done = np.frombuffer(unpacked(found["v"], found["n"].to_pylist(), 4), np.float32), 0
+        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for name, own in by_language(texts, rows["lang"].to_pylist(), known):
+            grams = Grams([texts[i] for i in own], shards)
+            v = values[done:done + len(grams.shard)]
+            done += len(v)
+            total[own] = np.bincount(grams.of, v[grams.at], len(own))
+            n[own] = np.bincount(grams.of, minlength=len(own))
         value = np.exp(-total / np.maximum(n, 1))
-        return pa.table([texts["doc_id"], texts["lang"], texts["held"], pa.array(n), pa.array(value, mask=n == 0)],
+        return pa.table([rows["doc_id"], rows["lang"], rows["held"], pa.array(n), pa.array(value, mask=n == 0)],
                         ["doc_id", "lang", "held", "n_scored", "perplexity"])
 
     fields = rows.schema["doc_id"].dataType.simpleString()
-    texts = chunks.where("g is null").select("chunk", "doc_id", "lang", "held", "text")
-    return texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(
-        summed, f"doc_id {fields}, lang string, held boolean, n_scored long, perplexity double")
+    parts = []
+    for wave in range(WAVES):
+        part = chunks.where(F.col("wave") == wave)
+        found = answered(part.where("g is not null").select("chunk", "lang", "shard", "n", "g"), values)
+        texts = part.where("g is null").select("chunk", "rows")
+        parts.append(saved(texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(
+            summed, f"doc_id {fields}, lang string, held boolean, n_scored long, perplexity double"), "perplexities"))
+        dropped(spark)  # the shuffle files of this wave
+    dropped(spark, chunks, values)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -381,7 +472,7 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text
     doc_id of the trusted documents."""
     t = trusted_ids.select(F.col("doc_id").alias("_t")).distinct()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    scored = saved(perplexities(rows, t), "perplexities")
+    scored = perplexities(rows, t)
     limits = (scored.join(t, F.col("doc_id") == F.col("_t"), "left_semi").where("perplexity is not null").groupBy(F.col("lang").alias("_l"))
               .agg((F.coalesce(F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), KEEP, 100_000),
                                F.percentile_approx("perplexity", KEEP, 100_000)) * SLACK).alias("threshold")))
