@@ -3,15 +3,16 @@
 The model is over characters (``ORDER``-grams of code points; runs of white space are one blank, and
 a text starts after start marks) and has one part for each language. It is trained on every trusted text,
 whole, each distinct text of a language once. One scan cuts the documents into chunks of about ``CHUNK``
-characters and hands on each chunk, compressed, and its distinct n-grams with their counts in trusted texts. N-grams
-travel by shards of a language: a row has all n-grams of a chunk that fall into a shard. Training is a
+characters, kept compressed; texts meet no join. Which texts count is joined by their numbers in the chunks, and
+each chunk hands on its distinct n-grams with their counts in trusted texts. N-grams travel by shards of a
+language: a row has all n-grams of a chunk that fall into a shard. Training is a
 chain of counts and joins, sharded by n-gram: raw counts at the highest order, continuation counts
 (distinct left neighbours) below; the three discounts of each order from its counts of counts; context
 totals joined to the n-grams; and each order's probabilities joined to the next lower one's.
 
 Scoring joins too: the corpus' distinct n-grams meet the tables order by order, backing off where an
-n-gram was not seen, and the log probabilities return to the chunks, whose texts they are summed over. That
-return goes in ``WAVES``, each over its share of the chunks, so that only a share is in the shuffle at once. No
+n-gram was not seen, and the log probabilities return to the chunks, whose texts they are summed over. What
+the chunks' texts take part in goes in ``WAVES``, each over its share of the chunks, so that only a share is in the shuffle at once. No
 table is sent to the workers or the driver, so all of them may grow with the input. ``train`` and ``Model``
 hold a small model in one process instead.
 
@@ -263,33 +264,31 @@ def sharded(spark: SparkSession) -> int:
     return min(max(partitions(spark), 64), 512)
 
 
-def chunked(rows: DataFrame, langs: list[str]) -> DataFrame:
-    """The rows (doc_id, lang, held, text, weight) as chunks, dealt over WAVES: rows (wave, chunk, rows) with the
-    first four columns, packed, of all rows of a chunk, and rows (wave, chunk, lang, shard, g, c) with the chunk's
-    n n-grams g of a shard and their weighted counts c, packed."""
-    known, shards = set(langs), sharded(rows.sparkSession)
-    names = ["wave", "chunk", "rows", "lang", "shard", "n", "g", "c"]
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+def chunked(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, lang, held, text, h) as chunks, dealt over WAVES: rows (wave, chunk, rows) with the first four
+    columns, packed, of all rows of a chunk, and rows (wave, chunk, i, doc_id, lang, h) of its i-th row."""
+    names = ["wave", "chunk", "rows", "i", "doc_id", "lang", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held(("chunks",), list)  # lets go of what an earlier operator kept in this worker
         part = TaskContext.get().partitionId()
         now, size, n = [], 0, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            key = (part + n) % WAVES, part << 32 | n
-            table = pa.Table.from_batches(now)
+            table = pa.Table.from_batches(now).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as file:
-                file.write_table(table.combine_chunks())
-            texts, names_of, weight = table["text"].to_pylist(), table["lang"].to_pylist(), table["weight"].to_numpy()
-            found = [(*key, sink.getvalue().to_pybytes(), *[None] * 5)]
-            for name, own in by_language(texts, names_of, known):
-                grams = Grams([texts[i] for i in own], shards)
-                total = np.bincount(grams.at, weight[own[grams.of]], len(grams.shard))
-                found += [(*key, None, name, *piece) for piece in grams.pieces(total)]
-            for at in range(0, len(found), 100):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at:at + 100]), types)], names)
+            texts = table.drop_columns("h")
+            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as file:
+                file.write_table(texts)
+
+            def made(count: int, rows: pa.Array, i: pa.Array, *own: pa.Array) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([(part + n) % WAVES] * count, pa.int32()), pa.array([part << 32 | n] * count, pa.int64()),
+                                                   rows, i, *own], names)
+
+            own = [table[c] for c in ("doc_id", "lang", "h")]
+            yield made(1, pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.int32()), *(pa.nulls(1, c.type) for c in own))
+            # What has no text or language has no part in the counts.
+            some = np.flatnonzero(pc.and_(table["text"].is_valid(), table["lang"].is_valid()).to_numpy())
+            yield made(len(some), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), *(c.take(some).combine_chunks() for c in own))
 
         for batch in batches:
             if batch.num_rows:
@@ -301,8 +300,31 @@ def chunked(rows: DataFrame, langs: list[str]) -> DataFrame:
         if now:
             yield from out()
 
-    return rows.select("doc_id", "lang", "held", "text", "weight").mapInArrow(
-        run, "wave int, chunk long, rows binary, lang string, shard int, n int, g binary, c binary")
+    fields = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "lang", "held", "text", "h").mapInArrow(
+        run, f"wave int, chunk long, rows binary, i int, doc_id {fields}, lang string, h long")
+
+
+def pieces_of(texts: DataFrame, weights: DataFrame, langs: list[str]) -> DataFrame:
+    """(chunk, lang, shard, n, g, c): the n n-grams g, packed, of a shard that a chunk (chunk, rows) has, and their counts c,
+    summed over the chunk's rows by weight; rows (of, i, weight) have the weights other than 0."""
+    known, shards = set(langs), sharded(texts.sparkSession)
+    names = ["chunk", "lang", "shard", "n", "g", "c"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def run(chunk: pa.Table, given: pa.Table) -> pa.Table:
+        held(("chunks",), list)  # lets go of what an earlier operator kept in this worker
+        rows = pa.ipc.open_stream(chunk["rows"][0].as_buffer()).read_all()
+        texts, weight, found = rows["text"].to_pylist(), np.zeros(rows.num_rows), []
+        weight[given["i"].to_numpy()] = given["weight"].to_numpy()
+        for name, own in by_language(texts, rows["lang"].to_pylist(), known):
+            grams = Grams([texts[i] for i in own], shards)
+            total = np.bincount(grams.at, weight[own[grams.of]], len(grams.shard))
+            found += [(chunk["chunk"][0].as_py(), name, *piece) for piece in grams.pieces(total)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(types), types)], names)
+
+    return texts.groupBy("chunk").cogroup(weights.groupBy("of")).applyInArrow(
+        run, "chunk long, lang string, shard int, n int, g binary, c binary")
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -350,8 +372,11 @@ def estimates(grams: DataFrame) -> tuple[list, list, dict]:
 def train(trusted: DataFrame) -> tuple:
     """The arrays of a Model in memory, of all (lang, text) rows; for a small trusted table."""
     langs = sorted(r[0] for r in trusted.select("lang").distinct().collect())
-    rows = trusted.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.lit(False).alias("held"), "text", F.lit(1.0).alias("weight"))
-    tables, backs, unseen = estimates(saved(counted(chunked(rows, langs)).where("c > 0").select("lang", "g", "c"), "counts"))
+    rows = trusted.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.lit(False).alias("held"), "text", F.lit(0).cast("long").alias("h"))
+    chunks = saved(chunked(rows), "chunks", "wave")
+    weights = chunks.where("i is not null").select(F.col("chunk").alias("of"), "i", F.lit(1.0).alias("weight"))
+    pieces = pieces_of(chunks.where("i is null").select("chunk", "rows"), weights, langs)
+    tables, backs, unseen = estimates(saved(counted(pieces).where("c > 0").select("lang", "g", "c"), "counts"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {name: i for i, name in enumerate(langs)}
@@ -374,8 +399,8 @@ def train(trusted: DataFrame) -> tuple:
     return langs, keys, logs.astype(np.float32), contexts, back.astype(np.float32), np.array([unseen[x] for x in langs])
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """(lang, shard, g, c): the n-grams of all chunks with their whole counts in trusted texts, 0 included."""
+def counted(pieces: DataFrame) -> DataFrame:
+    """(lang, shard, g, c): the n-grams of all pieces with their whole counts in trusted texts, 0 included."""
     def run(pieces: pa.Table) -> pa.Table:
         n = pieces["n"].to_pylist()
         all_of = pa.table({"g": split(unpacked(pieces["g"], n, 4 * ORDER).decode("utf-32-le")), "c": np.frombuffer(unpacked(pieces["c"], n, 8))})
@@ -383,8 +408,7 @@ def counted(chunks: DataFrame) -> DataFrame:
         same = [pa.array([pieces[c][0].as_py()] * t.num_rows, pieces[c].type) for c in ("lang", "shard")]
         return pa.table([*same, t["g"], np.rint(t["c_sum"].to_numpy()).astype(np.int64)], ["lang", "shard", "g", "c"])
 
-    return (chunks.where("g is not null").select("lang", "shard", "n", "g", "c").groupBy("lang", "shard")
-            .applyInArrow(run, "lang string, shard int, g string, c long"))
+    return pieces.select("lang", "shard", "n", "g", "c").groupBy("lang", "shard").applyInArrow(run, "lang string, shard int, g string, c long")
 
 
 def log_probabilities(grams: DataFrame, tables: list, backs: list, unseen: dict) -> DataFrame:
@@ -426,11 +450,17 @@ def perplexities(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     chosen = saved(chosen_texts(rows, trusted_ids), "chosen")
     langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
     known, shards = set(langs), sharded(spark)
-    flagged = (rows.withColumns({"h": F.xxhash64("text"), "held": held_out("text")}).join(chosen, ["doc_id", "lang", "h"], "left")
-               .withColumn("weight", F.coalesce(1.0 / F.col("m"), F.lit(0.0))))
-    chunks = saved(chunked(flagged, langs), "chunks", "wave")
-    grams = saved(counted(chunks), "counts")
-    dropped(spark, chosen)
+    # Texts are not joined with anything: a chunk's row numbers are.
+    chunks = saved(chunked(rows.withColumns({"h": F.xxhash64("text"), "held": held_out("text")})), "chunks", "wave")
+    weights = chunks.where("i is not null").join(chosen, ["doc_id", "lang", "h"])
+    weights = saved(weights.select("wave", F.col("chunk").alias("of"), "i", (1.0 / F.col("m")).alias("weight")), "weights")
+    texts = [chunks.where((F.col("wave") == wave) & F.col("i").isNull()).select("chunk", "rows") for wave in range(WAVES)]
+    pieces = []
+    for wave in range(WAVES):
+        pieces.append(saved(pieces_of(texts[wave], weights.where(F.col("wave") == wave).drop("wave"), langs), "pieces"))
+        dropped(spark)  # the shuffle files of this wave
+    grams = saved(counted(reduce(DataFrame.unionAll, pieces)), "counts")
+    dropped(spark, chosen, weights)
     tables, backs, unseen = estimates(grams.where("c > 0").select("lang", "g", "c"))
     values = log_probabilities(grams, tables, backs, unseen)
     values = values.groupBy("lang", "shard").agg(F.collect_list(F.struct("g", F.col("v").cast("float").alias("v"))).alias("l"))
@@ -457,12 +487,10 @@ def perplexities(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     fields = rows.schema["doc_id"].dataType.simpleString()
     parts = []
     for wave in range(WAVES):
-        part = chunks.where(F.col("wave") == wave)
-        found = answered(part.where("g is not null").select("chunk", "lang", "shard", "n", "g"), values)
-        texts = part.where("g is null").select("chunk", "rows")
-        parts.append(saved(texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(
+        found = answered(pieces[wave].select("chunk", "lang", "shard", "n", "g"), values)
+        parts.append(saved(texts[wave].groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(
             summed, f"doc_id {fields}, lang string, held boolean, n_scored long, perplexity double"), "perplexities"))
-        dropped(spark)  # the shuffle files of this wave
+        dropped(spark, pieces[wave])
     dropped(spark, chunks, values)
     return reduce(DataFrame.unionAll, parts)
 
